@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fotoloom.llm import grouping, survivorship as sv
+from fotoloom.llm import grouping, similar, survivorship as sv
 from fotoloom.session import load
 
 
+VECTORS = [("photo_index", "image_id", "clip_embedding_siglip"), ("faces", "face_id", "face_embedding")]
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    out = None
+    for table, id_col, vector in VECTORS:
+        pairs = similar.similar_pairs(load(spark, d, table), id_col, vector, k=10, min_cos=0.94)
+        pairs = pairs.select(F.lit(table).alias("vec_table"), "id_lo", "id_hi")
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
+
+
 def _duplicate_photos(spark: SparkSession, d: str) -> DataFrame:
     report = load(spark, d, "dup_report").select("group_no", "image_id").dropna().distinct()
     return report.join(load(spark, d, "photo_index"), "image_id")
@@ -53,7 +65,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p4_found": p4_found, "p4_golden": p4_golden, "p5_found": p5_found}
+    return {"p2_found": p2_found, "p4_found": p4_found, "p4_golden": p4_golden, "p5_found": p5_found}
 
 
 _HASH = r"""h AS (SELECT image_id, rpad(x, 64, '0') AS h FROM (
@@ -75,6 +87,14 @@ def oracle_sql() -> dict[str, str]:
    CASE WHEN width BETWEEN 16 AND 30000 AND height BETWEEN 16 AND 30000 THEN width::BIGINT * height ELSE 0 END DESC,
    CASE {kinds} ELSE 0 END DESC, entries DESC,
    CASE WHEN file_size BETWEEN 1024 AND 500000000 THEN file_size ELSE 0 END DESC, image_id) AS r FROM n) WHERE r = 1""",
+        "p2_found": " UNION ALL ".join(
+            f"""SELECT '{t}' AS vec_table, * FROM (
+ WITH v AS (SELECT {i} AS id, {v}::DOUBLE[128] AS v FROM {t} WHERE len({v}) = 128 AND list_max(list_transform({v}, lambda x: abs(x))) > 0),
+ c AS (SELECT a.id AS q, b.id AS p, array_cosine_similarity(a.v, b.v) AS cos FROM v a JOIN v b ON a.id <> b.id WHERE array_cosine_similarity(a.v, b.v) >= 0.94),
+ k AS (SELECT q, p FROM (SELECT q, p, row_number() OVER (PARTITION BY q ORDER BY cos DESC, p) AS r FROM c) WHERE r <= 10)
+ SELECT DISTINCT least(q, p) AS id_lo, greatest(q, p) AS id_hi FROM k)"""
+            for t, i, v in VECTORS
+        ),
         "p5_found": f"""WITH RECURSIVE {_HASH},
  e AS (SELECT a.image_id AS a, b.image_id AS b FROM l a JOIN l b ON a.image_id <> b.image_id
   AND list_sum([bit_count(xor(a.v[i], b.v[i])) FOR i IN [1, 2, 3, 4]]) <= 6),
