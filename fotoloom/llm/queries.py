@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fotoloom.llm import grouping, similar, survivorship as sv
-from fotoloom.session import load
+from fotoloom.llm import clusters, grouping, similar, survivorship as sv
+from fotoloom.session import Scratch, load
 
 
 VECTORS = [("photo_index", "image_id", "clip_embedding_siglip"), ("faces", "face_id", "face_embedding")]
@@ -64,8 +64,20 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return grouping.near_hash_groups(load(spark, d, "photo_index"), "image_id", "phash", 6).withColumnRenamed("id", "image_id")
 
 
+def _face_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.similarity_clusters(load(spark, d, "faces"), "face_id", "face_embedding")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _face_clusters(spark, d).select("cluster_id", F.col("id").alias("face_id"))
+
+
+def p6_profiles(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.cluster_profiles(Scratch(spark).cut(_face_clusters(spark, d)))
+
+
 def queries() -> dict:
-    return {"p2_found": p2_found, "p4_found": p4_found, "p4_golden": p4_golden, "p5_found": p5_found}
+    return {"p2_found": p2_found, "p4_found": p4_found, "p4_golden": p4_golden, "p5_found": p5_found, "p6_found": p6_found, "p6_profiles": p6_profiles}
 
 
 _HASH = r"""h AS (SELECT image_id, rpad(x, 64, '0') AS h FROM (
