@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fotoloom.llm import clusters, grouping, similar, survivorship as sv
+from fotoloom.llm import clusters, grouping, mixing, packing, similar, tokens, survivorship as sv
 from fotoloom.session import Scratch, load
 
 
@@ -76,8 +76,53 @@ def p6_profiles(spark: SparkSession, d: str) -> DataFrame:
     return clusters.cluster_profiles(Scratch(spark).cut(_face_clusters(spark, d)))
 
 
+def _packed(spark: SparkSession, d: str) -> dict[int, tuple[int, DataFrame]]:
+    sizes = tokens.count_tokens(load(spark, d, "documents").select("doc_id", "text"), "text")
+    sizes = Scratch(spark).cut(sizes)
+    plans = load(spark, d, "pack_plan").orderBy("plan_id").collect()  # the plans are a fixed list
+    return {p.plan_id: (p.capacity_tokens, packing.pack_items(sizes, "doc_id", "n_tokens", p.capacity_tokens)) for p in plans}
+
+
+def p7_pack(spark: SparkSession, d: str) -> DataFrame:
+    """Every plan's containers with their documents, or pieces of those above the capacity."""
+    out = None
+    for plan, (_, rows) in _packed(spark, d).items():
+        rows = rows.select(F.lit(plan).alias("plan_id"), "container", F.col("id").alias("doc_id"), "piece", "start", "size")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full each plan's containers are."""
+    out = None
+    for plan, (capacity, rows) in _packed(spark, d).items():
+        rows = packing.fill_rates(rows, capacity).select(F.lit(plan).alias("plan_id"), "*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _targets(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "mix_target").withColumn("source", mixing.bare_source("source"))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    docs = load(spark, d, "documents").select(
+        F.col("doc_id").alias("id"), mixing.bare_source("source").alias("source"), "text",
+        F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"),
+    )
+    targets = _targets(spark, d)
+    named = docs.join(F.broadcast(targets.select("source")), "source", "left_semi")
+    texts = mixing.one_per_text(tokens.count_tokens(named, "text", out="size"), targets)
+    return mixing.mix_sources(Scratch(spark).cut(texts), targets)
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_report(Scratch(spark).cut(p8_mix(spark, d)), _targets(spark, d))
+
+
 def queries() -> dict:
-    return {"p2_found": p2_found, "p4_found": p4_found, "p4_golden": p4_golden, "p5_found": p5_found, "p6_found": p6_found, "p6_profiles": p6_profiles}
+    return {"p2_found": p2_found, "p4_found": p4_found, "p4_golden": p4_golden, "p5_found": p5_found, "p6_found": p6_found, "p6_profiles": p6_profiles,
+            "p7_pack": p7_pack, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_report": p8_report}
 
 
 _HASH = r"""h AS (SELECT image_id, rpad(x, 64, '0') AS h FROM (
