@@ -1,21 +1,21 @@
 """Similarity clusters of vectors: k-means with parallel oversampled seeding, in three steps.
 
 1. Clusters so large that a bounded sample shows them are seeded from it and refined over all rows.
-2. All other rows go to the cells of their nearest pivots; inside a cell, k-means is seeded by rounds of
-   oversampling among the rows no centre covers yet. Clusters of neighbouring cells that share rows are one.
-3. Every centroid is held against the rows of all cells near it, refined, and held against them again;
-   what the final centroids show decides membership.
+2. All other rows go to cells around pivots; inside a cell, k-means is seeded by rounds of
+   oversampling among the rows no centre covers yet. Rows lie in the cells of their PROBES nearest pivots.
+3. Every centroid is held against the rows of all cells near it, and the rows around it settle the
+   members: mean and members are found again in turn until they agree.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fotoloom.llm.grouping import low_diameter_groups
 from fotoloom.llm.similar import pack, raw_rows, to_matrix, unpack
 from fotoloom.session import Scratch
 
@@ -26,6 +26,10 @@ LARGE = 20
 CELL_ROWS = 16_000
 PROBES = 2
 SEEDS_A_ROUND = 1024
+#: Rows this much less similar than ``apart`` are still looked at around a centroid; then a set whose mean has
+#: at least the cosine SETTLED to the centroid is seen whole.
+AROUND = 0.25
+SETTLED = 0.8
 
 
 def hashed_features(items: Column, weights: Column, dim: int) -> Column:
@@ -76,39 +80,45 @@ def kmeans(x: np.ndarray, tight: float, least: int, seed: int = 1) -> tuple[np.n
     seed covers rows from a little below that on. Each round draws SEEDS_A_ROUND of the rows not
     covered, keeps those not covered by each other, and covers with them; Lloyd steps follow.
     """
-    cover = np.float32(0.9 * tight * tight)
+    cover, floor = np.float32(0.9 * tight * tight), np.float32(tight - 0.1)
     rng = np.random.default_rng(seed)
-    free = rng.permutation(len(x))
-    seeds = []
+    free, found = rng.permutation(len(x)), []
     while len(free):
-        drawn, free = free[:SEEDS_A_ROUND], free[SEEDS_A_ROUND:]
+        drawn, rest = free[:SEEDS_A_ROUND], free[SEEDS_A_ROUND:]
         s = x[drawn] @ x[drawn].T >= cover
-        kept = np.zeros(len(drawn), bool)
-        alone = s.sum(axis=1) == 1
-        kept[alone] = True
-        for i in np.flatnonzero(~alone):
+        kept = s.sum(axis=1) == 1
+        for i in np.flatnonzero(~kept):
             kept[i] = not (s[i] & kept).any()
-        c = x[drawn[kept]]
-        _, cos = _best(x[free], c)
-        hit = cos >= cover
-        near = np.zeros(len(c), np.int64)
-        if hit.any():
-            near += np.bincount((x[free[hit]] @ c.T).argmax(axis=1), minlength=len(c))
-        near += (s[kept][:, ~kept]).sum(axis=1)
-        seeds.append(c[near > 0])  # a seed that covers nobody but itself is no cluster
-        free = free[~hit]
-    c = np.concatenate(seeds) if seeds else x[:0]
-    floor = cover
-    for _ in range(3):
+        c, pool = x[drawn[kept]], np.concatenate([rest, drawn])
+        low = cover
+        for _ in range(3):  # a seed between two clusters covers rows of both: only what its mean then covers is taken
+            who, cos = _best(x[pool], c)
+            hit = cos >= low
+            size = np.bincount(who[hit], minlength=len(c))
+            c = _unit(_means(x[pool[hit]], who[hit], len(c)))[size >= 2]
+            low = floor
+            if not len(c):
+                break
+        who, cos = _best(x[pool], c)
+        taken = cos >= floor
+        found.append(c)
+        taken[len(rest) :] |= kept | (rng.random(len(drawn)) < 0.5)  # each round uses up its seeds
+        free = pool[~taken]
+    c = np.concatenate(found) if found else x[:0]
+    for _ in range(2):
         who, cos = _best(x, c)
         who = np.where(cos >= floor, who, -1)
-        size = np.bincount(who[who >= 0], minlength=len(c)) if len(c) else np.zeros(0, int)
+        size = np.bincount(who[who >= 0], minlength=len(c))
         c = _unit(_means(x[who >= 0], who[who >= 0], len(c)))[size >= least] if len(c) else c
-        floor = np.float32(tight - 0.1)
     who, cos = _best(x, c)
     return c, np.where(cos >= floor, who, -1)
 
 
+def _name(ids: np.ndarray) -> int:
+    """A number that stands for a set of ids."""
+    return int.from_bytes(hashlib.blake2b(np.sort(ids).tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def _pivots(x: np.ndarray, cell_share: float) -> np.ndarray:
     """Centres of 2-means divided again until no cell holds more than ``cell_share`` of the rows."""
     rng, todo, out = np.random.default_rng(2), [np.arange(len(x))], []
@@ -127,22 +137,69 @@ def _pivots(x: np.ndarray, cell_share: float) -> np.ndarray:
     return _unit(np.stack(out)) if out else np.zeros((1, x.shape[1]), np.float32)
 
 
-_SUMS = "c bigint, n bigint, low bigint, s binary"
+def sound_sets(x: np.ndarray, tight: float, apart: float, least: int, start: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """All sound clusters found among the rows around a centroid: from it, then from the densest rows in none yet.
 
-
-def _sum_rows(x: np.ndarray, who: np.ndarray, low: np.ndarray, names: np.ndarray) -> pd.DataFrame:
-    """Per cluster the sum of its rows (as bytes of float64) and how many were too far to be members."""
-    k = np.unique(who)
-    at = np.searchsorted(k, who)
+    A set whose mean has moved far from the centroid may have rows that are not here, and is left out.
+    """
+    centre = start
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    left, rng = np.ones(len(x), bool), np.random.default_rng(4)
+    while True:
+        got = settle(x, tight, apart, least, start)
+        if got is not None and not any((got[0] == o[0]).all() for o in out):
+            if _unit(x[got[0]].sum(axis=0)[None, :])[0] @ centre >= SETTLED:
+                out.append(got)
+        if got is not None:
+            left &= ~got[0]
+        if left.sum() < least:
+            return out
+        tried = rng.choice(np.flatnonzero(left), min(64, int(left.sum())), replace=False)
+        at = np.flatnonzero(left)
+        near = x[tried] @ x[at].T >= tight * tight
+        dense = near.sum(axis=1)
+        start = _unit(x[at[near[dense.argmax()]]].sum(axis=0)[None, :])[0]
+        left[tried[dense < least]] = False  # too few rows around them to be the middle of a cluster
+        left[tried[dense.argmax()]] = False
+
+
+_SUMS = "c bigint, n bigint, s binary"
+
+
+def _sum_rows(x: np.ndarray, who: np.ndarray, names: np.ndarray) -> pd.DataFrame:
+    """Per cluster the number and sum of its rows (as bytes of float64)."""
+    k, n = np.unique(who, return_counts=True)
     sums = np.zeros((len(k), x.shape[1]))
-    np.add.at(sums, at[~low], x[~low])
-    n, far = np.bincount(at[~low], minlength=len(k)), np.bincount(at[low], minlength=len(k))
-    return pd.DataFrame({"c": names[k], "n": n, "low": far, "s": [r.tobytes() for r in sums]})
+    np.add.at(sums, np.searchsorted(k, who), x)
+    return pd.DataFrame({"c": names[k], "n": n, "s": [r.tobytes() for r in sums]})
 
 
 def _add_sums(pdf: pd.DataFrame) -> pd.DataFrame:
     total = np.frombuffer(b"".join(pdf.s), np.float64).reshape(len(pdf), -1).sum(axis=0)
-    return pd.DataFrame({"c": pdf.c[:1], "n": [pdf.n.sum()], "low": [pdf.low.sum()], "s": [total.tobytes()]})
+    return pd.DataFrame({"c": pdf.c[:1], "n": [pdf.n.sum()], "s": [total.tobytes()]})
+
+
+def settle(x: np.ndarray, tight: float, apart: float, least: int, start: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Members (mask) and cosines of a sound cluster among the rows x around the centroid ``start``; None if none.
+
+    The floor rises from apart to tight while mean and members are found again in turn; if rows between
+    the two remain, they are tried as members too.
+    """
+    for floors in ((apart - 0.05, apart, tight), (apart - 0.05, apart)):
+        mean, old = start, None
+        for floor in [*floors, *[floors[-1]] * 20]:
+            cos = x @ mean
+            member = cos >= floor
+            if member.sum() < least:
+                break
+            if old is not None and floor == floors[-1] and (member == old).all():
+                if cos[member].min() >= tight and not (cos[~member] >= apart).any():
+                    return member, cos
+                break
+            old = member
+            mean = x[member].astype(np.float64).sum(axis=0)
+            mean = (mean / np.linalg.norm(mean)).astype(np.float32)
+    return None
 
 
 def similarity_clusters(
@@ -166,15 +223,15 @@ def similarity_clusters(
 
     # 1. large clusters
     large, who = kmeans(sample, tight, LARGE)
-    for _ in range(1):
+    for floor in (apart, tight):
         told = spark.sparkContext.broadcast(large)
 
-        def large_sums(it: Iterator[pd.DataFrame], told=told) -> Iterator[pd.DataFrame]:
+        def large_sums(it: Iterator[pd.DataFrame], told=told, floor=floor) -> Iterator[pd.DataFrame]:
             for pdf in it:
                 x = to_matrix(pdf.v, dim)
                 who, cos = _best(x, told.value)
-                hit = cos >= apart
-                yield _sum_rows(x[hit], who[hit], np.zeros(hit.sum(), bool), np.arange(len(told.value)))
+                hit = cos >= floor
+                yield _sum_rows(x[hit], who[hit], np.arange(len(told.value)))
 
         if len(large):
             got = rows.select("v").mapInPandas(large_sums, _SUMS).groupBy("c").applyInPandas(_add_sums, _SUMS).toPandas()
@@ -219,31 +276,18 @@ def similarity_clusters(
                 for p in range(to.shape[1]):
                     yield pd.DataFrame({"cell": to[:, p], "own": p == 0, "id": ids, "v": raw})
 
-    # 2. k-means inside cells
-    def inside(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x, ids, own = unpack(raw_rows(pdf.v), dim), pdf.id.to_numpy(), pdf.own.to_numpy()
+    # 2. k-means inside cells; a centroid found in several cells over the same rows is one
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, ids = unpack(raw_rows(pdf.v), dim), pdf.id.to_numpy()
         c, who = kmeans(x, tight, 2)
-        at = np.flatnonzero(who >= 0)
-        rep = np.full(len(c), np.iinfo(np.int64).max)
-        np.minimum.at(rep, who[at], ids[at])
-        sums = np.zeros((len(c), dim))
-        mine = at[own[at]]
-        np.add.at(sums, who[mine], x[mine])
-        n = np.bincount(who[mine], minlength=len(c))
-        members = pd.DataFrame({"rep": rep[who[at]], "id": ids[at], "n": 0, "s": None})
-        return pd.concat([members, pd.DataFrame({"rep": rep, "id": -1, "n": n, "s": [r.astype(np.float32).tobytes() for r in sums]})[n > 0]])
+        order = np.argsort(who, kind="stable")
+        cut = np.searchsorted(who[order], np.arange(len(c) + 1))
+        names = [_name(ids[order[cut[k] : cut[k + 1]]]) for k in range(len(c))]
+        return pd.DataFrame({"c": np.array(names, np.int64), "v": pack(c)})
 
     routed = rows.mapInPandas(route, "cell int, own boolean, id bigint, v binary")
-    local = s.cut(routed.groupBy("cell").applyInPandas(inside, "rep bigint, id bigint, n bigint, s binary"))
-    reps = local.filter("s is null").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b")
-    same = low_diameter_groups(reps.select("a", "b").distinct(), "a", "b").withColumnRenamed("id", "rep")
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.frombuffer(b"".join(pdf.s), np.float32).reshape(len(pdf), -1).sum(axis=0, dtype=np.float64)
-        return pd.DataFrame({"c": pdf.c[:1], "n": [pdf.n.sum()], "low": 0, "s": [total.tobytes()]})
-
-    centres = local.filter("s is not null").join(same, "rep", "left").select(F.coalesce("group_id", "rep").alias("c"), "n", "s")
-    centres = s.cut(centres.groupBy("c").applyInPandas(add, _SUMS).filter("n >= 2"))
+    centres = routed.select("cell", "id", "v").groupBy("cell").applyInPandas(inside, "c bigint, v binary")
+    centres = s.cut(centres.dropDuplicates(["c"]))
 
     # 3. centroids against the rows of all cells near them
     reach = min(len(pivots), max(4, 2 * int(np.ceil(np.sqrt(len(pivots))))))
@@ -253,41 +297,51 @@ def similarity_clusters(
         for pdf in it:
             if not len(pdf):
                 continue
-            x = _unit(np.frombuffer(b"".join(pdf.s), np.float64).reshape(len(pdf), dim))
-            to, raw = np.argsort(-(x @ piv.T), axis=1)[:, :reach], [r.tobytes() for r in x]
+            to = np.argsort(-(unpack(raw_rows(pdf.v), dim) @ piv.T), axis=1)[:, :reach]
             for p in range(to.shape[1]):
-                yield pd.DataFrame({"cell": to[:, p], "c": pdf.c, "v": raw})
+                yield pd.DataFrame({"cell": to[:, p], "c": pdf.c, "v": pdf.v})
 
     own = routed.filter("own").select("cell", "id", "v")
 
-    def refine(r: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if r.empty or c.empty:
-            return pd.DataFrame({"c": np.empty(0, np.int64), "n": np.empty(0, np.int64), "low": np.empty(0, np.int64), "s": []})
-        x, m = unpack(raw_rows(r.v), dim), np.frombuffer(b"".join(c.v), np.float32).reshape(len(c), dim)
-        who, cos = _best(x, m)
-        hit = cos >= apart - 0.02
-        return _sum_rows(x[hit], who[hit], np.zeros(hit.sum(), bool), c.c.to_numpy())
+    around = apart - AROUND
 
-    def judge(r: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"c": np.empty(0, np.int64), "id": np.empty(0, np.int64), "cos": np.empty(0, np.float32)})]
+    def gather(r: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"c": np.empty(0, np.int64), "id": np.empty(0, np.int64), "v": []})]
         if len(r) and len(c):
-            x, m = unpack(raw_rows(r.v), dim), np.frombuffer(b"".join(c.v), np.float32).reshape(len(c), dim)
+            x, m = unpack(raw_rows(r.v), dim), unpack(raw_rows(c.v), dim)
             for at in range(0, len(x), 8192):
-                cos = x[at : at + 8192] @ m.T
-                i, j = np.nonzero(cos >= apart)
-                out.append(pd.DataFrame({"c": c.c.to_numpy()[j], "id": r.id.to_numpy()[at + i], "cos": cos[i, j]}))
+                i, j = np.nonzero(x[at : at + 8192] @ m.T >= around)
+                out.append(pd.DataFrame({"c": c.c.to_numpy()[j], "id": r.id.to_numpy()[at + i], "v": r.v.to_numpy()[at + i]}))
+            out.append(pd.DataFrame({"c": c.c, "id": None, "v": c.v}).astype({"id": "Int64"}))  # the centroid itself
+        return pd.concat(out)
+
+    none = pd.DataFrame({k: np.empty(0, t) for k, t in (("cluster_id", "i8"), ("name", "i8"), ("size", "i8"), ("close", "f8"), ("id", "i8"), ("cos", "f4"))})
+
+    def members(pdf: pd.DataFrame) -> pd.DataFrame:
+        centre = pdf.id.isna().to_numpy()
+        x, ids = unpack(raw_rows(pdf.v), dim), pdf.id.to_numpy()
+        x, start, ids = x[~centre], _unit(x[centre][:1])[0], ids[~centre].astype(np.int64)
+        out = [none]
+        for member, cos in sound_sets(x, tight, apart, least, start):
+            own, cos = ids[member], np.round(cos[member], 4)
+            out.append(pd.DataFrame({"cluster_id": own.min(), "name": _name(own), "size": len(own), "close": round(float(cos.mean()), 6), "id": own, "cos": cos}))
         return pd.concat(out)
 
-    by_cell = lambda: centres.mapInPandas(spread, "cell int, c bigint, v binary").groupBy("cell")
-    refined = own.groupBy("cell").cogroup(by_cell()).applyInPandas(refine, _SUMS)
-    centres = s.cut(refined.groupBy("c").applyInPandas(_add_sums, _SUMS).filter(F.col("n") >= least))
-    seen = s.cut(own.groupBy("cell").cogroup(by_cell()).applyInPandas(judge, "c bigint, id bigint, cos float"))
-    # two centroids that still stand for one set reach the same rows: the one with the smaller name stays
-    seen = seen.join(seen.groupBy("id").agg(F.min("c").alias("c")), ["id", "c"])
-    seen = seen.unionByName(rows.mapInPandas(members_of_large, "c bigint, id bigint, cos float").withColumn("c", -1 - F.col("c")))
-    sound = seen.groupBy("c").agg(F.count("*").alias("size"), F.min("cos").alias("worst"), F.min("id").alias("cluster_id"))
-    sound = sound.filter((F.col("size") >= least) & (F.col("worst") >= tight)).select("c", "cluster_id")
-    return seen.join(sound, "c").select("cluster_id", "id", "cos")
+    placed = centres.mapInPandas(spread, "cell int, c bigint, v binary").groupBy("cell")
+    near = own.groupBy("cell").cogroup(placed).applyInPandas(gather, "c bigint, id bigint, v binary")
+    # a cluster that no sample showed has few rows: a task may hold the rows around its centroid
+    sets = near.groupBy("c").applyInPandas(members, "cluster_id bigint, name bigint, size bigint, close double, id bigint, cos float")
+    sets = s.cut(sets.dropDuplicates(["name", "id"]))
+    # several centroids may lead to one set or to sets that overlap: of these the closest stays, whole
+    best = sets.groupBy("id").agg(F.max_by("name", F.struct("close", -F.col("name"))).alias("name"))
+    small = sets.join(best, ["id", "name"])
+    whole = small.groupBy("name", "size").count().filter("count = size").select("name")
+    small = small.join(whole, "name").select("cluster_id", "id", "cos")
+    if not len(large):
+        return small
+    big = s.cut(rows.mapInPandas(members_of_large, "c bigint, id bigint, cos float"))
+    big = big.join(big.groupBy("c").agg(F.min("id").alias("cluster_id")), "c").select("cluster_id", "id", "cos")
+    return small.unionByName(big)
 
 
 def cluster_profiles(members: DataFrame, typical: int = 3) -> DataFrame:
