@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fotoloom.llm import clusters, grouping, mixing, packing, similar, tokens, survivorship as sv
+from fotoloom.llm import clusters, grouping, mixing, packing, similar, survivorship as sv, tokens, truncation
 from fotoloom.session import Scratch, load
 
 
@@ -120,9 +120,22 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(Scratch(spark).cut(p8_mix(spark, d)), _targets(spark, d))
 
 
+def _truncated(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(load(spark, d, "documents"), "doc_id", mixing.bare_source("source"), "text")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _truncated(spark, d).filter("cut is not null").select(F.col("id").alias("doc_id"))
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncation_rates(_truncated(spark, d))
+
+
 def queries() -> dict:
     return {"p2_found": p2_found, "p4_found": p4_found, "p4_golden": p4_golden, "p5_found": p5_found, "p6_found": p6_found, "p6_profiles": p6_profiles,
-            "p7_pack": p7_pack, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_report": p8_report}
+            "p7_pack": p7_pack, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_report": p8_report,
+            "p9_found": p9_found, "p9_rates": p9_rates}
 
 
 _HASH = r"""h AS (SELECT image_id, rpad(x, 64, '0') AS h FROM (
