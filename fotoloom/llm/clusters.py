@@ -2,7 +2,7 @@
 
 1. Clusters so large that a bounded sample shows them are seeded from it and refined over all rows.
 2. All other rows go to cells around pivots; inside a cell, k-means is seeded by rounds of
-   oversampling among the rows no centre covers yet. Rows lie in the cells of their PROBES nearest pivots.
+   oversampling among the rows no centre covers yet. Centroids of several cells that are near are merged.
 3. Every centroid is held against the rows of all cells near it, and the rows around it settle the
    members: mean and members are found again in turn until they agree.
 """
@@ -17,14 +17,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fotoloom.llm.similar import pack, raw_rows, to_matrix, unpack
-from fotoloom.session import Scratch
+from fotoloom.session import Scratch, parallelism
 
 #: Bounded sample that shows large clusters and places the pivots; all rows are clustered.
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 40_000
 #: Rows of the sample from which on a cluster counts as large.
-LARGE = 20
-CELL_ROWS = 16_000
-PROBES = 2
+LARGE = 12
+CELL_ROWS = 24_000
 SEEDS_A_ROUND = 1024
 #: Rows this much less similar than ``apart`` are still looked at around a centroid; then a set whose mean has
 #: at least the cosine SETTLED to the centroid is seen whole.
@@ -89,20 +88,24 @@ def kmeans(x: np.ndarray, tight: float, least: int, seed: int = 1) -> tuple[np.n
         kept = s.sum(axis=1) == 1
         for i in np.flatnonzero(~kept):
             kept[i] = not (s[i] & kept).any()
-        c, pool = x[drawn[kept]], np.concatenate([rest, drawn])
-        low = cover
-        for _ in range(3):  # a seed between two clusters covers rows of both: only what its mean then covers is taken
-            who, cos = _best(x[pool], c)
-            hit = cos >= low
-            size = np.bincount(who[hit], minlength=len(c))
-            c = _unit(_means(x[pool[hit]], who[hit], len(c)))[size >= 2]
-            low = floor
-            if not len(c):
-                break
+        c, pool = x[drawn[kept]], np.concatenate([rest, drawn[~kept]])
         who, cos = _best(x[pool], c)
-        taken = cos >= floor
-        found.append(c)
-        taken[len(rest) :] |= kept | (rng.random(len(drawn)) < 0.5)  # each round uses up its seeds
+        hit = np.flatnonzero(cos >= cover)
+        near, who, low = x[pool[hit]], who[hit], cover
+        own = np.bincount(who, minlength=len(c))
+        c = _unit(_means(near, who, len(c)) + c)[own >= 1] if len(hit) else c[:0]
+        taken = np.zeros(len(pool), bool)
+        if len(c):
+            for _ in range(2):  # a seed between two clusters covers rows of both: only what its mean then covers is taken
+                who, cos = _best(near, c)
+                ok = cos >= floor
+                size = np.bincount(who[ok], minlength=len(c))
+                c = _unit(_means(near[ok], who[ok], len(c)))[size >= 1]
+                if not len(c):
+                    break
+            found.append(c)
+            taken[hit] = _best(near, c)[1] >= floor
+        taken[len(rest) :] |= rng.random(len(pool) - len(rest)) < 0.5  # each round uses up its seeds
         free = pool[~taken]
     c = np.concatenate(found) if found else x[:0]
     for _ in range(2):
@@ -114,6 +117,43 @@ def kmeans(x: np.ndarray, tight: float, least: int, seed: int = 1) -> tuple[np.n
     return c, np.where(cos >= floor, who, -1)
 
 
+def merge_near(c: np.ndarray, n: np.ndarray, least_cos: float) -> np.ndarray:
+    """For each centroid the index of the heaviest one it is near to, itself if none."""
+    lead = np.full(len(c), -1)
+    order = np.argsort(-n, kind="stable")
+    near = c[order] @ c[order].T >= least_cos
+    free = np.ones(len(c), bool)
+    for i in range(len(order)):
+        if free[i]:
+            mine = near[i] & free
+            mine[i] = True
+            free &= ~mine
+            lead[order[mine]] = order[i]
+    return lead
+
+
+def _pivots(x: np.ndarray, cell_share: float) -> np.ndarray:
+    """Centres of 2-means divided again, into equal halves, until no cell holds more than ``cell_share`` of the rows."""
+    rng, todo, out = np.random.default_rng(2), [np.arange(len(x))], []
+    while todo:
+        idx = todo.pop()
+        if len(idx) <= max(64, cell_share * len(x)):
+            out.append(x[idx].mean(axis=0))
+            continue
+        c = x[rng.choice(idx, 2, replace=False)]
+        for _ in range(5):
+            along = x[idx] @ (c[0] - c[1])
+            side = along > np.median(along)
+            if not side.any() or side.all():
+                break
+            c = _unit(np.stack([x[idx[side]].mean(axis=0), x[idx[~side]].mean(axis=0)]))
+        if not side.any() or side.all():  # copies of one vector
+            out.append(x[idx].mean(axis=0))
+        else:
+            todo += [idx[side], idx[~side]]
+    return _unit(np.stack(out)) if out else np.zeros((1, x.shape[1]), np.float32)
+
+
 def _name(ids: np.ndarray) -> int:
     """A number that stands for a set of ids."""
     return int.from_bytes(hashlib.blake2b(np.sort(ids).tobytes(), digest_size=8).digest(), "little", signed=True)
@@ -271,38 +311,46 @@ def similarity_clusters(
             rest = x.any(axis=1) & (_best(x, big)[1] < tight)
             x, ids = x[rest], ids[rest]
             if len(x):
-                raw = pd.Series(pack(x)).to_numpy()
-                to = np.argsort(-(x @ piv.T), axis=1)[:, :PROBES]
-                for p in range(to.shape[1]):
-                    yield pd.DataFrame({"cell": to[:, p], "own": p == 0, "id": ids, "v": raw})
+                yield pd.DataFrame({"cell": _best(x, piv)[0], "id": ids, "v": pack(x)})
 
-    # 2. k-means inside cells; a centroid found in several cells over the same rows is one
+    # 2. k-means inside cells
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
         x, ids = unpack(raw_rows(pdf.v), dim), pdf.id.to_numpy()
         c, who = kmeans(x, tight, 2)
         order = np.argsort(who, kind="stable")
         cut = np.searchsorted(who[order], np.arange(len(c) + 1))
         names = [_name(ids[order[cut[k] : cut[k + 1]]]) for k in range(len(c))]
-        return pd.DataFrame({"c": np.array(names, np.int64), "v": pack(c)})
+        return pd.DataFrame({"c": np.array(names, np.int64), "n": np.diff(cut), "v": pack(c)})
 
-    routed = rows.mapInPandas(route, "cell int, own boolean, id bigint, v binary")
-    centres = routed.select("cell", "id", "v").groupBy("cell").applyInPandas(inside, "c bigint, v binary")
-    centres = s.cut(centres.dropDuplicates(["c"]))
+    def spread(cells: int):
+        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            piv = told.value[1]
+            for pdf in it:
+                if len(pdf):
+                    to = np.argsort(-(unpack(raw_rows(pdf.v), dim) @ piv.T), axis=1)[:, :cells]
+                    for p in range(to.shape[1]):
+                        yield pd.DataFrame({"cell": to[:, p], "c": pdf.c, "n": pdf.n, "v": pdf.v})
+
+        return run
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        c, n, names = unpack(raw_rows(pdf.v), dim), pdf.n.to_numpy(), pdf.c.to_numpy()
+        heads, at = np.unique(merge_near(c, n, tight), return_inverse=True)
+        mean = _unit(_means(c * n[:, None], at, len(heads)))
+        order = np.argsort(at, kind="stable")
+        cut = np.searchsorted(at[order], np.arange(len(heads) + 1))
+        new = [_name(names[order[cut[k] : cut[k + 1]]]) for k in range(len(heads))]
+        return pd.DataFrame({"c": np.array(new, np.int64), "n": np.bincount(at, n, len(heads)).astype(np.int64), "v": pack(mean)})
+
+    routed = rows.mapInPandas(route, "cell int, id bigint, v binary")
+    placed, centre = "cell int, c bigint, n bigint, v binary", "c bigint, n bigint, v binary"
+    centres = s.cut(routed.groupBy("cell").applyInPandas(inside, centre))
+    # rows of one cluster lie in several cells: what their centroids have in common is one centroid
+    merged = centres.mapInPandas(spread(2), placed).groupBy("cell").applyInPandas(merge, centre)
+    centres = s.cut(merged.dropDuplicates(["c"]))
 
     # 3. centroids against the rows of all cells near them
-    reach = min(len(pivots), max(4, 2 * int(np.ceil(np.sqrt(len(pivots))))))
-
-    def spread(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        piv = told.value[1]
-        for pdf in it:
-            if not len(pdf):
-                continue
-            to = np.argsort(-(unpack(raw_rows(pdf.v), dim) @ piv.T), axis=1)[:, :reach]
-            for p in range(to.shape[1]):
-                yield pd.DataFrame({"cell": to[:, p], "c": pdf.c, "v": pdf.v})
-
-    own = routed.filter("own").select("cell", "id", "v")
-
+    reach = min(len(pivots), int(np.ceil(1.7 * len(pivots) ** 0.67)))
     around = apart - AROUND
 
     def gather(r: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
@@ -317,20 +365,39 @@ def similarity_clusters(
 
     none = pd.DataFrame({k: np.empty(0, t) for k, t in (("cluster_id", "i8"), ("name", "i8"), ("size", "i8"), ("close", "f8"), ("id", "i8"), ("cos", "f4"))})
 
-    def members(pdf: pd.DataFrame) -> pd.DataFrame:
-        centre = pdf.id.isna().to_numpy()
-        x, ids = unpack(raw_rows(pdf.v), dim), pdf.id.to_numpy()
-        x, start, ids = x[~centre], _unit(x[centre][:1])[0], ids[~centre].astype(np.int64)
-        out = [none]
-        for member, cos in sound_sets(x, tight, apart, least, start):
+    def settled(ids: np.ndarray, x: np.ndarray, start: np.ndarray) -> list[pd.DataFrame]:
+        out = []
+        for member, cos in sound_sets(x, tight, apart, least, start) if len(x) >= least else []:
             own, cos = ids[member], np.round(cos[member], 4)
             out.append(pd.DataFrame({"cluster_id": own.min(), "name": _name(own), "size": len(own), "close": round(float(cos.mean()), 6), "id": own, "cos": cos}))
+        return out
+
+    def runs(pdf: pd.DataFrame) -> pd.DataFrame:
+        c = pdf.c.to_numpy()
+        cut = np.flatnonzero(np.r_[True, c[1:] != c[:-1], True])
+        x, centre, ids = unpack(raw_rows(pdf.v), dim), pdf.id.isna().to_numpy(), pdf.id.fillna(-1).to_numpy().astype(np.int64)
+        out = [none]
+        for a, b in zip(cut[:-1], cut[1:]):
+            mine = a + np.flatnonzero(~centre[a:b])
+            out += settled(ids[mine], x[mine], x[a + np.argmax(centre[a:b])])
         return pd.concat(out)
 
-    placed = centres.mapInPandas(spread, "cell int, c bigint, v binary").groupBy("cell")
-    near = own.groupBy("cell").cogroup(placed).applyInPandas(gather, "c bigint, id bigint, v binary")
+    def members(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tail = None
+        for pdf in it:  # sorted by centroid; the last one's rows may go on in the next batch
+            pdf = pdf if tail is None else pd.concat([tail, pdf], ignore_index=True)
+            last = int(np.searchsorted(pdf.c.to_numpy(), pdf.c.iloc[-1])) if len(pdf) else 0
+            tail = pdf.iloc[last:]
+            if last:
+                yield runs(pdf.iloc[:last])
+        if tail is not None and len(tail):
+            yield runs(tail)
+
+    around_centres = centres.mapInPandas(spread(reach), placed).drop("n").groupBy("cell")
+    near = routed.groupBy("cell").cogroup(around_centres).applyInPandas(gather, "c bigint, id bigint, v binary")
+    near = near.repartition(2 * parallelism(spark), "c").sortWithinPartitions("c")
     # a cluster that no sample showed has few rows: a task may hold the rows around its centroid
-    sets = near.groupBy("c").applyInPandas(members, "cluster_id bigint, name bigint, size bigint, close double, id bigint, cos float")
+    sets = near.mapInPandas(members, "cluster_id bigint, name bigint, size bigint, close double, id bigint, cos float")
     sets = s.cut(sets.dropDuplicates(["name", "id"]))
     # several centroids may lead to one set or to sets that overlap: of these the closest stays, whole
     best = sets.groupBy("id").agg(F.max_by("name", F.struct("close", -F.col("name"))).alias("name"))
