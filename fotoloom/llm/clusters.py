@@ -350,7 +350,7 @@ def similarity_clusters(
     centres = s.cut(merged.dropDuplicates(["c"]))
 
     # 3. centroids against the rows of all cells near them
-    reach = min(len(pivots), int(np.ceil(1.7 * len(pivots) ** 0.67)))
+    reach = min(len(pivots), int(np.ceil(2.2 * len(pivots) ** 0.67)))
     around = apart - AROUND
 
     def gather(r: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
