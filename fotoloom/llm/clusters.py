@@ -53,13 +53,19 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x / np.where(n > 0, n, 1)).astype(np.float32)
 
 
-def _best(x: np.ndarray, c: np.ndarray, rows: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+def _blocks(rows: int, columns: int) -> Iterator[slice]:
+    """Slices of rows whose products with so many columns stay small."""
+    step = max(64, 4_000_000 // max(1, columns))
+    return (slice(at, at + step) for at in range(0, rows if columns else 0, step))
+
+
+def _best(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index and cosine of each row's nearest centre."""
     who, cos = np.zeros(len(x), np.int64), np.full(len(x), -2, np.float32)
-    for at in range(0, len(x) if len(c) else 0, rows):
-        s = x[at : at + rows] @ c.T
-        who[at : at + rows] = s.argmax(axis=1)
-        cos[at : at + rows] = s[np.arange(len(s)), who[at : at + rows]]
+    for b in _blocks(len(x), len(c)):
+        s = x[b] @ c.T
+        who[b] = s.argmax(axis=1)
+        cos[b] = s[np.arange(len(s)), who[b]]
     return who, cos
 
 
@@ -121,11 +127,11 @@ def merge_near(c: np.ndarray, n: np.ndarray, least_cos: float) -> np.ndarray:
     """For each centroid the index of the heaviest one it is near to, itself if none."""
     lead = np.full(len(c), -1)
     order = np.argsort(-n, kind="stable")
-    near = c[order] @ c[order].T >= least_cos
+    sorted_ = np.ascontiguousarray(c[order])
     free = np.ones(len(c), bool)
     for i in range(len(order)):
         if free[i]:
-            mine = near[i] & free
+            mine = free & (sorted_ @ sorted_[i] >= least_cos)
             mine[i] = True
             free &= ~mine
             lead[order[mine]] = order[i]
@@ -283,8 +289,8 @@ def similarity_clusters(
         ok, bad, twice = (np.zeros(len(c), np.int64) for _ in range(3))
         for pdf in it:
             x = to_matrix(pdf.v, dim)
-            for at in range(0, len(x), 8192):
-                cos = x[at : at + 8192] @ c.T
+            for b in _blocks(len(x), len(c)):
+                cos = x[b] @ c.T
                 member = cos >= tight
                 ok += member.sum(axis=0)
                 bad += ((cos >= apart) & ~member).sum(axis=0)
@@ -357,9 +363,9 @@ def similarity_clusters(
         out = [pd.DataFrame({"c": np.empty(0, np.int64), "id": np.empty(0, np.int64), "v": []})]
         if len(r) and len(c):
             x, m = unpack(raw_rows(r.v), dim), unpack(raw_rows(c.v), dim)
-            for at in range(0, len(x), 8192):
-                i, j = np.nonzero(x[at : at + 8192] @ m.T >= around)
-                out.append(pd.DataFrame({"c": c.c.to_numpy()[j], "id": r.id.to_numpy()[at + i], "v": r.v.to_numpy()[at + i]}))
+            for b in _blocks(len(x), len(m)):
+                i, j = np.nonzero(x[b] @ m.T >= around)
+                out.append(pd.DataFrame({"c": c.c.to_numpy()[j], "id": r.id.to_numpy()[b.start + i], "v": r.v.to_numpy()[b.start + i]}))
             out.append(pd.DataFrame({"c": c.c, "id": None, "v": c.v}).astype({"id": "Int64"}))  # the centroid itself
         return pd.concat(out)
 
