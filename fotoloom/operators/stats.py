@@ -13,6 +13,12 @@ def _percent(part: Column, whole: Column) -> Column:
     return F.coalesce(F.round(100.0 * part / F.nullif(whole, F.lit(0)), _PERCENT), F.lit(0.0))
 
 
+def _mean(degrees: str) -> Column:
+    """Mean to six decimals, summed in millionths so that the order of the rows cannot show."""
+    total = F.sum(F.round(F.col(degrees) * 1e6).cast("bigint"))
+    return F.floor(total / F.count("*") + 0.5) / 1e6
+
+
 def archive_stats(photos: DataFrame, faces: DataFrame) -> DataFrame:
     """Photos, with vector, with hash, failed, and faces, as one row."""
     a = photos.agg(
@@ -88,11 +94,11 @@ def grid_clusters(photos: DataFrame, zoom: int, preview_k: int = 1) -> DataFrame
     g = media.grid_size(zoom)
     rows = photos.filter(pr.has_gps()).select("image_id", "latitude", "longitude", media.cell("latitude", g).alias("cell_y"), media.cell("longitude", g).alias("cell_x"))
     n = rows.groupBy("cell_y", "cell_x").agg(
-        F.count("*").alias("photos"), F.avg("latitude").alias("lat"), F.avg("longitude").alias("lon"), F.min("image_id").alias("preview_id")
+        F.count("*").alias("photos"), _mean("latitude").alias("lat"), _mean("longitude").alias("lon"), F.min("image_id").alias("preview_id")
     )
     y, x = F.col("cell_y"), F.col("cell_x")
     n = n.select(
-        "cell_y", "cell_x", "photos", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "preview_id",
+        "cell_y", "cell_x", "photos", "lat", "lon", "preview_id",
         F.round(y * g, 6).alias("min_lat"), F.round((y + 1) * g, 6).alias("max_lat"), F.round(x * g, 6).alias("min_lon"), F.round((x + 1) * g, 6).alias("max_lon"),
     )
     if preview_k == 1:

@@ -417,7 +417,7 @@ def failed_files(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH g AS (SELECT *, floor(latitude / 5.0)::BIGINT AS y, floor(longitude / 5.0)::BIGINT AS x FROM photo_index WHERE {_GPS})
- SELECT y AS cell_y, x AS cell_x, count(*) AS photos, round(avg(latitude), 6) AS lat, round(avg(longitude), 6) AS lon, min(image_id) AS preview_id,
+ SELECT y AS cell_y, x AS cell_x, count(*) AS photos, floor(sum(round(latitude * 1e6::DOUBLE)::BIGINT)::DOUBLE / count(*) + 0.5::DOUBLE) / 1e6::DOUBLE AS lat, floor(sum(round(longitude * 1e6::DOUBLE)::BIGINT)::DOUBLE / count(*) + 0.5::DOUBLE) / 1e6::DOUBLE AS lon, min(image_id) AS preview_id,
  y * 5.0::DOUBLE AS min_lat, (y + 1) * 5.0::DOUBLE AS max_lat, x * 5.0::DOUBLE AS min_lon, (x + 1) * 5.0::DOUBLE AS max_lon FROM g GROUP BY y, x""")
 def grid_clusters(t: Tables) -> DataFrame:
     return stats.grid_clusters(t.photo_index, 4)
