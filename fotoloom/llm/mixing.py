@@ -27,8 +27,8 @@ def one_per_text(records: DataFrame, targets: DataFrame) -> DataFrame:
     or in several, are one text: it goes to the source that may repeat most often (then by name) under
     its smallest id there. Null sources, unnamed sources and null, zero or negative sizes are left out.
     """
-    named = targets.select("source", "max_repeats")
-    kept = records.filter("id is not null and size > 0").join(F.broadcast(named), "source")  # a row per named source
+    named = targets.filter("max_repeats > 0").groupBy("source").agg(F.max("max_repeats").alias("max_repeats"))  # a row per named source
+    kept = records.select("id", "source", "size", "h1", "h2").filter("id is not null and size > 0").join(F.broadcast(named), "source")
     best = F.min_by(F.struct("id", "source", "size"), F.struct(-F.col("max_repeats"), "source", "id")).alias("r")
     return kept.groupBy("h1", "h2").agg(best).select("r.*")
 
@@ -58,7 +58,8 @@ def mix_sources(texts: DataFrame, targets: DataFrame, seed: int = 17, slack: flo
     or negative share or cap are no targets; without texts the result is empty.
     """
     s = Scratch(texts.sparkSession)
-    targets = targets.filter("source is not null and target_share > 0 and max_repeats > 0")
+    targets = targets.select("source", "target_share", "max_repeats").filter("source is not null and target_share > 0 and max_repeats > 0")
+    texts = texts.select(F.col("id").cast("bigint").alias("id"), "source", F.col("size").cast("bigint").alias("size")).filter("id is not null and size > 0")
     supply = texts.groupBy("source").agg(F.sum("size").alias("tokens"), F.count("*").alias("n"))
     plan = targets.groupBy("source").agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("cap")).join(supply, "source")
     total = Window.partitionBy()  # over one row per named source

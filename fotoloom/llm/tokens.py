@@ -28,9 +28,10 @@ def _tokenizer(path: str):
 def count_tokens(df: DataFrame, text: str, path: str = TOKENIZER, out: str = "n_tokens") -> DataFrame:
     """The rows without ``text`` but with its token count; null and empty texts have 0 tokens.
 
+    A column of the name ``out`` that is there already is replaced.
     Texts above PIECE characters are encoded in pieces cut at line ends or blanks where there are any.
     """
-    keep = [f for f in df.schema.fields if f.name != text]
+    keep = [f for f in df.schema.fields if f.name not in (text, out)]
 
     def pieces(t: str) -> list[str]:
         done = []
