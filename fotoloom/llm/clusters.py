@@ -351,12 +351,13 @@ def similarity_clusters(
     routed = rows.mapInPandas(route, "cell int, id bigint, v binary")
     placed, centre = "cell int, c bigint, n bigint, v binary", "c bigint, n bigint, v binary"
     centres = s.cut(routed.groupBy("cell").applyInPandas(inside, centre))
-    # rows of one cluster lie in several cells: what their centroids have in common is one centroid
-    merged = centres.mapInPandas(spread(2), placed).groupBy("cell").applyInPandas(merge, centre)
-    centres = s.cut(merged.dropDuplicates(["c"]))
+    # Rows of one cluster lie in several cells: what their centroids have in common is one centroid. A
+    # merged centroid is nearer to the cluster's and so to its cell, where a second round finds the rest.
+    for _ in range(2):
+        centres = s.cut(centres.mapInPandas(spread(1), placed).groupBy("cell").applyInPandas(merge, centre))
 
     # 3. centroids against the rows of all cells near them
-    reach = min(len(pivots), int(np.ceil(2.2 * len(pivots) ** 0.67)))
+    reach = min(len(pivots), int(np.ceil(1.75 * len(pivots) ** 0.67)))
     around = apart - AROUND
 
     def gather(r: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
