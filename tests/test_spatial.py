@@ -30,8 +30,8 @@ def test_against_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(1)
     pts = [(i, float(y), float(x), 0.0, 0, 0) for i, (y, x) in enumerate(zip(rng.normal(50, 5, 400), rng.normal(10, 8, 400)))]
     pts += [(1000 + i, 50.0, 10.0, 0.0, 0, 0) for i in range(200)]  # a third of all points in one place
-    pts += [(2000, 12.3, 179.99, 0, 0, 0), (2001, 12.3, -179.99, 0, 0, 0), (2002, 89.99, 100.0, 0, 0, 0), (2003, 0.0, 0.0, 0, 0, 0), (2004, None, 1.0, 0, 0, 0),
-            (2005, float("nan"), 1.0, 0, 0, 0), (2006, 95.0, 1.0, 0, 0, 0), (None, 50.0, 10.0, 0, 0, 0), (1000, 50.0, 10.0, 0, 0, 0)]
+    pts += [(2000, 12.3, 179.99, 0.0, 0, 0), (2001, 12.3, -179.99, 0.0, 0, 0), (2002, 89.99, 100.0, 0.0, 0, 0), (2003, 0.0, 0.0, 0.0, 0, 0), (2004, None, 1.0, 0.0, 0, 0),
+            (2005, float("nan"), 1.0, 0.0, 0, 0), (2006, 95.0, 1.0, 0.0, 0, 0), (None, 50.0, 10.0, 0.0, 0, 0), (1000, 50.0, 10.0, 0.0, 0, 0)]
     places = [(1, "circle", 12.3, 179.995, 5000.0, None, 0), (2, "circle", 89.97, 40.0, 5000.0, None, 0), (3, "circle", 50.0, 10.0, 300000.0, None, 0),
               (4, "circle", None, 10.0, 5.0, None, 0), (5, "circle", 50.0, 10.0, -5.0, None, 0), (6, "outline", None, None, None, [(45.0, 5.0), (55.0, 5.0), (50.0, 20.0)], 0),
               (7, "outline", None, None, None, [(45.0, 5.0), (55.0, 5.0)], 0), (8, "outline", None, None, None, None, 0),
