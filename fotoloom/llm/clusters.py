@@ -2,7 +2,7 @@
 
 1. Clusters so large that a bounded sample shows them are seeded from it and refined over all rows.
 2. All other rows go to cells around pivots; inside a cell, k-means is seeded by rounds of
-   oversampling among the rows no centre covers yet. Centroids of several cells that are near are merged.
+   oversampling among the rows no centre covers yet. Of the near centroids of several cells the heaviest stays.
 3. Every centroid is held against the rows of all cells near it, and the rows around it settle the
    members: mean and members are found again in turn until they agree.
 """
@@ -123,41 +123,15 @@ def kmeans(x: np.ndarray, tight: float, least: int, seed: int = 1) -> tuple[np.n
     return c, np.where(cos >= floor, who, -1)
 
 
-def merge_near(c: np.ndarray, n: np.ndarray, least_cos: float) -> np.ndarray:
-    """For each centroid the index of the heaviest one it is near to, itself if none."""
-    lead = np.full(len(c), -1)
-    order = np.argsort(-n, kind="stable")
-    sorted_ = np.ascontiguousarray(c[order])
-    free = np.ones(len(c), bool)
-    for i in range(len(order)):
-        if free[i]:
-            mine = free & (sorted_ @ sorted_[i] >= least_cos)
-            mine[i] = True
-            free &= ~mine
-            lead[order[mine]] = order[i]
-    return lead
-
-
-def _pivots(x: np.ndarray, cell_share: float) -> np.ndarray:
-    """Centres of 2-means divided again, into equal halves, until no cell holds more than ``cell_share`` of the rows."""
-    rng, todo, out = np.random.default_rng(2), [np.arange(len(x))], []
-    while todo:
-        idx = todo.pop()
-        if len(idx) <= max(64, cell_share * len(x)):
-            out.append(x[idx].mean(axis=0))
-            continue
-        c = x[rng.choice(idx, 2, replace=False)]
-        for _ in range(5):
-            along = x[idx] @ (c[0] - c[1])
-            side = along > np.median(along)
-            if not side.any() or side.all():
-                break
-            c = _unit(np.stack([x[idx[side]].mean(axis=0), x[idx[~side]].mean(axis=0)]))
-        if not side.any() or side.all():  # copies of one vector
-            out.append(x[idx].mean(axis=0))
-        else:
-            todo += [idx[side], idx[~side]]
-    return _unit(np.stack(out)) if out else np.zeros((1, x.shape[1]), np.float32)
+def outweighed(c: np.ndarray, n: np.ndarray, names: np.ndarray, least_cos: float) -> np.ndarray:
+    """Which centroids have one of more rows (of ties the smaller name) near them."""
+    order = np.lexsort((names, -n))
+    x = np.ascontiguousarray(c[order])
+    out = np.zeros(len(c), bool)
+    for b in _blocks(len(x), len(x)):
+        s = x[b] @ x[: b.stop].T >= least_cos
+        out[order[b]] = (s & (np.arange(s.shape[1])[None, :] < (b.start + np.arange(len(s)))[:, None])).any(axis=1)
+    return out
 
 
 def _name(ids: np.ndarray) -> int:
@@ -339,25 +313,18 @@ def similarity_clusters(
 
         return run
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        c, n, names = unpack(raw_rows(pdf.v), dim), pdf.n.to_numpy(), pdf.c.to_numpy()
-        heads, at = np.unique(merge_near(c, n, tight), return_inverse=True)
-        mean = _unit(_means(c * n[:, None], at, len(heads)))
-        order = np.argsort(at, kind="stable")
-        cut = np.searchsorted(at[order], np.arange(len(heads) + 1))
-        new = [_name(names[order[cut[k] : cut[k + 1]]]) for k in range(len(heads))]
-        return pd.DataFrame({"c": np.array(new, np.int64), "n": np.bincount(at, n, len(heads)).astype(np.int64), "v": pack(mean)})
+    def lighter(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"c": pdf.c[outweighed(unpack(raw_rows(pdf.v), dim), pdf.n.to_numpy(), pdf.c.to_numpy(), tight)]})
 
     routed = rows.mapInPandas(route, "cell int, id bigint, v binary")
     placed, centre = "cell int, c bigint, n bigint, v binary", "c bigint, n bigint, v binary"
     centres = s.cut(routed.groupBy("cell").applyInPandas(inside, centre))
-    # Rows of one cluster lie in several cells: what their centroids have in common is one centroid. A
-    # merged centroid is nearer to the cluster's and so to its cell, where a second round finds the rest.
-    for _ in range(2):
-        centres = s.cut(centres.mapInPandas(spread(1), placed).groupBy("cell").applyInPandas(merge, centre))
+    # rows of one cluster lie in several cells: of the centroids found there the one of most rows stands for it
+    lesser = centres.mapInPandas(spread(3), placed).groupBy("cell").applyInPandas(lighter, "c bigint").distinct()
+    centres = s.cut(centres.dropDuplicates(["c"]).join(lesser, "c", "left_anti"))
 
     # 3. centroids against the rows of all cells near them
-    reach = min(len(pivots), int(np.ceil(1.75 * len(pivots) ** 0.67)))
+    reach = min(len(pivots), int(np.ceil(2.0 * len(pivots) ** 0.67)))
     around = apart - AROUND
 
     def gather(r: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
