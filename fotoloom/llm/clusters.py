@@ -142,7 +142,7 @@ def _name(ids: np.ndarray) -> int:
 def _pivots(x: np.ndarray, cell_share: float) -> np.ndarray:
     """Centres of 2-means divided again until no cell holds more than ``cell_share`` of the rows."""
     rng, todo, out = np.random.default_rng(2), [np.arange(len(x))], []
-    while todo:
+    while todo and len(x):
         idx = todo.pop()
         if len(idx) <= max(64, cell_share * len(x)):
             out.append(x[idx].mean(axis=0))

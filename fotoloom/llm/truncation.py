@@ -99,7 +99,7 @@ def strip_feed_marks(docs: DataFrame, source: str, text: str) -> DataFrame:
     least TAIL_TEXTS texts and TAIL_SHARE of the texts of some source (digits may differ).
     """
     mark = lambda c: F.regexp_replace(F.trim(F.regexp_extract(c, _TAIL, 1)), r"\d+", "9")
-    core = F.regexp_replace(F.col(text), r"^\s+|\s+$", "")
+    core = F.regexp_replace(F.col(text), r"\s+$", "")
     docs = docs.withColumn("core", core).withColumn("mark", mark(F.col("core")))
     size = docs.groupBy(source).agg(F.count("*").alias("of"))
     marks = docs.filter("mark <> ''").groupBy(source, "mark").agg(F.count("*").alias("n"))
@@ -109,15 +109,15 @@ def strip_feed_marks(docs: DataFrame, source: str, text: str) -> DataFrame:
         docs = docs.join(own, "mark", "left")
         docs = docs.withColumn("core", F.when(F.col("own"), F.regexp_replace("core", _TAIL, "")).otherwise(F.col("core"))).drop("own", "mark")
         docs = docs.withColumn("mark", mark(F.col("core")))
-    bare = F.regexp_replace(F.regexp_replace(F.col("core"), _ELLIPSIS, ""), r"\s+$", "")
+    bare = F.regexp_replace(F.regexp_replace(F.col("core"), _ELLIPSIS, ""), r"^\s+|\s+$", "")
     return docs.drop("mark").withColumn("core", bare)
 
 
 def length_spikes(rows: DataFrame) -> DataFrame:
-    """(source, unit, len, texts) of each source's lengths at which texts pile up.
+    """(source, unit, len, texts) of each source's lengths at which texts without an end pile up.
 
     ``rows`` has source, h1 and ``lens``, a map from unit (characters or bytes, of the text or its core)
-    to length. Copies of a text count once per source. Where several units spike, the one with the
+    to length, of the texts that do not close. Copies of a text count once per source. Where several units spike, the one with the
     largest spike is the source's.
     """
     hist = rows.select("source", "h1", F.explode("lens").alias("unit", "len"))
@@ -171,7 +171,7 @@ def truncated(docs: DataFrame, id_col: str, source: Column, text: str) -> DataFr
     verdict = verdict.select("h1", "h2", "closed", open_end.alias("open_end"))
 
     # limits
-    spikes = length_spikes(rows)
+    spikes = length_spikes(rows.join(verdict.filter("not closed").select("h1", "h2"), ["h1", "h2"], "left_semi"))
     units = F.explode("lens").alias("unit", "len")
     at_limit = rows.select("id", "source", units).join(spikes.withColumnRenamed("source", "src"), ["unit", "len"]).filter(F.col("source").eqNullSafe(F.col("src")))
     at_limit = at_limit.select("id").distinct().withColumn("at_limit", F.lit(True))
