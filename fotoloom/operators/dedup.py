@@ -140,3 +140,57 @@ def transfer_positions(photos: DataFrame, most: int = 6) -> DataFrame:
     donor = photos.filter(placed).select(F.col("image_id").alias("d"), "latitude", "longitude")
     best = both.join(target, "t").join(donor, "d").groupBy("t").agg(F.min(F.struct("distance", "d", "latitude", "longitude")).alias("m"))
     return best.select(F.col("t").alias("image_id"), F.col("m.d").alias("donor_id"), "m.latitude", "m.longitude", "m.distance")
+
+
+def verify_report(rows: DataFrame, photos: DataFrame, most: int) -> DataFrame:
+    """(file_path, distance, restore) of a report's DELETE lines: how far the file is from its group's KEEP, null if either hash is unreadable."""
+    h = photos.select("file_path", lanes(clean_hash("phash")).alias("l"))
+    at = rows.select("group_id", "action", "file_path").join(h, "file_path", "left")
+    keep = at.filter("action = 'KEEP'").select("group_id", F.col("l").alias("k"))
+    d = F.when(F.col("l")[0].isNotNull() & F.col("k")[0].isNotNull(), hamming(F.col("l"), F.col("k")))
+    return at.filter("action = 'DELETE'").join(keep, "group_id", "left").select("file_path", d.alias("distance"), F.coalesce(d > most, F.lit(False)).alias("restore"))
+
+
+def compare_groupings(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(group_id, members, parts, verdict): how the old groups fare under a new grouping; ids in no new group stand alone."""
+    both = old.select("group_id", "id").join(new.select("id", F.col("group_id").alias("n")), "id", "left")
+    alone = F.when(F.col("n").isNull(), F.col("id"))
+    got = both.groupBy("group_id").agg(F.count("*").alias("members"), (F.countDistinct("n") + F.countDistinct(alone)).alias("parts"))
+    return got.withColumn("verdict", F.when(F.col("parts") == 1, "kept").otherwise("split"))
+
+
+def share_positions(members: DataFrame, photos: DataFrame) -> DataFrame:
+    """(id, latitude, longitude) for members at exactly (0, 0): the position of their group's smallest id that has one."""
+    at = members.join(photos.select(F.col("image_id").alias("id"), "latitude", "longitude"), "id")
+    zero = F.coalesce((F.col("latitude") == 0) & (F.col("longitude") == 0), F.lit(False))
+    good = at.filter(has_gps() & ~zero).groupBy("group_id").agg(F.min(F.struct("id", "latitude", "longitude")).alias("g"))
+    return at.filter(zero).join(good, "group_id").select("id", F.col("g.latitude").alias("latitude"), F.col("g.longitude").alias("longitude"))
+
+
+def groups_without_position(members: DataFrame, photos: DataFrame) -> DataFrame:
+    """(group_id) of groups in which no photo has a position."""
+    at = members.join(photos.select(F.col("image_id").alias("id"), "latitude", "longitude"), "id")
+    placed = has_gps() & ~((F.col("latitude") == 0) & (F.col("longitude") == 0))
+    return at.groupBy("group_id").agg(F.bool_or(placed).alias("p")).filter("not p").select("group_id")
+
+
+def picked_groups(text: str) -> list[tuple[int, int]]:
+    """Ranges of a selector such as '1 3-5 8'; unreadable parts are skipped."""
+    out = []
+    for part in text.split():
+        a, _, b = part.partition("-")
+        if a.isdigit() and (b.isdigit() or not _):
+            out.append((int(a), int(b or a)))
+    return out
+
+
+def copy_plan(report: DataFrame, selector: str, target: str, group: str = "group_id") -> DataFrame:
+    """(group, src, dst) to copy the files of chosen groups, numbered within the group, KEEP first."""
+    want = F.lit(False)
+    for a, b in picked_groups(selector):
+        want = want | F.col(group).between(a, b)
+    w = Window.partitionBy(group).orderBy(F.desc("action"), "file_path")
+    rows = report.filter(want).withColumn("n", F.row_number().over(w))
+    name = F.element_at(F.split("file_path", "/"), -1)
+    dst = F.concat(F.lit(target.rstrip("/") + "/"), F.col(group).cast("string"), F.lit("/"), F.format_string("%02d_%s_", "n", "action"), name)
+    return rows.select(group, F.col("file_path").alias("src"), dst.alias("dst"))

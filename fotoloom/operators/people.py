@@ -61,3 +61,15 @@ def reassigned_covers(person: DataFrame, faces: DataFrame) -> DataFrame:
     stats = person_stats(person, faces).select("person_id", F.col("best_face_id").alias("new_cover"))
     both = person.select("person_id", F.col("cover_face_id").alias("old_cover")).join(stats, "person_id")
     return both.filter(~F.col("old_cover").eqNullSafe(F.col("new_cover")))
+
+
+def assign_by_nearest(faces: DataFrame, image_id: int, threshold: float = 0.6) -> DataFrame:
+    """(face_id, person_id): each unassigned face of one photo goes to the person of its nearest assigned face, from the threshold on.
+
+    The photo's few faces are the query set; all assigned faces are searched once. Ties: the smaller face id.
+    """
+    free = faces.filter((F.col("image_id") == image_id) & F.col("person_id").isNull()).select(F.col("face_id").alias("q"), F.col("face_embedding").alias("qv"))
+    known = faces.filter("person_id is not null").select("face_id", "person_id", "face_embedding")
+    near = known.join(F.broadcast(free), cosine(F.col("face_embedding"), F.col("qv")) >= threshold)
+    best = F.max_by("person_id", F.struct(cosine(F.col("face_embedding"), F.col("qv")).alias("s"), (-F.col("face_id")).alias("i")))
+    return near.groupBy("q").agg(best.alias("person_id")).withColumnRenamed("q", "face_id")

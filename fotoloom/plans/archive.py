@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fotoloom.functions import media, predicates as pr
 from fotoloom.functions.vectors import centroids, cosine_to
-from fotoloom.operators import dedup, family, membership as mb, mutations as mu, people, search, stats
+from fotoloom.operators import dedup, family, membership as mb, mutations as mu, people, search, stats, vector_pairs
+from fotoloom.plans.actions import photo_lines
 from fotoloom.plans.fixtures import Tables, ctes
 from fotoloom.sources import files
 from fotoloom.streaming import changes
@@ -544,6 +545,72 @@ def gps_transfer(t: Tables) -> DataFrame:
     return dedup.transfer_positions(t.photo_index)
 
 
+_COS = "array_cosine_similarity(a.v, b.v)"
+
+
+@query(f"""WITH v AS (SELECT image_id, lower(file_format) AS f, {_V}::DOUBLE[128] AS v FROM photo_index WHERE {_OK.format(v=_V)}),
+ c AS (SELECT a.image_id AS q, b.image_id AS p, a.f = b.f AS same, {_COS} AS s FROM v a JOIN v b ON a.image_id <> b.image_id WHERE {_COS} >= 0.98),
+ k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, p) AS r FROM c) WHERE r <= 10)
+ SELECT DISTINCT least(q, p) AS id1, greatest(q, p) AS id2 FROM k WHERE same""")
+def knn_pairs(t: Tables) -> DataFrame:
+    return vector_pairs.duplicate_pairs(t.photo_index, _V).select("id1", "id2")
+
+
+@query(f"""{_RANKED}, p AS (SELECT image_id, v FROM l) SELECT k.file_path, list_sum([bit_count(xor(a.v[i], b.v[i])) FOR i IN [1, 2, 3, 4]])::INT AS distance,
+ list_sum([bit_count(xor(a.v[i], b.v[i])) FOR i IN [1, 2, 3, 4]]) > 3 AS restore FROM k JOIN k t ON t.group_id = k.group_id AND t.rank = 1 JOIN p a ON a.image_id = k.id JOIN p b ON b.image_id = t.id
+ WHERE k.rank > 1 AND k.file_path IN (SELECT file_path FROM photo_index GROUP BY file_path HAVING count(*) = 1) AND t.file_path IN (SELECT file_path FROM photo_index GROUP BY file_path HAVING count(*) = 1)""")
+def report_check(t: Tables) -> DataFrame:
+    """Each DELETE of a report against its KEEP; only paths that stand for one photo."""
+    once = t.photo_index.groupBy("file_path").count().filter("count = 1").select("file_path")
+    photos = t.photo_index.join(once, "file_path", "left_semi")
+    got = dedup.verify_report(dedup.parse_report(dedup.report_lines(_ranked(t))), photos, 3)
+    return got.filter("distance is not null")
+
+
+@query(f"""{_GROUPS}, x AS (SELECT group_no AS g, image_id AS id FROM dup_report WHERE group_no IS NOT NULL AND image_id IS NOT NULL GROUP BY ALL)
+ SELECT g AS group_id, count(*) AS members, count(DISTINCT group_id) + count(DISTINCT CASE WHEN group_id IS NULL THEN x.id END) AS parts,
+ CASE WHEN count(DISTINCT group_id) + count(DISTINCT CASE WHEN group_id IS NULL THEN x.id END) = 1 THEN 'kept' ELSE 'split' END AS verdict FROM x LEFT JOIN m ON m.id = x.id GROUP BY g""")
+def group_comparison(t: Tables) -> DataFrame:
+    old = t.dup_report.select(F.col("group_no").alias("group_id"), F.col("image_id").alias("id")).dropna().distinct()
+    return dedup.compare_groupings(old, dedup.components(dedup.hash_pairs(t.photo_index, 6)))
+
+
+_AT = f"""x AS (SELECT DISTINCT group_no AS g, image_id, latitude, longitude, {_GPS} AND NOT (latitude = 0 AND longitude = 0) AS ok FROM dup_report JOIN photo_index USING (image_id) WHERE group_no IS NOT NULL)"""
+
+
+@query(f"""WITH {_AT} SELECT x.image_id AS id, d.latitude, d.longitude FROM x JOIN (SELECT g, arg_min(latitude, image_id) AS latitude, arg_min(longitude, image_id) AS longitude FROM x WHERE ok GROUP BY g) d USING (g)
+ WHERE x.latitude = 0 AND x.longitude = 0""")
+def group_positions(t: Tables) -> DataFrame:
+    m = t.dup_report.select(F.col("group_no").alias("group_id"), F.col("image_id").alias("id")).dropna().distinct()
+    return dedup.share_positions(m, t.photo_index)
+
+
+@query(f"""WITH {_AT} SELECT g AS group_id FROM x GROUP BY g HAVING NOT bool_or(coalesce(ok, false))""")
+def groups_without_position(t: Tables) -> DataFrame:
+    m = t.dup_report.select(F.col("group_no").alias("group_id"), F.col("image_id").alias("id")).dropna().distinct()
+    return dedup.groups_without_position(m, t.photo_index)
+
+
+@query(f"""WITH {_FV}, q AS (SELECT face_id AS q, v AS qv FROM fv WHERE person_id IS NULL AND image_id = (SELECT min(image_id) FROM faces WHERE person_id IS NULL))
+ SELECT q AS face_id, arg_max(person_id, (s, -face_id)) AS person_id FROM (SELECT q, face_id, person_id, list_cosine_similarity(v, qv) AS s FROM fv, q WHERE person_id IS NOT NULL) WHERE s >= 0.3 GROUP BY q""")
+def nearest_assign(t: Tables) -> DataFrame:
+    this = t.faces.filter("person_id is null").agg(F.min("image_id")).first()[0]
+    return people.assign_by_nearest(t.faces, this, 0.3)
+
+
+@query("""WITH n AS (SELECT image_id, string_agg(DISTINCT name, ', ' ORDER BY name) AS persons FROM faces JOIN person USING (person_id) GROUP BY image_id),
+ g AS (SELECT image_id, string_agg(DISTINCT name, ', ' ORDER BY name) AS tags FROM photo_tag JOIN tag USING (tag_id) GROUP BY image_id)
+ SELECT image_id, concat_ws(chr(10), 'File: ' || file_name, 'Taken: ' || strftime(photo_date, '%Y-%m-%d %H:%M'), 'Size: ' || concat_ws(' x ', width::VARCHAR, height::VARCHAR), 'Persons: ' || persons, 'Tags: ' || tags) AS lines
+ FROM photo_index LEFT JOIN n USING (image_id) LEFT JOIN g USING (image_id) WHERE width IS NOT NULL AND file_name <> ''""")
+def photo_context(t: Tables) -> DataFrame:
+    names = lambda df, key: df.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("x"))
+    persons = names(t.faces.join(t.person.select("person_id", "name"), "person_id"), "image_id").withColumnRenamed("x", "persons")
+    tags = names(t.photo_tag.join(t.tag.select("tag_id", "name"), "tag_id"), "image_id").withColumnRenamed("x", "tags")
+    rows = t.photo_index.filter("width is not null and file_name <> ''").withColumns({"latitude": F.lit(None).cast("double"), "longitude": F.lit(None).cast("double")})
+    rows = rows.join(persons, "image_id", "left").join(tags, "image_id", "left")
+    return rows.select("image_id", photo_lines(F.col("persons"), F.col("tags")).alias("lines"))
+
+
 # --- sources, changes -----------------------------------------------------------------------------
 
 
