@@ -11,19 +11,19 @@ from fotoloom.operators.search import Spec
 
 #: Actions that a request may hold, fixed values.
 ALLOWED = ["text_search", "set_persons", "set_bounds", "set_date_range", "set_formats", "set_tags", "exclude_tags", "clear_filters"]
-_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|["{}\[\]]', re.S)
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|"(?:[^"\\]|\\.)*\\?\Z|[{}\[\]]', re.S)
 
 
 def closed_json(text: str) -> str:
     """A JSON text that broke off, closed: an open string, then the open brackets; a comma at the end goes."""
-    due, lone = [], False
-    for t in _TOKEN.findall(text):
-        if t in "{[":
-            due.append("}" if t == "{" else "]")
-        elif t in "}]" and due:
+    due, last = [], ""
+    for last in _TOKEN.findall(text):
+        if last in ("{", "["):
+            due.append("}" if last == "{" else "]")
+        elif last in ("}", "]") and due:
             due.pop()
-        lone = t == '"'
-    text = text + '"' if lone else text.rstrip().removesuffix(",")
+    broken = last.startswith('"') and text.endswith(last) and not re.fullmatch(r'"(?:[^"\\]|\\.)*"', last, re.S)
+    text = text.removesuffix("\\") + '"' if broken else text.rstrip().removesuffix(",")
     return text + "".join(reversed(due))
 
 
