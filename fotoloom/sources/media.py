@@ -20,14 +20,15 @@ SIDE, FACTOR = 16, 4
 def perceptual_hash(grey: np.ndarray, side: int = SIDE) -> str:
     """Hex hash of side x side low frequencies of the picture, each bit telling whether one exceeds their median."""
     n = side * FACTOR
-    rows, cols = (np.linspace(0, s, n + 1) for s in grey.shape)
-    area = np.cumsum(np.cumsum(np.pad(grey.astype(np.float64), ((1, 0), (1, 0))), axis=0), axis=1)
-    at = lambda a, p, axis: np.take(a, np.minimum(p.astype(int), a.shape[axis] - 1), axis=axis)
-    corner = at(at(area, rows, 0), cols, 1)
-    small = np.diff(np.diff(corner, axis=0), axis=1)
+    grey = grey.astype(np.float64)
+    for axis in (0, 1):  # shrink by the mean of equal parts, after repeating pixels where there are too few
+        grey = np.repeat(grey, -(-n // grey.shape[axis]), axis=axis) if grey.shape[axis] < n else grey
+        cut = (np.arange(n + 1) * grey.shape[axis]) // n
+        size = np.diff(cut).reshape((-1, 1) if axis == 0 else (1, -1))
+        grey = np.add.reduceat(grey, cut[:-1], axis=axis) / size
     k = np.arange(n)
     basis = np.cos(np.pi * np.outer(k[:side], 2 * k + 1) / (2 * n))
-    low = basis @ small @ basis.T
+    low = basis @ grey @ basis.T
     bits = (low > np.median(low)).ravel()
     return np.packbits(bits).tobytes().hex()
 
