@@ -81,3 +81,16 @@ def route_function(path: Column, rules: Sequence[tuple[str, str]]) -> Column:
 def allowed(function: Column, is_admin: Column, is_public: Column, granted: Column) -> Column:
     """No function asked, an admin, a public section or a grant."""
     return function.isNull() | is_admin | F.coalesce(is_public, F.lit(False)) | F.coalesce(granted, F.lit(False))
+
+
+def users_with_grants(users: DataFrame, grants: DataFrame) -> DataFrame:
+    """(user_id, display_name, functions): each user's function codes in order; empty without any."""
+    lists = grants.select("user_id", "function_code").distinct().groupBy("user_id").agg(F.array_sort(F.collect_list("function_code")).alias("functions"))
+    out = users.select("user_id", "display_name").join(lists, "user_id", "left")
+    return out.withColumn("functions", F.coalesce("functions", F.array().cast("array<string>")))
+
+
+def live_sessions(session: DataFrame, users: DataFrame, now: str, idle: str = "30 minutes") -> DataFrame:
+    """Sessions whose last activity is not older than ``idle``, with their user."""
+    at = F.lit(now).cast("timestamp_ntz") - F.expr(f"interval {idle}")
+    return session.filter(F.col("last_active_at") >= at).join(users.select("user_id", "display_name", "is_admin"), "user_id")

@@ -139,3 +139,16 @@ def reset_failures(photos: DataFrame, ids: list[int] | None = None) -> DataFrame
 def mark_faces_indexed(photos: DataFrame, faces: DataFrame) -> DataFrame:
     """Photos that have faces get faces_indexed 1."""
     return set_values(photos, faces.select("image_id"), "image_id", {"faces_indexed": F.lit(1)})
+
+
+def delete_persons(person: DataFrame, faces: DataFrame, relations: DataFrame, ids: list[int]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Persons go with their relations; their faces stay, unassigned."""
+    gone = lambda c: F.coalesce(F.col(c).isin(ids), F.lit(False))
+    free = faces.withColumn("person_id", F.when(~gone("person_id"), F.col("person_id")))
+    return person.filter(~gone("person_id")), free, relations.filter(~gone("person_id_from") & ~gone("person_id_to"))
+
+
+def raise_marks(users: DataFrame, uploads: DataFrame, key: str = "user_id", mark: str = "last_seen_at", at: str = "ts") -> DataFrame:
+    """Users with a mark that follows their latest upload and never goes back."""
+    latest = uploads.groupBy(key).agg(F.max(at).alias("__latest"))
+    return users.join(latest, key, "left").select(*[F.greatest(F.col(mark), F.col("__latest").cast("timestamp_ntz")).alias(mark) if c == mark else F.col(c) for c in users.columns])

@@ -657,6 +657,47 @@ def session_runs(t: Tables) -> DataFrame:
     return got.select("user_id", "touches", F.row_number().over(w).cast("bigint").alias("session_no"))
 
 
+@query(f"""WITH {_PV}, q AS (SELECT v FROM pv ORDER BY image_id LIMIT 1), s AS (SELECT image_id, list_cosine_similarity(pv.v, q.v) AS s FROM pv, q),
+ k AS (SELECT image_id FROM s WHERE s >= 0.06 AND s >= 0.55 * (SELECT max(s) FROM s)) SELECT image_id, 12 AS tag_id FROM k
+ WHERE image_id NOT IN (SELECT image_id FROM photo_tag)""")
+def vector_to_tags(t: Tables) -> DataFrame:
+    """Links to add when a search's best photos, as far as untagged, get a tag."""
+    s = t.photo_index.select("image_id", cosine_to(_V, first_vector(t)).alias("similarity"))
+    best = pr.untagged(search.adaptive_cut(s, 0.55, 0.06), t.photo_tag)
+    return mu.add_tags(t.photo_tag, best, t.tag.filter("tag_id = 12"))
+
+
+@query(f"""{ctes("grants")} SELECT user_id, display_name, coalesce((SELECT string_agg(DISTINCT function_code, ',' ORDER BY function_code) FROM grants g WHERE g.user_id = u.user_id), '') AS functions FROM app_user u""")
+def users_with_grants(t: Tables) -> DataFrame:
+    return mb.users_with_grants(t.app_user, t.grants).withColumn("functions", F.array_join("functions", ","))
+
+
+@query("SELECT user_id, username FROM app_user WHERE last_seen_at >= TIMESTAMP '2023-06-01 12:00:00' - INTERVAL 100 DAY")
+def live_sessions(t: Tables) -> DataFrame:
+    s = t.app_user.select("user_id", "username", F.col("last_seen_at").alias("last_active_at"))
+    return mb.live_sessions(s, t.app_user, "2023-06-01 12:00:00", "100 days").select("user_id", "username")
+
+
+@query("""WITH j AS (SELECT image_id, CASE WHEN json_valid(exif_data) AND json_type(exif_data) = 'OBJECT' THEN trim(json_extract_string(exif_data, '$.DateTimeOriginal')) END AS d FROM photo_index)
+ SELECT image_id, try_strptime(d, '%Y:%m:%d %H:%M:%S')::DATE AS taken FROM j WHERE try_strptime(d, '%Y:%m:%d %H:%M:%S') IS NOT NULL""")
+def exif_dates(t: Tables) -> DataFrame:
+    readable = t.photo_index.filter(F.schema_of_variant(F.try_parse_json("exif_data")).startswith("OBJECT"))
+    return readable.select("image_id", media.exif_date(F.col("exif_data")).cast("date").alias("taken")).filter("taken is not null")
+
+
+@query(f"""WITH {_REL} SELECT a AS parent_id, b AS child_id, p.name AS parent_name, c.name AS child_name FROM par LEFT JOIN person p ON p.person_id = a LEFT JOIN person c ON c.person_id = b""")
+def family_tree(t: Tables) -> DataFrame:
+    e = family.clean_relations(t.person_relation).filter("relation_type = 'parent'")
+    side = lambda key, name: t.person.select(F.col("person_id").alias(key), F.col("name").alias(name))
+    e = e.select(F.col("person_id_from").alias("parent_id"), F.col("person_id_to").alias("child_id"))
+    return e.join(side("parent_id", "parent_name"), "parent_id", "left").join(side("child_id", "child_name"), "child_id", "left")
+
+
+@query("""SELECT user_id, greatest(last_seen_at, m)::DATE AS last_day FROM app_user LEFT JOIN (SELECT user_id, max(ts) AS m FROM events GROUP BY user_id) USING (user_id)""")
+def raised_marks(t: Tables) -> DataFrame:
+    return mu.raise_marks(t.app_user, t.events).select("user_id", F.col("last_seen_at").cast("date").alias("last_day"))
+
+
 # --- mutations ------------------------------------------------------------------------------------
 
 

@@ -90,3 +90,17 @@ def write_by_person(crops: DataFrame, path: str) -> None:
     """Face crops, a folder per person."""
     crops.write.mode("overwrite").partitionBy("person_id").parquet(path)
 
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """(group_no, line_no, action, mb, file_path) of a written report, read whole so that each file line finds the header above it.
+
+    A header is a line of equals signs around words with the group's number before a bracket; lines of
+    another form are skipped, file lines before the first header have no group.
+    """
+    text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "\r", "").alias("t"))
+    parts = text.select(F.posexplode(F.split("t", r"(?m)^(?==== )")).alias("i", "part"))
+    lines = parts.select("i", F.regexp_extract("part", r"^=== [^\n]*?(\d+) \(", 1).try_cast("bigint").alias("group_no"), F.posexplode(F.split("part", "\n")).alias("line_no", "line"))
+    p = r"^(KEEP|DELETE)\s+\[\s*([0-9.]+) MB\]\s(.*)$"
+    get = lambda n: F.regexp_extract("line", p, n)
+    return lines.filter(F.col("line").rlike(p)).select("group_no", "line_no", get(1).alias("action"), get(2).cast("double").alias("mb"), get(3).alias("file_path"))

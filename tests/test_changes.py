@@ -93,3 +93,47 @@ def test_positions_in_text(spark):
     texts = ["48.5, 9.25", "48°30'0\"N 9°15'0\"E", "https://maps.example/@-33.5,151.25,15z", "nowhere", "99, 9", None]
     got = [r.p for r in spark.createDataFrame([(t,) for t in texts], "t string").select(media.parse_position(F.col("t")).alias("p")).collect()]
     assert [None if g is None else tuple(g) for g in got] == [(48.5, 9.25), (48.5, 9.25), (-33.5, 151.25), None, None, None]
+
+
+def test_media_functions(spark):
+    one = spark.range(1)
+    c = F.lit
+
+    def value(col):
+        return one.select(col.alias("x")).first().x
+
+    assert tuple(value(media.rotated_box(*[c(v) for v in (1.0, 2.0, 3.0, 5.0, 10.0, 20.0)], 270))) == (2.0, 7.0, 5.0, 9.0)
+    assert tuple(value(media.fit_inside(c(400), c(100), 200))) == (200, 50) and tuple(value(media.fit_inside(c(40), c(10), 200))) == (40, 10)
+    assert value(media.rotate(c(270), c(180))) == 90
+    assert str(value(media.iso_timestamp(c("2024-05-06T07:08:09+03:00")))) == "2024-05-06 07:08:09" and value(media.iso_timestamp(c("soon"))) is None
+    assert str(value(media.exif_date(c('{"DateTime": "2001/02/03 04:05:06", "DateTimeOriginal": "0000:00:00 00:00:00"}')))) == "2001-02-03 04:05:06"
+    assert value(media.mapped_path(c("d:\\Photos\\a.jpg"), "D:/photos/", "/srv")) == "/srv/a.jpg" and value(media.mapped_path(c("/x/a.jpg"), "/photos", "/srv")) == "/x/a.jpg"
+    assert value(media.video_kind(c(bytearray(b"\0\0\0\x14ftypqt  ")))) == "mov" and value(media.video_kind(c(bytearray(b"\0\0\0\x14ftypmp42")))) == "mp4" and value(media.video_kind(c(bytearray(b"abcdefghijkl")))) is None
+    assert value(media.tag_name(c("  Old Mill "))) == "old mill" and value(media.tag_name(c("  "))) is None
+    assert value(media.approximate_date(c("1950-01-01").cast("date"))) and not value(media.approximate_date(c("2001-01-01").cast("date")))
+    assert value(media.clean_exif_value(c("\0 a\tb \x07"), 2)) == "ab" and value(media.clean_exif_value(c("\0"))) is None
+    assert value(media.dms_to_decimal(c(33), c(30), c(0.0), c("s"))) == -33.5
+    assert value(media.content_key(c("x"), 8)) == "11f6ad8e"
+    assert media.grid_size(0) == 30.0 and media.grid_size(99) == 0.001
+
+
+def test_report_file(spark, tmp_path):
+    (tmp_path / "r.txt").write_text("Duplicates\n\n=== Group 1 (2 files) ===\nKEEP   [  1.5 MB] /a/b c.jpg\nDELETE [ 10.0 MB] /a/d.jpg\n\n=== Group 2 (1 files) ===\r\nKEEP   [  0.0 MB] /e.jpg\n")
+    got = [(r.group_no, r.action, r.mb, r.file_path) for r in files.read_report(spark, str(tmp_path / "r.txt")).orderBy("group_no", "line_no").collect()]
+    assert got == [(1, "KEEP", 1.5, "/a/b c.jpg"), (1, "DELETE", 10.0, "/a/d.jpg"), (2, "KEEP", 0.0, "/e.jpg")]
+
+
+def test_paths_and_routes(spark):
+    rows = [("a.jpg", 1.0, 2.0, "2020-05-01 00:00:00", "ff" * 20), ("b.png", None, None, None, "ee" * 20), ("Thumbs.db", 1.0, 1.0, None, ""), ("noext", 0.0, 0.0, None, "")]
+    df = spark.createDataFrame(rows, "n string, lat double, lon double, taken string, sha string").withColumn("taken", F.col("taken").cast("timestamp_ntz"))
+    assert [r.x for r in df.select(files.sort_route("n", "lat", "lon", "taken").alias("x")).collect()] == ["gps/2020/05", "type/png", "junk", "other"]
+    up = [r.x for r in df.limit(2).select(files.upload_path("taken", "taken", "n", "sha").alias("x")).collect()]
+    assert up == ["/uploads/2020/05/01/a.jpg", "/uploads/undated/" + "ee" * 8 + ".png"]
+
+
+def test_delete_persons(spark):
+    person = spark.createDataFrame([(1,), (2,)], "person_id bigint")
+    faces = spark.createDataFrame([(5, 1), (6, 2), (7, None)], "face_id bigint, person_id bigint")
+    rel = spark.createDataFrame([(1, 2), (2, None)], "person_id_from bigint, person_id_to bigint")
+    p, f, r = mu.delete_persons(person, faces, rel, [1])
+    assert [x.person_id for x in p.collect()] == [2] and {x.face_id: x.person_id for x in f.collect()} == {5: None, 6: 2, 7: None} and r.count() == 1
