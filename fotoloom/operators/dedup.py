@@ -64,13 +64,15 @@ def components(pairs: DataFrame, a: str = "id1", b: str = "id2") -> DataFrame:
         own = low.filter("u <> m").select("u", F.col("m").alias("v"))
         return links.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(own).filter("u <> v").distinct()
 
-    while True:
-        new = s.cut(star(star(e, True), False))
-        changed = not new.exceptAll(e).isEmpty() or not e.exceptAll(new).isEmpty()
-        s.free(e)
-        e = new
-        if not changed:
-            break
+    def signature(edges: DataFrame) -> tuple:
+        return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40)), F.sum(F.xxhash64("v", "u") % (1 << 40))).first())
+
+    # After the first round links point from larger to smaller ids, so equal signatures mean equal links.
+    before = None
+    while before != (now := signature(e)):
+        before, old = now, e
+        e = s.cut(star(star(old, True), False))
+        s.free(old)
     low = e.groupBy("u").agg(F.min("v").alias("group_id")).withColumnRenamed("u", "id")
     return every.join(low, "id", "left").select("id", F.coalesce("group_id", "id").alias("group_id"))
 
