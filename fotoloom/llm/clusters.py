@@ -243,19 +243,18 @@ def similarity_clusters(
 
     # 1. large clusters
     large, who = kmeans(sample, tight, LARGE)
-    for floor in (apart, tight):
-        told = spark.sparkContext.broadcast(large)
+    told = spark.sparkContext.broadcast(large)
 
-        def large_sums(it: Iterator[pd.DataFrame], told=told, floor=floor) -> Iterator[pd.DataFrame]:
-            for pdf in it:
-                x = to_matrix(pdf.v, dim)
-                who, cos = _best(x, told.value)
-                hit = cos >= floor
-                yield _sum_rows(x[hit], who[hit], np.arange(len(told.value)))
-
-        if len(large):
-            got = rows.select("v").mapInPandas(large_sums, _SUMS).groupBy("c").applyInPandas(_add_sums, _SUMS).toPandas()
-            large = _unit(np.frombuffer(b"".join(got.s), np.float64).reshape(len(got), dim)) if len(got) else large[:0]
+    def large_sums(it: Iterator[pd.DataFrame], told=told) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            x = to_matrix(pdf.v, dim)
+            who, cos = _best(x, told.value)
+            hit = cos >= apart
+            yield _sum_rows(x[hit], who[hit], np.arange(len(told.value)))
+
+    if len(large):  # the sample's means are near those of all rows, so one step over all rows is enough
+        got = rows.select("v").mapInPandas(large_sums, _SUMS).groupBy("c").applyInPandas(_add_sums, _SUMS).toPandas()
+        large = _unit(np.frombuffer(b"".join(got.s), np.float64).reshape(len(got), dim)) if len(got) else large[:0]
     told = spark.sparkContext.broadcast(large)
 
     def count_large(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -38,15 +38,13 @@ def unit_vector(c: Column | str, dim: int) -> Column:
 
 def to_matrix(col: pd.Series, dim: int) -> np.ndarray:
     """Vectors as float32 rows of length 1; a row of zeros for what is no vector."""
-    out = np.zeros((len(col), dim), np.float32)
-    for i, v in enumerate(col):
-        if v is not None and len(v) == dim:
-            out[i] = v
-    out[~np.isfinite(out).all(axis=1)] = 0
-    norm = np.linalg.norm(out.astype(np.float64), axis=1)
-    ok = (norm > 0) & np.isfinite(norm)
-    out[~ok] = 0
-    out[ok] /= norm[ok, None]
+    out, values = np.zeros((len(col), dim), np.float32), col.to_list()
+    fit = np.fromiter((v is not None and len(v) == dim for v in values), bool, len(values))
+    if fit.any():
+        m = np.concatenate([v for v, f in zip(values, fit) if f]).astype(np.float32, copy=False).reshape(-1, dim)
+        square = np.einsum("ij,ij->i", m, m, dtype=np.float64)
+        ok = (square > 0) & np.isfinite(square)
+        out[np.flatnonzero(fit)[ok]] = m[ok] / np.sqrt(square[ok])[:, None].astype(np.float32)
     return out
 
 
