@@ -60,8 +60,9 @@ def add_tags(photo_tag: DataFrame, images: DataFrame, tags: DataFrame) -> DataFr
 
 
 def remove_tags(photo_tag: DataFrame, images: DataFrame, tags: DataFrame) -> DataFrame:
-    gone = images.select("image_id").distinct().crossJoin(F.broadcast(tags.select("tag_id").distinct()))
-    return photo_tag.join(gone, ["image_id", "tag_id"], "left_anti")
+    """The links without those of any of the images to any of the tags."""
+    both = photo_tag.join(_flag(images, "image_id", "__i"), "image_id", "left").join(_flag(tags, "tag_id", "__t"), "tag_id", "left")
+    return both.filter("not (coalesce(__i, false) and coalesce(__t, false))").select(*photo_tag.columns)
 
 
 def delete_photos(photos: DataFrame, children: dict[str, DataFrame], gone: DataFrame, key: str = "image_id") -> dict[str, DataFrame]:
