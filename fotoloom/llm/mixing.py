@@ -28,7 +28,7 @@ def one_per_text(records: DataFrame, targets: DataFrame) -> DataFrame:
     its smallest id there. Null sources, unnamed sources and null, zero or negative sizes are left out.
     """
     named = targets.filter("max_repeats > 0").groupBy("source").agg(F.max("max_repeats").alias("max_repeats"))  # a row per named source
-    kept = records.select("id", "source", "size", "h1", "h2").filter("id is not null and size > 0").join(F.broadcast(named), "source")
+    kept = records.select("id", "source", "size", "h1", "h2").filter("id is not null and size > 0").join(named, "source")
     best = F.min_by(F.struct("id", "source", "size"), F.struct(-F.col("max_repeats"), "source", "id")).alias("r")
     return kept.groupBy("h1", "h2").agg(best).select("r.*")
 
@@ -69,7 +69,7 @@ def mix_sources(texts: DataFrame, targets: DataFrame, seed: int = 17, slack: flo
     uses = F.least(F.col("cap"), F.ceil(F.col("budget") * F.col("share") / F.col("tokens") - 1e-9).cast("int") + 1)
     need = F.floor(F.col("budget") * F.col("share") + 1e-6).cast("bigint").alias("need")
     plan = s.cut(plan.select("source", "share", need, "n", uses.alias("uses")))
-    used = texts.join(F.broadcast(plan.drop("share", "need")), "source").withColumn("use", F.explode(F.sequence(F.lit(1), F.col("uses"))))
+    used = texts.join(plan.drop("share", "need"), "source").withColumn("use", F.explode(F.sequence(F.lit(1), F.col("uses"))))
     used = used.withColumn("h", F.pmod(F.xxhash64("id", "use", F.lit(seed)), F.lit(1 << 52)))
     bucket = F.floor(F.col("h") * F.ceil(F.col("n") / BUCKET_ROWS) / float(1 << 52)).cast("bigint")
     used = used.withColumn("bucket", bucket).select("id", "source", "size", "use", "h", "bucket")
@@ -77,7 +77,7 @@ def mix_sources(texts: DataFrame, targets: DataFrame, seed: int = 17, slack: flo
     gap = plan.select("source", F.lit(0).cast("bigint").alias("done"), F.col("need").alias("open"), F.lit(None).cast("struct<use:int,h:bigint,id:bigint>").alias("last"))
     taken = None
     for _ in range(1 + rounds):
-        rest = used.join(F.broadcast(gap), "source").filter((F.col("size") <= F.col("open")) & (F.col("last").isNull() | (order > F.col("last"))))
+        rest = used.join(gap, "source").filter((F.col("size") <= F.col("open")) & (F.col("last").isNull() | (order > F.col("last"))))
         new = s.cut(_running(rest.drop("last")).filter("upto <= open").select("id", "source", "use", "size", "h", (F.col("done") + F.col("upto")).alias("upto")))
         taken = new if taken is None else taken.unionByName(new)
         got = new.groupBy("source").agg(F.sum("size").alias("got"), F.max(order).alias("end"))
@@ -87,7 +87,7 @@ def mix_sources(texts: DataFrame, targets: DataFrame, seed: int = 17, slack: flo
         if left.isEmpty():
             break
         gap = gap.drop("got")
-    out = taken.join(F.broadcast(plan.select("source", "share")), "source").withColumn("finish", F.col("upto") / F.col("share"))
+    out = taken.join(plan.select("source", "share"), "source").withColumn("finish", F.col("upto") / F.col("share"))
     return out.select("finish", "id", "source", "use", "size").orderBy("finish", "source", "use", "id")
 
 

@@ -111,7 +111,7 @@ def p8_mix(spark: SparkSession, d: str) -> DataFrame:
         F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"),
     )
     targets = _targets(spark, d)
-    named = docs.join(F.broadcast(targets.select("source")), "source", "left_semi")
+    named = docs.join(targets.select("source"), "source", "left_semi")
     texts = mixing.one_per_text(tokens.count_tokens(named, "text", out="size"), targets)
     return mixing.mix_sources(Scratch(spark).cut(texts), targets)
 
