@@ -277,20 +277,22 @@ def similarity_clusters(
     pivots = _pivots(sample[~taken], CELL_ROWS / max(1.0, total * float((~taken).mean() if len(taken) else 1)))
     told = spark.sparkContext.broadcast((large, pivots))
 
-    def members_of_large(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            who, cos = _best(to_matrix(pdf.v, dim), told.value[0])
-            hit = cos >= tight
-            yield pd.DataFrame({"c": who[hit], "id": pdf.id[hit], "cos": cos[hit]})
-
-    def route(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Members of large clusters with their cluster, all other rows with their cell and vector."""
         big, piv = told.value
         for pdf in it:
             x, ids = to_matrix(pdf.v, dim), pdf.id.to_numpy()
-            rest = x.any(axis=1) & (_best(x, big)[1] < tight)
-            x, ids = x[rest], ids[rest]
-            if len(x):
-                yield pd.DataFrame({"cell": _best(x, piv)[0], "id": ids, "v": pack(x)})
+            who, cos = _best(x, big)
+            hit = cos >= tight
+            if hit.any():
+                yield pd.DataFrame({"cell": None, "c": who[hit], "id": ids[hit], "cos": cos[hit], "v": None}).astype({"cell": "Int32"})
+            rest = x.any(axis=1) & ~hit
+            if rest.any():
+                x = x[rest]
+                yield pd.DataFrame({"cell": _best(x, piv)[0], "c": None, "id": ids[rest], "cos": None, "v": pack(x)}).astype({"c": "Int64", "cos": "Float32"})
+
+    everywhere = s.cut(rows.mapInPandas(place, "cell int, c bigint, id bigint, cos float, v binary"))
+    routed = everywhere.filter("cell is not null").select("cell", "id", "v")
 
     # 2. k-means inside cells
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -315,7 +317,6 @@ def similarity_clusters(
     def lighter(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"c": pdf.c[outweighed(unpack(raw_rows(pdf.v), dim), pdf.n.to_numpy(), pdf.c.to_numpy(), tight)]})
 
-    routed = rows.mapInPandas(route, "cell int, id bigint, v binary")
     placed, centre = "cell int, c bigint, n bigint, v binary", "c bigint, n bigint, v binary"
     centres = s.cut(routed.groupBy("cell").applyInPandas(inside, centre))
     # rows of one cluster lie in several cells: of the centroids found there the one of most rows stands for it
@@ -379,7 +380,7 @@ def similarity_clusters(
     small = small.join(whole, "name").select("cluster_id", "id", "cos")
     if not len(large):
         return small
-    big = s.cut(rows.mapInPandas(members_of_large, "c bigint, id bigint, cos float"))
+    big = everywhere.filter("c is not null").select("c", "id", "cos")
     big = big.join(big.groupBy("c").agg(F.min("id").alias("cluster_id")), "c").select("cluster_id", "id", "cos")
     return small.unionByName(big)
 
