@@ -39,7 +39,7 @@ def _key(bits: np.ndarray, salt: np.ndarray) -> np.ndarray:
     packed = np.packbits(bits, axis=1)
     words = np.zeros((len(bits), -(-packed.shape[1] // 8) * 8), np.uint8)
     words[:, : packed.shape[1]] = packed
-    h = salt.astype(np.uint64)
+    h = salt.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     for w in words.view(np.uint64).T:
         h = (h ^ w) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
@@ -82,6 +82,8 @@ def _links(ids: np.ndarray, lane: np.ndarray, key: np.ndarray, most: int) -> pd.
         pairs = np.array(_spanning(lane[s], most), dtype=np.int64).reshape(-1, 2)
         a.append(ids[s][pairs[:, 0]]), b.append(ids[s][pairs[:, 1]])
     a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
+    other = a != b  # two bands of one hash may meet by chance in a key
+    a, b = a[other], b[other]
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
