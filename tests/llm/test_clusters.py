@@ -79,3 +79,14 @@ def test_settle_refuses_what_has_strangers_near():
     near = (np.cos(angle) * c + np.sin(angle) * np.eye(32)[1])[None, :].astype(np.float32)
     stranger = np.concatenate([clusters._unit(c + 0.01 * rng.normal(size=(200, 32))), near])
     assert clusters.settle(stranger, 0.75, 0.70, 5, c.astype(np.float32)) is None
+
+
+def test_finds_small_clusters_over_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "CELL_ROWS", 64)
+    rng = np.random.default_rng(5)
+    unit = lambda n: clusters._unit(rng.normal(size=(n, 128)))
+    centres = unit(150)
+    rows = [(5 * g + k, c + 0.65 * e) for g, c in enumerate(centres) for k, e in enumerate(unit(5))]
+    rows += [(10_000 + k, v) for k, v in enumerate(unit(6000))]
+    got = members(clusters.similarity_clusters(frame(spark, rows), "id", "v", dim=128))
+    assert [g for g in range(150) if got.get(5 * g) != set(range(5 * g, 5 * g + 5))] == []
