@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from fotoloom.functions.vectors import centroids, cosine
 from fotoloom.operators.search import top_k
+from fotoloom.session import parallelism
+
+#: Centroids, and about as many unassigned faces, that a task multiplies.
+CENTRE_ROWS, FACE_ROWS = 8_000, 20_000
 
 
 def person_stats(person: DataFrame, faces: DataFrame) -> DataFrame:
@@ -45,17 +51,49 @@ def assign_by_centroid(faces: DataFrame, person_ids: list[int] | None = None, th
     """(face_id, person_id): each unassigned face goes to the smallest person id whose centroid reaches the threshold.
 
     That is what going through the persons by id gives, as a face once taken is taken and no gain moves
-    another centroid. Centroids are joined, not collected; they are few beside the faces.
+    another centroid. A task holds a slice of the faces against a block of the centroids by matrix products;
+    vectors that are zero, not ``dim`` long or not all numbers take no part.
     """
     known = faces.filter("person_id is not null")
     if person_ids is not None:
         known = known.filter(F.col("person_id").isin(person_ids))
     centre = centroids(known, "person_id", "face_embedding", dim).select(F.col("person_id").alias("p"), "centroid")
-    free = faces.filter("person_id is null").select("face_id", "face_embedding")
-    near = free.join(centre, cosine(F.col("face_embedding"), F.col("centroid")) >= threshold)
+    free = faces.filter(F.col("person_id").isNull() & F.col("face_id").isNotNull() & (F.size("face_embedding") == dim)).select("face_id", "face_embedding")
+    persons = known.select("person_id").distinct().count()
+    blocks = max(1, -(-persons // CENTRE_ROWS))
+    slices = max(parallelism(faces.sparkSession), -(-free.count() // FACE_ROWS))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    free = free.select("face_id", "face_embedding", part("face_id", slices).alias("slice"), every(blocks).alias("block"))
+    centre = centre.select("p", "centroid", every(slices).alias("slice"), part("p", blocks).alias("block"))
+
+    def first(f: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"face_id": np.empty(0, np.int64), "p": np.empty(0, np.int64)})]
+        if len(f) and len(c):
+            c = c.sort_values("p")
+            x, m = (_units(v) for v in (f["face_embedding"], c["centroid"]))
+            x32, m32 = x.astype(np.float32), m.astype(np.float32)
+            step = max(64, 4_000_000 // len(m))
+            for at in range(0, len(x), step):
+                s = x32[at : at + step] @ m32.T
+                ok = s >= threshold
+                i, j = np.nonzero(np.abs(s - np.float32(threshold)) < 1e-4)  # single precision does not decide these
+                ok[i, j] = (x[at + i] * m[j]).sum(axis=1) >= threshold
+                hit = ok.any(axis=1)
+                out.append(pd.DataFrame({"face_id": f.face_id.to_numpy()[at : at + step][hit], "p": c.p.to_numpy()[ok.argmax(axis=1)[hit]]}))
+        return pd.concat(out)
+
+    near = free.groupBy("slice", "block").cogroup(centre.groupBy("slice", "block")).applyInPandas(first, "face_id bigint, p bigint")
     return near.groupBy("face_id").agg(F.min("p").alias("person_id"))
 
 
+def _units(vectors: pd.Series) -> np.ndarray:
+    """Unit vectors as rows; NaN, which reaches no threshold, for zero vectors and those that are not all numbers."""
+    x = np.stack(vectors.to_list()).astype(np.float64)
+    n = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x / np.where(n > 0, n, np.nan)
+
+
 def reassigned_covers(person: DataFrame, faces: DataFrame) -> DataFrame:
     """(person_id, old_cover, new_cover) where the best face differs from the cover; none without faces."""
     stats = person_stats(person, faces).select("person_id", F.col("best_face_id").alias("new_cover"))

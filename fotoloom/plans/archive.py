@@ -245,6 +245,14 @@ def centroid_assign(t: Tables) -> DataFrame:
     return people.assign_by_centroid(t.faces, [2, 7, 183])
 
 
+@query(f"""WITH {_FV}, e AS (SELECT person_id, unnest(range(1, 129)) AS i, unnest(face_embedding::DOUBLE[]) AS x FROM faces WHERE person_id IS NOT NULL AND len(face_embedding) = 128),
+ a AS (SELECT person_id, i, avg(x) AS x FROM e GROUP BY person_id, i), c AS (SELECT person_id AS p, list(x ORDER BY i) AS c FROM a GROUP BY person_id HAVING max(abs(x)) > 0)
+ SELECT face_id, min(p) AS person_id FROM fv, c WHERE person_id IS NULL AND list_cosine_similarity(fv.v, c.c) >= 0.5 GROUP BY face_id""")
+def centroid_assign_all(t: Tables) -> DataFrame:
+    """As ``centroid_assign``, with every person."""
+    return people.assign_by_centroid(t.faces)
+
+
 # --- joins and memberships ------------------------------------------------------------------------
 
 

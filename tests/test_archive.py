@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from fotoloom.operators import dedup, search
+from fotoloom.operators import dedup, people, search
 from fotoloom.plans import archive, problems
 
 NAMES = [n for m in (archive, problems) for n in m.queries()]
@@ -102,3 +102,13 @@ def test_plan_pushes_filters_down(spark, data):
 def test_registered_queries_have_sql():
     missing = set(archive.queries()) - set(archive.oracle_sql())
     assert not missing
+
+
+def test_centroids_of_all_persons(spark, monkeypatch):
+    monkeypatch.setattr(people, "CENTRE_ROWS", 2)
+    axis = lambda *i: [1.0 if k in i else 0.0 for k in range(8)]
+    rows = [(p, p, axis(p)) for p in range(1, 6)] + [(100 + p, None, axis(p)) for p in range(1, 6)]
+    rows += [(200, None, axis(2, 5)), (201, None, axis(6)), (202, None, axis()), (203, None, None), (204, None, [1.0])]
+    faces = spark.createDataFrame(rows, "face_id bigint, person_id bigint, face_embedding array<float>")
+    got = {r.face_id: r.person_id for r in people.assign_by_centroid(faces, dim=8).collect()}
+    assert got == {101: 1, 102: 2, 103: 3, 104: 4, 105: 5, 200: 2}
