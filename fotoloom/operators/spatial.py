@@ -130,11 +130,24 @@ def _inside(px: np.ndarray, py: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> n
     return (np.count_nonzero(cross & (px < at), axis=0) % 2) == 1
 
 
+def _edge_distance(px: np.ndarray, py: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+    """Metres to the ring, whose edges are straight in degrees: the great-circle distance to the point of each edge
+    that is nearest in the plane whose longitudes shrink as at the point; an edge may be met across longitude 180."""
+    least = np.full(len(px), np.inf)
+    for x, y, ex, ey in zip(xs, ys, np.roll(xs, -1) - xs, np.roll(ys, -1) - ys):
+        at = px + 360 * np.round((x + ex / 2 - px) / 360)
+        k = np.cos(np.radians(py)) ** 2
+        long = ex * ex * k + ey * ey
+        t = np.clip(((at - x) * ex * k + (py - y) * ey) / np.where(long > 0, long, 1), 0, 1)
+        least = np.minimum(least, _np_distance(y + t * ey, x + t * ex, py, at))
+    return least
+
+
 def regions(places: DataFrame, region_id: str = "place_id", kind: str = "place_kind", margin_m: float = 0.0) -> DataFrame:
-    """Normalise places to (region_id, lat, lon, radius_m, xs, ys, x0, y0, x1, y1), a row per box.
+    """Normalise places to (region_id, lat, lon, radius_m, xs, ys, x0, y0, x1, y1, margin_m), a row per box.
 
     Circles with null, negative or non-number fields and outlines of fewer than three points hold no
-    point and are left out; ``margin_m`` widens circles and drops outlines unless it is 0.
+    point and are left out; ``margin_m`` widens circles and outlines.
     """
     pad = 1e-9
     circle = places.filter(
@@ -153,36 +166,42 @@ def regions(places: DataFrame, region_id: str = "place_id", kind: str = "place_k
     box = lambda x0, x1: F.struct(x0.alias("x0"), x1.alias("x1"))
     lo, hi = F.col("lon") - F.col("w"), F.col("lon") + F.col("w")
     west, east = F.lit(-180.0), F.lit(180.0)
-    circle = circle.withColumn(
-        "b",
-        F.explode(
-            F.when(F.col("w") >= 180, F.array(box(west, east)))
-            .when(lo < -180, F.array(box(west, hi), box(lo + 360, east)))
-            .when(hi > 180, F.array(box(lo, east), box(west, hi - 360)))
-            .otherwise(F.array(box(lo, hi)))
-        ),
-    ).select(
+    boxes = lambda whole, lo, hi: F.explode(
+        F.when(whole, F.array(box(west, east)))
+        .when(lo < -180, F.array(box(west, hi), box(lo + 360, east)))
+        .when(hi > 180, F.array(box(lo, east), box(west, hi - 360)))
+        .otherwise(F.array(box(lo, hi)))
+    )
+    circle = circle.withColumn("b", boxes(F.col("w") >= 180, lo, hi)).select(
         "region_id", "lat", "lon", "radius_m", F.lit(None).cast("array<double>").alias("xs"), F.lit(None).cast("array<double>").alias("ys"),
         "b.x0", (F.col("lat") - F.col("d")).alias("y0"), "b.x1", (F.col("lat") + F.col("d")).alias("y1"),
     )
-    if margin_m:
-        return circle
     ring = F.filter("outline", lambda p: p.isNotNull() & p["latitude"].isNotNull() & p["longitude"].isNotNull())
     outline = places.filter((F.col(kind) == "outline") & F.col(region_id).isNotNull()).select(
         F.col(region_id).alias("region_id"), F.transform(ring, lambda p: p["longitude"]).alias("xs"), F.transform(ring, lambda p: p["latitude"]).alias("ys")
     )
     null = F.lit(None).cast("double")
-    return circle.unionByName(
-        outline.filter(F.size("xs") >= 3).select(
-            "region_id", null.alias("lat"), null.alias("lon"), null.alias("radius_m"), "xs", "ys",
-            F.array_min("xs").alias("x0"), F.array_min("ys").alias("y0"), F.array_max("xs").alias("x1"), F.array_max("ys").alias("y1"),
-        )
+    outline = outline.filter(F.size("xs") >= 3).select(
+        "region_id", null.alias("lat"), null.alias("lon"), null.alias("radius_m"), "xs", "ys",
+        F.array_min("xs").alias("x0"), F.array_min("ys").alias("y0"), F.array_max("xs").alias("x1"), F.array_max("ys").alias("y1"),
     )
+    if margin_m:
+        angle = margin_m / EARTH_RADIUS_M
+        d = float(np.degrees(angle)) + pad
+        far = F.greatest(F.abs("y0"), F.abs("y1"))  # the latitude where the margin is widest in degrees
+        w = F.when(far + d >= 90, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.lit(float(np.sin(angle))) / F.cos(F.radians(far))))) + pad)
+        lo, hi = F.col("x0") - w, F.col("x1") + w
+        outline = outline.withColumn("b", boxes((hi - lo >= 360) | ((lo < -180) & (hi > 180)), lo, hi)).select(
+            "region_id", "lat", "lon", "radius_m", "xs", "ys", "b.x0", (F.col("y0") - d).alias("y0"), "b.x1", (F.col("y1") + d).alias("y1")
+        )
+    return circle.unionByName(outline).withColumn("margin_m", F.lit(float(margin_m)))
 
 
-def points_in_regions(points: DataFrame, point_id: str, region_rows: DataFrame, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
+def points_in_regions(points: DataFrame, point_id: str, region_rows: DataFrame, lat: str = "latitude", lon: str = "longitude", metres: bool = False) -> DataFrame:
     """Every (region_id, point_id) where the point lies in the region (see ``regions``), each once.
 
+    With ``metres`` also the distance to a circle's centre or an outline's nearest edge (0 inside).
+
     Points without a position (``has_position``) and null ids take no part; a repeated point id gives
     one row; empty inputs give an empty result; further columns of ``points`` are not read.
     """
@@ -231,7 +250,7 @@ def points_in_regions(points: DataFrame, point_id: str, region_rows: DataFrame,
     boxes = boxes.withColumn("task", F.explode(region_tasks("leaf", mix("region_id"))))
 
     def probe(p: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"region_id": np.empty(0, np.int64), "point_id": np.empty(0, np.int64)})
+        none = pd.DataFrame({"region_id": np.empty(0, np.int64), "point_id": np.empty(0, np.int64), "metres": np.empty(0)})
         if p.empty or r.empty:
             return none
         x, y = p.x.to_numpy(), p.y.to_numpy()
@@ -239,21 +258,27 @@ def points_in_regions(points: DataFrame, point_id: str, region_rows: DataFrame,
         order = np.argsort(hit, kind="stable")
         at, hit = at[order], hit[order]
         lat0, lon0, rad = (r[c].to_numpy(dtype=np.float64) for c in ("lat", "lon", "radius_m"))
-        ok = np.zeros(len(at), dtype=bool)
+        ok, far, margin = np.zeros(len(at), dtype=bool), np.zeros(len(at)), r.margin_m.to_numpy(dtype=np.float64)
         round_ = ~np.isnan(rad[hit])
-        ok[round_] = _np_distance(lat0[hit[round_]], lon0[hit[round_]], y[at[round_]], x[at[round_]]) <= rad[hit[round_]]
+        far[round_] = _np_distance(lat0[hit[round_]], lon0[hit[round_]], y[at[round_]], x[at[round_]])
+        ok[round_] = far[round_] <= rad[hit[round_]]
         edge = np.flatnonzero(np.diff(hit)) + 1
         for part in np.split(np.arange(len(hit)), edge):
             if len(part) and np.isnan(rad[hit[part[0]]]):
                 i = hit[part[0]]
-                ok[part] = _inside(x[at[part]], y[at[part]], np.asarray(r["xs"].iloc[i], float), np.asarray(r["ys"].iloc[i], float))
+                xs, ys = np.asarray(r["xs"].iloc[i], float), np.asarray(r["ys"].iloc[i], float)
+                ok[part] = _inside(x[at[part]], y[at[part]], xs, ys)
+                if margin[i] > 0:
+                    out = part[~ok[part]]
+                    far[out] = _edge_distance(x[at[out]], y[at[out]], xs, ys)
+                    ok[out] = far[out] <= margin[i]
         # Two boxes of one region that meet in a leaf may both report the point.
-        out = pd.DataFrame({"region_id": r.region_id.to_numpy()[hit[ok]], "point_id": p.point_id.to_numpy()[at[ok]]})
-        return out.drop_duplicates()
+        out = pd.DataFrame({"region_id": r.region_id.to_numpy()[hit[ok]], "point_id": p.point_id.to_numpy()[at[ok]], "metres": far[ok]})
+        return out.drop_duplicates(["region_id", "point_id"])
 
-    out = T.StructType([T.StructField("region_id", T.LongType()), T.StructField("point_id", T.LongType())])
+    out = T.StructType([T.StructField("region_id", T.LongType()), T.StructField("point_id", T.LongType()), T.StructField("metres", T.DoubleType())])
     found = pts.groupBy("leaf", "task").cogroup(boxes.groupBy("leaf", "task")).applyInPandas(probe, out)
-    return found.distinct()
+    return found.dropDuplicates(["region_id", "point_id"]) if metres else found.select("region_id", "point_id").distinct()
 
 
 def near_points(points: DataFrame, point_id: str, queries: DataFrame, query_id: str, radius_m: float) -> DataFrame:

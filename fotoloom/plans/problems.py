@@ -40,7 +40,7 @@ NEAR_M = 1000.0
 def p3_near(spark: SparkSession, d: str) -> DataFrame:
     """Photos in or within NEAR_M of a circle, with the distance to its centre in whole metres."""
     photos, place = load(spark, d, "photo_index"), load(spark, d, "place")
-    found = points_in_regions(photos, "image_id", regions(place, margin_m=NEAR_M))
+    found = points_in_regions(photos, "image_id", regions(place.filter("place_kind = 'circle'"), margin_m=NEAR_M))
     at = photos.select(F.col("image_id").alias("point_id"), F.col("latitude").alias("y"), F.col("longitude").alias("x"))
     centre = place.select(F.col("place_id").alias("region_id"), "latitude", "longitude")
     return found.join(at, "point_id").join(centre, "region_id").select(
@@ -49,8 +49,14 @@ def p3_near(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p3_near_all(spark: SparkSession, d: str) -> DataFrame:
+    """Photos in or within NEAR_M of a circle or an outline, with the distance to its centre or nearest edge (0 inside) in whole metres."""
+    found = points_in_regions(load(spark, d, "photo_index"), "image_id", regions(load(spark, d, "place"), margin_m=NEAR_M), metres=True)
+    return found.select(F.col("region_id").alias("place_id"), F.col("point_id").alias("image_id"), F.round("metres").cast("bigint").alias("metres"))
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_hierarchy": p1_hierarchy, "p1_self_descent": p1_self_descent, "p3_found": p3_found, "p3_near": p3_near}
+    return {"p1_found": p1_found, "p1_hierarchy": p1_hierarchy, "p1_self_descent": p1_self_descent, "p3_found": p3_found, "p3_near": p3_near, "p3_near_all": p3_near_all}
 
 
 _EDGES = """e AS (SELECT DISTINCT person_id_from AS a, person_id_to AS b FROM person_relation
@@ -79,6 +85,17 @@ def oracle_sql() -> dict[str, str]:
         "p3_near": f"""WITH {_PHOTOS}
  SELECT c.place_id, p.image_id, round({_M})::BIGINT AS metres FROM p, place c
  WHERE c.place_kind = 'circle' AND {_M} <= c.radius_m + {NEAR_M}""",
+        "p3_near_all": f"""WITH {_PHOTOS},
+ edge AS (SELECT place_id, unnest(outline) AS v, unnest(list_append(outline[2:], outline[1])) AS w FROM place WHERE place_kind = 'outline'),
+ e AS (SELECT place_id, image_id, p.latitude, p.longitude, v.latitude AS y, v.longitude AS x, w.latitude - v.latitude AS ey, w.longitude - v.longitude AS ex,
+   p.longitude + 360 * round(((v.longitude + w.longitude) / 2 - p.longitude) / 360) AS s, pow(cos(radians(p.latitude)), 2) AS k,
+   (v.latitude > p.latitude) <> (w.latitude > p.latitude)
+    AND p.longitude < v.longitude + (p.latitude - v.latitude) * (w.longitude - v.longitude) / (w.latitude - v.latitude) AS crossed FROM p, edge),
+ n AS (SELECT *, CASE WHEN ex = 0 AND ey = 0 THEN 0 ELSE greatest(0.0, least(1.0, ((s - x) * ex * k + (latitude - y) * ey) / (ex * ex * k + ey * ey))) END AS t FROM e),
+ o AS (SELECT place_id, image_id, CASE WHEN count(*) FILTER (crossed) % 2 = 1 THEN 0 ELSE min({_M.replace("p.longitude", "s").replace("p.", "").replace("c.latitude", "(y + t * ey)").replace("c.longitude", "(x + t * ex)")}) END AS m
+  FROM n GROUP BY place_id, image_id)
+ SELECT place_id, image_id, round(m)::BIGINT AS metres FROM o WHERE m <= {NEAR_M}
+ UNION ALL SELECT c.place_id, p.image_id, round({_M})::BIGINT FROM p, place c WHERE c.place_kind = 'circle' AND {_M} <= c.radius_m + {NEAR_M}""",
     }
 
 

@@ -54,3 +54,12 @@ def test_empty(spark):
     assert sp.points_in_regions(none, "image_id", sp.regions(place)).count() == 0
     some = spark.createDataFrame([(1, 1.0, 1.0, 0.0, 0, 0)], POINT)
     assert sp.points_in_regions(some, "image_id", sp.regions(place.limit(0))).count() == 0
+
+
+def test_near_outlines(spark):
+    square = [(10.0, 179.9), (10.0, 179.995), (10.1, 179.995), (10.1, 179.9)]
+    pts = [(1, 10.05, 179.95), (2, 10.105, 179.95), (3, 10.05, -179.999), (4, 10.05, -179.9), (5, 10.12, 179.95), (6, 10.0001, 179.8995)]
+    pts = spark.createDataFrame([(*p, 0.0, 0, 0) for p in pts], POINT)
+    place = spark.createDataFrame([(1, "outline", None, None, None, square, 0)], PLACE)
+    got = {r.point_id: round(r.metres) for r in sp.points_in_regions(pts, "image_id", sp.regions(place, margin_m=1000.0), metres=True).collect()}
+    assert got == {1: 0, 2: 556, 3: 657, 6: 55}
