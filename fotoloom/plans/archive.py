@@ -300,6 +300,28 @@ def album_append(t: Tables) -> DataFrame:
     return got.select(F.col("album_id").cast("int").alias("album_id"), "image_id", F.col("sort_order").cast("bigint").alias("sort_order"))
 
 
+@query(f"""{ctes("album_whole", "album_photo_whole")} SELECT album_id, title, count(DISTINCT image_id) AS photo_count FROM album_whole LEFT JOIN album_photo_whole USING (album_id)
+ WHERE user_id = 5 OR is_public GROUP BY album_id, title""")
+def album_list_all(t: Tables) -> DataFrame:
+    """As ``album_list``, over the albums of all orders; so are the next two."""
+    return mb.album_list(t.album_whole, t.album_photo_whole, 5).select("album_id", "title", "photo_count")
+
+
+@query(f"""{ctes("album_photo_whole")} SELECT image_id, sort_order, file_name FROM album_photo_whole JOIN photo_index USING (image_id) WHERE album_id = 3 AND {_HIDDEN}""")
+def album_photos_all(t: Tables) -> DataFrame:
+    rows = pr.visible(mb.album_photos(3, t.album_photo_whole, t.photo_index), t.photo_tag, t.tag)
+    return rows.select("image_id", "sort_order", "file_name")
+
+
+@query(f"""{ctes("album_photo_whole")}, h AS (SELECT image_id FROM album_photo_whole WHERE album_id = 3)
+ SELECT 3 AS album_id, image_id, (SELECT coalesce(max(sort_order), 0) FROM album_photo_whole WHERE album_id = 3) + row_number() OVER (ORDER BY image_id) AS sort_order
+ FROM (SELECT DISTINCT image_id FROM faces WHERE person_id = 2) WHERE image_id NOT IN (SELECT image_id FROM h)""")
+def album_append_all(t: Tables) -> DataFrame:
+    want = t.faces.filter("person_id = 2").select("image_id", F.col("image_id").alias("position"))
+    got = mb.appended(3, want, t.album_photo_whole)
+    return got.select(F.col("album_id").cast("int").alias("album_id"), "image_id", F.col("sort_order").cast("bigint").alias("sort_order"))
+
+
 @query("SELECT tag_id, name, is_system, count(DISTINCT image_id) AS photos FROM tag LEFT JOIN photo_tag USING (tag_id) GROUP BY ALL")
 def tag_counts(t: Tables) -> DataFrame:
     return mb.tag_counts(t.tag, t.photo_tag)

@@ -112,3 +112,8 @@ def test_centroids_of_all_persons(spark, monkeypatch):
     faces = spark.createDataFrame(rows, "face_id bigint, person_id bigint, face_embedding array<float>")
     got = {r.face_id: r.person_id for r in people.assign_by_centroid(faces, dim=8).collect()}
     assert got == {101: 1, 102: 2, 103: 3, 104: 4, 105: 5, 200: 2}
+
+
+def test_albums_of_all_orders(spark, data):
+    free = spark.read.parquet(f"{data}/orders.parquet").filter("1 + o_custkey % 200 = 5 or o_orderstatus = 'F'")
+    assert entry.queries()["album_list_all"](spark, data).count() == free.count()
