@@ -1,11 +1,12 @@
 """The most similar vectors of every vector: vantage-point trees per shard with relaxed pruning.
 
-A tree over a bounded sample cuts the space into shards of equal share; every vector is indexed in one
-shard and sent as a query to each shard that the pruning rule cannot exclude. Inside a shard a second
-tree is searched for all queries at once. A subtree is left out when |d(q, vantage) - radius| exceeds
-the query's current reach divided by ``relax``: by the triangle inequality relax = 1 loses nothing, and
-since two close vectors differ little in their distance to a third, larger factors lose few neighbours
-and prune far more.
+Shards are the cells around pivots drawn from a bounded sample. Of two vectors in different cells, the
+distances to the wall between them sum up to no more than their own distance; so if each vector is also
+sent to every cell whose wall is within half the reach, any two vectors within the reach meet in some
+cell. Inside a cell all its rows are indexed under a vantage-point tree and all are queries. A subtree
+is left out when |d(q, vantage) - radius| exceeds the query's current reach divided by ``relax``: by the
+triangle inequality relax = 1 loses nothing, and since two close vectors differ little in their distance
+to a third, or to a wall, larger factors lose few neighbours and prune far more.
 """
 
 from __future__ import annotations
@@ -16,13 +17,18 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fotoloom.session import Scratch
 
-#: Rows of a table's sample that shape the shards; every row is indexed.
-SAMPLE_ROWS = 20_000
-#: Rows that a shard holds about, and the least number of shards (as power of two).
-SHARD_ROWS = 65_536
-MIN_DEPTH = 3
+#: Rows of a cell for each row of the sample, and the most rows of the sample; every row is indexed.
+ROWS_A_SAMPLE_ROW, SAMPLE_ROWS = 500, 200_000
+#: Rows that belong to a shard about, the least number of shards, and the pivots of one node.
+SHARD_ROWS = 16_384
+MIN_SHARDS = 8
+FANOUT = 4096
+#: Rows from which on a shard that pivots do not part is searched block against block.
+BLOCK_ROWS = 131_072
 LEAF_ROWS = 128
 _BATCH = 4096
+#: What single precision may be off in a distance.
+SLACK = np.float32(1e-3)
 _QUERY_ROWS = 32_768
 
 
@@ -48,8 +54,10 @@ def to_matrix(col: pd.Series, dim: int) -> np.ndarray:
     return out
 
 
-def pack(x: np.ndarray) -> list[bytes]:
-    """A float32 scale and 12-bit integers: of unit vectors the cosine is off by about 1e-4 at most."""
+def pack(x: np.ndarray, exact: bool = False) -> list[bytes]:
+    """A float32 scale and 12-bit integers: of unit vectors the cosine is off by about 1e-4 at most. ``exact``: float32 as it is."""
+    if exact:
+        return [r.tobytes() for r in x.astype("<f4")]
     scale = np.abs(x).max(axis=1).astype(np.float32)
     q = (np.rint(x / np.where(scale > 0, scale, 1)[:, None] * 2047) + 2048).astype(np.uint16)
     if q.shape[1] % 2:
@@ -66,6 +74,8 @@ def raw_rows(col: pd.Series) -> np.ndarray:
 
 
 def unpack(raw: np.ndarray, dim: int) -> np.ndarray:
+    if raw.shape[1] == 4 * dim:
+        return np.ascontiguousarray(raw).view("<f4")
     scale = np.ascontiguousarray(raw[:, :4]).view("<f4")
     a, b, c = (raw[:, i::3].astype(np.int16) for i in (4, 5, 6))
     q = np.empty((len(raw), 2 * a.shape[1]), np.float32)
@@ -73,6 +83,56 @@ def unpack(raw: np.ndarray, dim: int) -> np.ndarray:
     return q[:, :dim] * (scale / np.float32(2047))
 
 
+class Cells:
+    """Cells around pivots drawn from the sample x, of which each row stands for ``weight`` rows.
+
+    A cell that by the sample receives more than four times SHARD_ROWS is divided again around pivots of
+    its own, unless that would only copy its rows; ``blocks`` says in how many blocks a leaf is searched.
+    """
+
+    def __init__(self, x: np.ndarray, weight: float, margin: float, seed: int = 3):
+        self.margin, self.blocks = margin, []
+        self.rng = np.random.default_rng(seed)
+        self.root = self._node(x, np.arange(len(x)), weight, MIN_SHARDS)
+
+    def _node(self, x: np.ndarray, here: np.ndarray, weight: float, least: int):
+        rows = len(here) * weight
+        n = min(FANOUT, max(least, -int(-rows // SHARD_ROWS)), len(here) // 4)
+        if n >= 2 and (rows > 4 * SHARD_ROWS or least > 1):
+            pivots = x[self.rng.choice(here, n, replace=False)]
+            kids = [np.empty(0, np.int64)] * n
+            for k, idx in self._reached(pivots, x[here]):
+                kids[k] = here[idx]
+            if max(map(len, kids)) <= 0.7 * len(here) and sum(map(len, kids)) <= 8 * len(here):
+                return pivots, [self._node(x, k, weight, 1) for k in kids]
+        self.blocks.append(max(1, -int(-rows // BLOCK_ROWS)))
+        return len(self.blocks) - 1
+
+    def _reached(self, pivots: np.ndarray, q: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        apart = _distance(pivots @ pivots.T) + SLACK
+        cell, row = [], []
+        for at in range(0, len(q), step := max(64, 4_000_000 // len(pivots))):
+            s = q[at : at + step] @ pivots.T
+            own = s.argmax(axis=1)
+            i, k = np.nonzero(s.max(axis=1, keepdims=True) - s <= self.margin * apart[own])
+            row.append(at + i), cell.append(k)
+        row, cell = np.concatenate([*row, np.empty(0, np.int64)]), np.concatenate([*cell, np.empty(0, np.int64)])
+        order = np.argsort(cell, kind="stable")
+        k, at = np.unique(cell[order], return_index=True)
+        return list(zip(k.tolist(), np.split(row[order], at[1:])))
+
+    def route(self, q: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """(leaf, rows of q) of each leaf that a row lies in or within the margin of."""
+        out, todo = [], [(self.root, np.arange(len(q)))]
+        while todo:
+            node, idx = todo.pop()
+            if isinstance(node, int):
+                out.append((node, idx))
+            elif len(idx):
+                todo += [(node[1][k], idx[rows]) for k, rows in self._reached(node[0], q[idx])]
+        return out
+
+
 class VPTree:
     """Vantage points and median radii over the rows of x, down to leaves of at most ``leaf`` rows or to ``depth``."""
 
@@ -105,19 +165,16 @@ class VPTree:
                 self.root = me
         self.kids = slots
 
-    def route(self, q: np.ndarray, reach: float) -> list[tuple[int, np.ndarray]]:
-        """(leaf, rows of q) that the pruning rule cannot exclude; reach 0 gives each row its own leaf alone."""
+    def own_leaves(self, q: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """(leaf, rows of q) of the leaf each row of q lies in."""
         out, todo = [], [(self.root, np.arange(len(q)))]
         while todo:
             node, idx = todo.pop()
             if node < 0:
                 out.append((-1 - node, idx))
                 continue
-            d = _distance(q[idx] @ self.vantage[node]) - self.radius[node]
-            near, far = self.kids[node]
-            for kid, go in ((near, (d < 0) if reach == 0 else (d < reach)), (far, d >= -reach)):
-                if go.any():
-                    todo.append((kid, idx[go]))
+            near = _distance(q[idx] @ self.vantage[node]) < self.radius[node]
+            todo += [(kid, idx[go]) for kid, go in zip(self.kids[node], (near, ~near)) if go.any()]
         return out
 
 
@@ -139,7 +196,7 @@ class Shard:
         best = np.full((len(q), k), -2, np.float32)
         who = np.full((len(q), k), -1, np.int64)
         own = np.full(len(q), -1, np.int64)
-        for leaf, idx in tree.route(q, 0.0):  # first the own leaf, so that full lists shorten the reach
+        for leaf, idx in tree.own_leaves(q):  # first the own leaf, so that full lists shorten the reach
             self._visit(leaf, idx, q_ids, q, best, who, min_cos)
             own[idx] = leaf
         todo = [(tree.root, np.arange(len(q)))]
@@ -148,7 +205,7 @@ class Shard:
             if node < 0:
                 self._visit(-1 - node, idx[own[idx] != -1 - node], q_ids, q, best, who, min_cos)
                 continue
-            reach = _distance(np.maximum(best[idx, -1], np.float32(min_cos))) / np.float32(relax)
+            reach = _distance(np.maximum(best[idx, -1], np.float32(min_cos))) / np.float32(relax) + SLACK
             d = _distance(q[idx] @ tree.vantage[node]) - tree.radius[node]
             near, far = tree.kids[node]
             for kid, go in ((near, d <= reach), (far, d >= -reach)):
@@ -204,29 +261,34 @@ def _thin_copies(rows: DataFrame, s: Scratch, k: int) -> tuple[DataFrame, DataFr
     return rows.join(rest.select("id"), "id", "left_anti"), links.select(F.col("id").alias("q"), "p", F.lit(1.0).cast("float").alias("cos"))
 
 
+def usable(vector: str, dim: int) -> Column:
+    """The vector has ``dim`` entries, all finite numbers in single precision and not all zero."""
+    return (F.size(vector) == dim) & F.exists(vector, lambda x: x != 0) & F.coalesce(F.forall(vector, lambda x: F.abs(x) < 3.4e38), F.lit(False))
+
+
 def most_similar(vectors: DataFrame, id_col: str, vector_col: str, k: int, min_cos: float, dim: int = 128, relax: float = 8.0) -> DataFrame:
     """(q, p, cos): for every vector q its up to k most similar others p with a cosine of at least min_cos.
 
-    Rows whose vector is null, all zero, not ``dim`` long or not all numbers, or whose id is null, take no
-    part; ties go to the smaller id; of rows with the same id and vector one is searched; an empty table
-    gives an empty result. relax = 1 is exact; larger factors may lose neighbours (see the README for the
-    measured recall).
+    Rows whose vector is null, all zero, not ``dim`` long or not all finite numbers, or whose id is null,
+    take no part; ties go to the smaller id; of rows with the same id and vector one is searched; an empty
+    table gives an empty result. relax = 1 is exact (vectors then travel in full single precision); larger
+    factors may lose neighbours (see the README for the measured recall).
     """
     spark = vectors.sparkSession
     s = Scratch(spark)
+    exact = relax <= 1
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v"))
-    rows = rows.filter(F.col("id").isNotNull() & (F.size("v") == dim))
+    rows = rows.filter(F.col("id").isNotNull() & usable("v", dim))
     rows, copies = _thin_copies(rows, s, k)
     total = rows.count()
-    sample = rows.select("v").sample(min(1.0, SAMPLE_ROWS / max(1, total)), seed=5).limit(2 * SAMPLE_ROWS).toPandas()
-    x = to_matrix(sample.v, dim)
+    wanted = min(SAMPLE_ROWS, max(20_000, total // ROWS_A_SAMPLE_ROW))
+    share = min(1.0, wanted / max(1, total))
+    x = to_matrix(rows.select("v").sample(share, seed=5).limit(2 * SAMPLE_ROWS).toPandas().v, dim)
     x = x[x.any(axis=1)]
-    depth = max(MIN_DEPTH, int(np.ceil(np.log2(max(1, total) / SHARD_ROWS))))
-    top = VPTree(x, leaf=2, depth=min(depth, max(0, int(np.log2(max(1, len(x)) / 16)))))
-    top.leaves = [None] * len(top.leaves)
-    reach = float(np.sqrt(2 - 2 * min_cos)) / relax
-    keys = _spread_keys(spark, len(top.leaves))
-    shared = spark.sparkContext.broadcast((top, keys))
+    cells = Cells(x, 1 / share, float(np.sqrt(2 - 2 * min_cos)) / (2 * relax) + float(SLACK) * exact)
+    pairs = [(leaf, a, b) for leaf, n in enumerate(cells.blocks) for a in range(n) for b in range(a, n)]
+    keys = dict(zip(pairs, _spread_keys(spark, len(pairs))))
+    shared = spark.sparkContext.broadcast((cells, keys))
 
     def route(it):
         tree, names = shared.value
@@ -236,29 +298,34 @@ def most_similar(vectors: DataFrame, id_col: str, vector_col: str, k: int, min_c
             m, ids = m[ok], pdf.id.to_numpy()[ok]
             if not len(m):
                 continue
-            own = np.empty(len(m), np.int64)
-            for leaf, idx in tree.route(m, 0.0):
-                own[idx] = leaf
-            raw = pd.Series(pack(m))
-            for leaf, idx in tree.route(m, reach):
-                yield pd.DataFrame({"shard": names[leaf], "own": own[idx] == leaf, "id": ids[idx], "v": raw.to_numpy()[idx]})
+            raw = np.array(pack(m, exact), dtype=object)
+            for leaf, idx in tree.route(m):
+                n = tree.blocks[leaf]
+                mine = (ids[idx].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % n
+                for b in range(n):
+                    at = idx[mine == b] if n > 1 else idx
+                    for o in range(n):
+                        yield pd.DataFrame({"shard": names[leaf, min(b, o), max(b, o)], "id": ids[at], "v": raw[at]})
 
     def shard(pdf: pd.DataFrame) -> pd.DataFrame:
-        raw, ids, own = raw_rows(pdf.v), pdf.id.to_numpy(), pdf.own.to_numpy()
+        if pdf.id.duplicated().any():
+            pdf = pdf.drop_duplicates(["id", "v"])
+        raw, ids = raw_rows(pdf.v), pdf.id.to_numpy()
         out = [pd.DataFrame({"q": np.empty(0, np.int64), "p": np.empty(0, np.int64), "cos": np.empty(0, np.float32)})]
-        if own.any():
-            index = Shard(ids[own], unpack(raw[own], dim))
-            for at in range(0, len(ids), _QUERY_ROWS):
-                part = ids[at : at + _QUERY_ROWS]
-                who, cos = index.search(part, unpack(raw[at : at + _QUERY_ROWS], dim), k, min_cos, relax)
-                r, c = np.nonzero(who >= 0)
-                out.append(pd.DataFrame({"q": part[r], "p": who[r, c], "cos": cos[r, c]}))
+        x = unpack(raw, dim)
+        index = Shard(ids, x)
+        for at in range(0, len(ids), _QUERY_ROWS):
+            part = ids[at : at + _QUERY_ROWS]
+            who, cos = index.search(part, x[at : at + _QUERY_ROWS], k, min_cos, relax)
+            r, c = np.nonzero(who >= 0)
+            out.append(pd.DataFrame({"q": part[r], "p": who[r, c], "cos": cos[r, c]}))
         return pd.concat(out)
 
-    routed = rows.mapInPandas(route, "shard bigint, own boolean, id bigint, v binary")
+    routed = rows.mapInPandas(route, "shard bigint, id bigint, v binary")
     found = routed.repartition(len(keys), "shard").groupBy("shard").applyInPandas(shard, "q bigint, p bigint, cos float")
     best = Window.partitionBy("q").orderBy(F.desc("cos"), "p")
-    found = found.distinct().withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).drop("r")
+    found = found.groupBy("q", "p").agg(F.max("cos").alias("cos"))  # two vectors may meet in several shards
+    found = found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).drop("r")
     return found if copies is None else found.unionByName(copies)
 
 
