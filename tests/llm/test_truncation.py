@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pandas as pd
+import regex
 from pyspark.sql import functions as F
 
 from fotoloom.llm import queries, truncation
@@ -50,6 +53,58 @@ def test_finds_cuts(spark):
     assert rates["free"].truncated <= 2 and rates["form"].rate > 0.1 and sum(r.texts for r in rates.values()) == len(rows)
 
 
+def plain_counts(texts):
+    """What ``_count`` counts, token by token."""
+    token, n = regex.compile(r"[\p{L}\p{M}]+|\d+|\n|[^\s\p{L}\p{M}\d]"), {}
+    for text in texts:
+        low = ["\n"] + ["9" * len(t) if t.isdigit() else t.lower() for t in token.findall(text)]
+        for j in range(1, len(low)):
+            ends = j == len(low) - 1 or low[j + 1] in truncation._ENDS
+            for k in ((low[max(0, j - 2)], low[j - 1], low[j]), (low[j - 1], low[j]), (low[j],)):
+                a, b = n.get(k, (0, 0))
+                n[k] = a + 1, b + ends
+            if j < len(low) - 1 and low[j].isalpha():
+                for q in range(1, len(low[j])):
+                    k = "begin " + low[j][:q]
+                    n[k] = n.get(k, (0, 0))[0] + 1, 0
+    return n
+
+
+def test_counts_equal_plain_counting(monkeypatch):
+    monkeypatch.setattr(truncation, "_CHARS", 60)
+    monkeypatch.setattr(truncation, "_COUNTS", 50)
+    texts = [t for _, _, t in corpus()[0]][:80] + ["a", "\n\n", "Ünïcode Straße 12 345 x2", "🙂 𝐀 smile\nnext, line", "Ко́т и пёс. Кот"]
+    every = truncation._Asked(truncation._CHUNK, {0: b"\xff" * (1 << truncation._CHUNK - 3)})
+    got = pd.concat(truncation._count(iter([pd.DataFrame({"core": texts[:40]}), pd.DataFrame({"core": texts[40:]})]), every)).groupby("key").sum()
+    for k, (n, e) in plain_counts(texts).items():
+        if isinstance(k, tuple) and "\n" in k:
+            continue
+        if isinstance(k, tuple):
+            t = truncation._Tokens([" ".join(k)])
+            key = t.contexts(np.array([t.begin[0] + len(k)]))[{3: 0, 2: 1, 1: 4}[len(k)]]
+            want = (n, e)
+        else:
+            t = truncation._Tokens([k.removeprefix("begin ")])
+            key, want = t.as_beginnings(np.array([1])), (n, 0)
+        row = got.loc[key.view(np.int64)[0]]
+        assert (row.n, row.e) == want, k
+
+
+def test_asked_filter_passes_what_is_asked(spark):
+    keys = spark.range(20_000).select(F.xxhash64("id").alias("key"))
+    asked = truncation._asked_filter(keys)
+    k = np.array([r.key for r in keys.collect()], np.int64).view(np.uint64)
+    assert asked.passes(k).all() and asked.passes(k * np.uint64(3) + np.uint64(1)).mean() < 0.1
+    assert not truncation._asked_filter(keys.filter("key = 0")).passes(k).any()
+
+
+def test_marks_joined_when_they_are_many(spark, monkeypatch):
+    rows, _ = corpus(3)
+    few = {(r.id, r.cut) for r in run(spark, rows).collect()}
+    monkeypatch.setattr(truncation, "MOST_MARKS", 0)
+    assert {(r.id, r.cut) for r in run(spark, rows).collect()} == few
+
+
 def test_odd_texts(spark):
     rows, _ = corpus(2)
     odd = [(9000, None, "A whole line."), (9001, "form", None), (9002, "form", ""), (9003, "form", "   \n "), (9004, "mail", "\n--\nsent by mail 7"), (9005, "free", "Ends in a broken character �"),
