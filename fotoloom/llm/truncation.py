@@ -207,7 +207,7 @@ class _Counts:
     def shrink(self) -> None:
         if self.parts:
             key, n, e, s = (np.concatenate(x) for x in zip(*self.parts))
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             key = key[order]
             at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             self.parts = [(key[at], *(np.add.reduceat(x[order], at) for x in (n, e, s)))]
@@ -267,10 +267,14 @@ def _ending(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"h1": pdf.h1, "h2": pdf.h2, "closed": closed, "broken": broken, "tokens": n.astype(np.int32), "keys": found})
 
 
-def _without(core: Column, pattern: str) -> Column:
-    """The text without what the pattern's first group matches at its end."""
-    end = F.regexp_extract(F.right(core, F.lit(BLOCK_CHARS)), pattern, 1)
-    return F.when(end == "", core).otherwise(F.substring(core, F.lit(1), F.char_length(core) - F.char_length(end)))
+def _block(core: Column, group: int) -> Column:
+    """A group of _TAIL at the end of the text; the pattern runs only where the end can match it."""
+    end = F.right(core, F.lit(BLOCK_CHARS))
+    return F.when(core.endswith("]") | end.contains("\n--\n"), F.regexp_extract(end, _TAIL, group)).otherwise("")
+
+
+def _without(core: Column, end: Column) -> Column:
+    return F.when(end == "", core).otherwise(F.rtrim(F.substring(core, F.lit(1), F.char_length(core) - F.char_length(end)), F.lit(_BLANKS)))
 
 
 def strip_feed_marks(docs: DataFrame, source: str, text: str) -> DataFrame:
@@ -280,7 +284,7 @@ def strip_feed_marks(docs: DataFrame, source: str, text: str) -> DataFrame:
     least TAIL_TEXTS texts and TAIL_SHARE of the texts of some source (digits may differ). Blocks of more
     than BLOCK_CHARS characters are the author's.
     """
-    mark = lambda c: F.regexp_replace(F.trim(F.regexp_extract(F.right(c, F.lit(BLOCK_CHARS)), _TAIL, 2)), r"\d+", "9")
+    mark = lambda c: F.when((b := _block(c, 2)) == "", b).otherwise(F.regexp_replace(F.trim(b), r"\d+", "9"))
     docs = docs.withColumn("core", F.rtrim(F.col(text), F.lit(_BLANKS))).withColumn("mark", mark(F.col("core")))
     marks = docs.groupBy(source, "mark").agg(F.count("*").alias("n"))
     size = marks.groupBy(source).agg(F.sum("n").alias("of")).withColumnRenamed(source, "src")
@@ -293,9 +297,11 @@ def strip_feed_marks(docs: DataFrame, source: str, text: str) -> DataFrame:
         else:  # texts without a mark are dealt over all tasks
             docs = docs.withColumn("salt", F.when(F.col("mark") == "", F.pmod(F.xxhash64("core"), F.lit(1 << 20))).otherwise(-1))
             docs = docs.join(own.withColumn("salt", F.lit(-1).cast("bigint")), ["mark", "salt"], "left").drop("salt")
-        docs = docs.withColumn("core", F.when(F.col("own"), _without(F.col("core"), _TAIL)).otherwise(F.col("core"))).drop("own", "mark")
+        docs = docs.withColumn("core", F.when(F.col("own"), _without(F.col("core"), _block(F.col("core"), 1))).otherwise(F.col("core"))).drop("own", "mark")
         docs = docs.withColumn("mark", mark(F.col("core")))
-    return docs.drop("mark").withColumn("core", F.btrim(_without(F.col("core"), _ELLIPSIS), F.lit(_BLANKS)))
+    core = F.col("core")
+    dots = F.when(core.endswith("...") | core.endswith("…") | core.endswith("]"), F.regexp_extract(F.right(core, F.lit(BLOCK_CHARS)), _ELLIPSIS, 1)).otherwise("")
+    return docs.drop("mark").withColumn("core", F.btrim(_without(core, dots), F.lit(_BLANKS)))
 
 
 def length_spikes(rows: DataFrame) -> DataFrame:
