@@ -1,17 +1,19 @@
-"""Similarity clusters of vectors: k-means with parallel oversampled seeding, in three steps.
-
-1. Clusters so large that a bounded sample shows them are seeded from it and refined over all rows.
-2. All other rows go to cells around pivots, for seeding also to the next cells that are about as near, so that
-   members of a small cluster meet; inside a cell, k-means is seeded by rounds of oversampling among the rows
-   no centre covers yet. Of the near centroids of several cells the heaviest stays.
-3. Every centroid is held against the rows of all cells it lies in or not far behind the wall of, and the rows
-   around it settle the members: mean and members are found again in turn until they agree.
+"""Similarity clusters of vectors: k-means with parallel oversampled seeding.
+
+1. Centres of some tables of cells are seeded over all rows: each round draws, with chances in proportion to the
+   distance from the centres so far, a bounded number of rows at once; the drawn ones are weighted by the rows
+   nearest to them and reduced to the centres of each table.
+2. Clusters so large that a bounded sample shows them are refined over all rows and taken out.
+3. Every other row lies in one cell of each table, where k-means, seeded by rounds of oversampling among the rows
+   no centre covers yet, finds candidates, weighted by their rows; candidates near each other are merged.
+4. Every candidate is held against the rows of the cells of each table that it lies in or not far behind the wall
+   of, and the rows around it settle the members: mean and members are found again in turn until they agree.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,19 +22,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fotoloom.llm.similar import pack, raw_rows, to_matrix, unpack
 from fotoloom.session import Scratch, parallelism
 
-#: Bounded sample that shows large clusters and places the pivots; all rows are clustered.
+#: Bounded sample that shows large clusters; all rows are clustered.
 SAMPLE_ROWS = 40_000
 #: Rows of the sample from which on a cluster counts as large.
 LARGE = 12
-#: Rows that a cell holds for seeding, the copies included.
-CELL_ROWS = 24_000
-#: For seeding a row goes to so many of its nearest cells, as far as their pivots' cosines come within SEED_GAP of
-#: the nearest one's: about SEED_COPIES places a row.
-SEED_CELLS, SEED_GAP, SEED_COPIES = 3, 0.06, 2
-#: A centroid visits the cells whose wall towards its own lies at most at this cosine from it. A row with the cosine
-#: a to it is a * centroid + sqrt(1 - a * a) * a rest that is as good as random: behind a farther wall lie few rows
-#: of 0.45 and none of 0.75 (on 738 clusters of 5 to 14 faces none of 6,131 members, at 19, 64 and 512 cells).
-WALL = 0.25
+#: Tables of cells, rows that a cell holds about, the most cells of a table, and rows from which on a cell is sliced.
+TABLES, CELL_ROWS, CELLS, SLICE_ROWS = 3, 8_192, 2_048, 65_536
+#: Rounds of seeding the cells; each draws twice as many rows as a table has cells, and no more than DRAWN.
+ROUNDS, DRAWN = 4, 1_024
+#: A candidate visits the cells whose wall towards its own lies at most at this cosine from it. A member has the
+#: cosine a to it and is a * candidate + sqrt(1 - a * a) * a rest that is as good as random, so few lie far behind a
+#: wall, and what one table misses another finds: see the README for the measured recall from 8 to 640 cells.
+WALL = 0.1
 SEEDS_A_ROUND = 1024
 #: Rows this much less similar than ``apart`` are still looked at around a centroid; then a set whose mean has
 #: at least the cosine SETTLED to the centroid is seen whole.
@@ -143,50 +144,81 @@ def outweighed(c: np.ndarray, n: np.ndarray, names: np.ndarray, least_cos: float
     return out
 
 
-def _name(ids: np.ndarray) -> int:
-    """A number that stands for a set of ids."""
-    return int.from_bytes(hashlib.blake2b(np.sort(ids).tobytes(), digest_size=8).digest(), "little", signed=True)
-
-
-def _pivots(x: np.ndarray, cell_share: float) -> np.ndarray:
-    """Centres of 2-means divided again until no cell holds more than ``cell_share`` of the rows."""
-    rng, todo, out = np.random.default_rng(2), [np.arange(len(x))], []
-    while todo and len(x):
-        idx = todo.pop()
-        if len(idx) <= max(64, cell_share * len(x)):
-            out.append(x[idx].mean(axis=0))
-            continue
-        c = x[rng.choice(idx, 2, replace=False)]
-        for _ in range(5):
-            side = (x[idx] @ (c[0] - c[1])) > np.median(x[idx] @ (c[0] - c[1]))  # the median keeps the halves equal
-            c = _unit(np.stack([x[idx[side]].mean(axis=0), x[idx[~side]].mean(axis=0)]))
-        todo += [idx[side], idx[~side]] if side.any() and not side.all() else []
-        if not side.any() or side.all():
-            out.append(x[idx].mean(axis=0))
-    return _unit(np.stack(out)) if out else np.zeros((1, x.shape[1]), np.float32)
-
-
-def seed_cells(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes of (row, cell): the nearest cell of each row, and the next ones that are about as near."""
-    s = x @ pivots.T
-    to = np.argsort(-s, axis=1)[:, :SEED_CELLS]
-    near = np.take_along_axis(s, to, axis=1)
-    i, k = np.nonzero(near >= near[:, :1] - SEED_GAP)
-    return i, to[i, k]
-
-
-def nearest_cells(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes of (row, cell) for the three nearest cells of each row."""
-    to = np.argsort(-(x @ pivots.T), axis=1)[:, :3]
-    return np.repeat(np.arange(len(x)), to.shape[1]), to.ravel()
-
+def _name(raw: np.ndarray) -> int:
+    """A number that stands for some bytes or a set of ids."""
+    return int.from_bytes(hashlib.blake2b(raw.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def merged(c: np.ndarray, n: np.ndarray, names: np.ndarray, least_cos: float) -> tuple[np.ndarray, np.ndarray]:
+    """Means and rows of the centres that none of more rows is near, each with the lesser ones nearest to it."""
+    lesser = outweighed(c, n, names, least_cos)
+    head = c[~lesser]
+    who, cos = _best(c, head)
+    near = cos >= least_cos
+    mean = _unit(_means(c[near] * n[near, None].astype(np.float32), who[near], len(head)))
+    return mean, np.bincount(who[near], weights=n[near], minlength=len(head)).astype(np.int64)
+
+
+def code(x: np.ndarray) -> list[bytes]:
+    """A float32 scale and 4-bit integers: of unit vectors of 128 entries the cosine is off by about 0.01; enough to seed by and to look around."""
+    scale = np.abs(x).max(axis=1).astype(np.float32)
+    q = (np.rint(x / np.where(scale > 0, scale, 1)[:, None] * 7) + 8).astype(np.uint8)
+    if q.shape[1] % 2:
+        q = np.concatenate([q, np.full((len(q), 1), 8, np.uint8)], axis=1)
+    return [r.tobytes() for r in np.concatenate([scale.astype("<f4")[:, None].view(np.uint8), q[:, 0::2] | q[:, 1::2] << 4], axis=1)]
+
+
+def decode(raw: np.ndarray, dim: int) -> np.ndarray:
+    """The unit vectors of ``code``."""
+    q = np.empty((len(raw), 2 * (raw.shape[1] - 4)), np.float32)
+    q[:, 0::2], q[:, 1::2] = raw[:, 4:] & 15, raw[:, 4:] >> 4
+    return _unit(q[:, :dim] - 8)
+
+
+class Cells:
+    """Tables of cells around centres. A cell of more than SLICE_ROWS rows by the weights is cut into slices by id."""
+
+    def __init__(self, drawn: np.ndarray, weight: np.ndarray, n: int):
+        self.centres, self.slices, self.first, self.wall, at = [], [], [], WALL, 0
+        drawn, weight = drawn[weight > 0], weight[weight > 0].astype(np.float64)
+        for t in range(TABLES):
+            rng = np.random.default_rng(10 + t)
+            k = min(n, len(drawn))
+            c = drawn[rng.choice(len(drawn), k, replace=False, p=weight / weight.sum())] if k else np.zeros((1, drawn.shape[1]), np.float32)
+            for _ in range(3):
+                who = _best(drawn, c)[0]
+                mean = _means(drawn * weight[:, None].astype(np.float32), who, len(c))
+                c = np.where(np.linalg.norm(mean, axis=1, keepdims=True) > 0, _unit(mean), c)
+            held = np.bincount(_best(drawn, c)[0], weights=weight, minlength=len(c))
+            slices = np.maximum(1, np.ceil(held / SLICE_ROWS)).astype(np.int64)
+            self.centres.append(c), self.slices.append(slices), self.first.append(at + np.cumsum(slices) - slices)
+            at += int(slices.sum())
+        self.count = at
+        self.apart = [np.sqrt(np.maximum(2 - 2 * (c @ c.T), 1e-6)) for c in self.centres]
+
+    def own(self, x: np.ndarray, ids: np.ndarray) -> Iterator[np.ndarray]:
+        """Per table each row's slice of its nearest cell."""
+        salt = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+        for c, slices, first in zip(self.centres, self.slices, self.first):
+            cell = _best(x, c)[0]
+            yield first[cell] + salt % slices[cell]
+
+    def visited(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, slice) of all slices of the cells whose wall is at most WALL from the row, in every table."""
+        row, to = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for c, slices, first, apart in zip(self.centres, self.slices, self.first, self.apart):
+            for b in _blocks(len(x), len(c)):
+                s = x[b] @ c.T
+                i, k = np.nonzero(s.max(axis=1, keepdims=True) - s <= self.wall * apart[s.argmax(axis=1)])
+                many = slices[k]
+                i, k = np.repeat(i, many), np.repeat(k, many)
+                row.append(b.start + i), to.append(first[k] + np.arange(len(k)) - np.repeat(np.cumsum(many) - many, many))
+        return np.concatenate(row), np.concatenate(to)
 
-def cells_in_reach(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes of (row, cell) for the cells whose wall towards the row's own cell is at most WALL from the row."""
-    s = x @ pivots.T
-    own = s.argmax(axis=1)
-    apart = np.sqrt(np.maximum(2 - 2 * (pivots @ pivots.T), 1e-6))
-    return np.nonzero(s.max(axis=1, keepdims=True) - s <= WALL * apart[own])
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) for the three nearest cells of the first table."""
+        to = np.argsort(-(x @ self.centres[0].T), axis=1)[:, :3]
+        return np.repeat(np.arange(len(x)), to.shape[1]), to.ravel()
 
 
 def sound_sets(x: np.ndarray, tight: float, apart: float, least: int, start: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -254,6 +286,55 @@ def settle(x: np.ndarray, tight: float, apart: float, least: int, start: np.ndar
     return None
 
 
+def seeded(packed: DataFrame, dim: int, n: int, seed: int = 9) -> tuple[np.ndarray, np.ndarray]:
+    """Rows drawn as seeds, about 2 * ROUNDS times n, and how many rows each is nearest to.
+
+    Each round is one pass over all rows. A row's chance is in proportion to its distance from the seeds
+    so far: of the keys log(u) / distance the largest win, so a task sends only its own largest ones.
+    """
+    spark = packed.sparkSession
+    seeds, draw = np.zeros((0, dim), np.float32), min(2 * n, DRAWN)
+    for r in range(ROUNDS):
+        told = spark.sparkContext.broadcast(seeds)
+
+        def keyed(it: Iterator[pd.DataFrame], told=told, r=r) -> Iterator[pd.DataFrame]:
+            best = pd.DataFrame({"key": np.empty(0), "id": np.empty(0, np.int64), "v": []})
+            for pdf in it:
+                ids = pdf.id.to_numpy()
+                u = (_hashed(ids, seed + r) + 0.5) / float(1 << 52)
+                far = 1 - _best(unpack(raw_rows(pdf.v), dim), told.value)[1] if len(told.value) and len(pdf) else np.ones(len(pdf))
+                pdf = pdf.assign(key=np.log(u) / np.maximum(far, 1e-6))[["key", "id", "v"]]
+                best = pd.concat([best, pdf]).nlargest(draw, "key")
+            yield best
+
+        got = packed.mapInPandas(keyed, "key double, id bigint, v binary").orderBy(F.desc("key"), "id").limit(draw).select("v").toPandas()
+        if len(got):
+            seeds = np.concatenate([seeds, unpack(raw_rows(got.v), dim)])
+    told = spark.sparkContext.broadcast(seeds)
+
+    def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(len(told.value), np.int64)
+        for pdf in it:
+            if len(pdf):
+                n += np.bincount(_best(unpack(raw_rows(pdf.v), dim), told.value)[0], minlength=len(n))
+        yield pd.DataFrame({"c": np.arange(len(n)), "n": n})
+
+    weight = np.zeros(len(seeds), np.int64)
+    if len(seeds):
+        got = packed.select("v").mapInPandas(count, "c bigint, n bigint").groupBy("c").agg(F.sum("n").alias("n")).toPandas()
+        weight[got.c] = got.n
+    return seeds, weight
+
+
+def _hashed(ids: np.ndarray, salt: int) -> np.ndarray:
+    """52 bits of each id."""
+    with np.errstate(over="ignore"):
+        h = ids.astype(np.uint64) + np.uint64(salt * 0x2545F4914F6CDD1D & (1 << 64) - 1)
+        for _ in range(2):
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h >> np.uint64(12)).astype(np.float64)
+
+
 def similarity_clusters(
     vectors: DataFrame, id_col: str, vector_col: str, tight: float = 0.75, apart: float = 0.70, least: int = 5, dim: int = 128
 ) -> DataFrame:
@@ -269,23 +350,31 @@ def similarity_clusters(
     s = Scratch(spark)
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v"))
     rows = rows.filter(F.col("id").isNotNull() & (F.size("v") == dim))
-    total = rows.count()
-    sample = to_matrix(rows.select("v").sample(min(1.0, SAMPLE_ROWS / max(1, total)), seed=9).limit(2 * SAMPLE_ROWS).toPandas().v, dim)
-    sample = sample[sample.any(axis=1)]
+
+    def packing(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            x = to_matrix(pdf.v, dim)
+            ok = x.any(axis=1)
+            yield pd.DataFrame({"id": pdf.id.to_numpy()[ok], "v": pack(x[ok])})
+
+    packed = s.cut(rows.mapInPandas(packing, "id bigint, v binary"))
+    total = packed.count()
+    vectors_of = lambda pdf: unpack(raw_rows(pdf.v), dim) if len(pdf) else np.zeros((0, dim), np.float32)
 
     # 1. large clusters
+    sample = vectors_of(packed.select("v").sample(min(1.0, SAMPLE_ROWS / max(1, total)), seed=9).limit(2 * SAMPLE_ROWS).toPandas())
     large, who = kmeans(sample, tight, LARGE)
     told = spark.sparkContext.broadcast(large)
 
     def large_sums(it: Iterator[pd.DataFrame], told=told) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            x = to_matrix(pdf.v, dim)
+            x = vectors_of(pdf)
             who, cos = _best(x, told.value)
             hit = cos >= apart
             yield _sum_rows(x[hit], who[hit], np.arange(len(told.value)))
 
     if len(large):  # the sample's means are near those of all rows, so one step over all rows is enough
-        got = rows.select("v").mapInPandas(large_sums, _SUMS).groupBy("c").applyInPandas(_add_sums, _SUMS).toPandas()
+        got = packed.select("v").mapInPandas(large_sums, _SUMS).groupBy("c").applyInPandas(_add_sums, _SUMS).toPandas()
         large = _unit(np.frombuffer(b"".join(got.s), np.float64).reshape(len(got), dim)) if len(got) else large[:0]
     told = spark.sparkContext.broadcast(large)
 
@@ -293,7 +382,7 @@ def similarity_clusters(
         c = told.value
         ok, bad, twice = (np.zeros(len(c), np.int64) for _ in range(3))
         for pdf in it:
-            x = to_matrix(pdf.v, dim)
+            x = vectors_of(pdf)
             for b in _blocks(len(x), len(c)):
                 cos = x[b] @ c.T
                 member = cos >= tight
@@ -303,77 +392,87 @@ def similarity_clusters(
         yield pd.DataFrame({"c": np.arange(len(c)), "n": ok, "bad": bad + twice})
 
     if len(large):
-        got = rows.select("v").mapInPandas(count_large, "c bigint, n bigint, bad bigint").groupBy("c").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).toPandas()
+        got = packed.select("v").mapInPandas(count_large, "c bigint, n bigint, bad bigint").groupBy("c").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).toPandas()
         large = large[np.sort(got.c[(got.n >= least) & (got.bad == 0)])]
-    taken = _best(sample, large)[1] >= tight
-    pivots = _pivots(sample[~taken], CELL_ROWS / SEED_COPIES / max(1.0, total * float((~taken).mean() if len(taken) else 1)))
-    told = spark.sparkContext.broadcast((large, pivots))
+    told_large = spark.sparkContext.broadcast(large)
 
     def place(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Members of large clusters with their cluster, all other rows with their cell and vector."""
-        big, piv = told.value
+        """Members of large clusters with their cluster, all other rows with their vector."""
         for pdf in it:
-            x, ids = to_matrix(pdf.v, dim), pdf.id.to_numpy()
-            who, cos = _best(x, big)
+            x = vectors_of(pdf)
+            who, cos = _best(x, told_large.value)
             hit = cos >= tight
-            if hit.any():
-                yield pd.DataFrame({"cell": None, "c": who[hit], "id": ids[hit], "cos": cos[hit], "v": None}).astype({"cell": "Int32"})
-            rest = x.any(axis=1) & ~hit
-            if rest.any():
-                x = x[rest]
-                yield pd.DataFrame({"cell": _best(x, piv)[0], "c": None, "id": ids[rest], "cos": None, "v": pack(x)}).astype({"c": "Int64", "cos": "Float32"})
-
-    everywhere = s.cut(rows.mapInPandas(place, "cell int, c bigint, id bigint, cos float, v binary"))
-    routed = everywhere.filter("cell is not null").select("cell", "id", "v")
-
-    # 2. k-means inside cells
-    def seeding(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Each row in the cells ``seed_cells`` names."""
+            yield pd.DataFrame({"c": who[hit], "id": pdf.id[hit], "cos": cos[hit], "v": None})
+            yield pd.DataFrame({"c": None, "id": pdf.id[~hit], "cos": None, "v": pdf.v[~hit]}).astype({"c": "Int64", "cos": "Float32"})
+
+    everywhere = packed
+    if len(large):
+        everywhere = s.cut(packed.mapInPandas(place, "c bigint, id bigint, cos float, v binary"))
+        s.free(packed)
+    rest = everywhere.filter("v is not null").select("id", "v")
+
+    # 2. cells of all other rows
+    n = min(CELLS, max(8, -(-(rest.count() if len(large) else total) // CELL_ROWS)))
+    told = spark.sparkContext.broadcast(Cells(*seeded(rest, dim, n), n))
+
+    def in_cells(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            if len(pdf):
-                i, cell = seed_cells(unpack(raw_rows(pdf.v), dim), told.value[1])
-                yield pd.DataFrame({"cell": cell, "id": pdf.id.to_numpy()[i], "v": pdf.v.to_numpy()[i]})
+            x, ids = vectors_of(pdf), pdf.id.to_numpy()
+            raw = code(x) if len(x) else []
+            for to in told.value.own(x, ids):
+                yield pd.DataFrame({"cell": to, "id": ids, "v": raw})
+
+    celled = rest.mapInPandas(in_cells, "cell int, id bigint, v binary")
+
+    # 3. k-means inside cells
+    centre = "c bigint, n bigint, v binary"
+    none_c = pd.DataFrame({"c": np.empty(0, np.int64), "n": np.empty(0, np.int64), "v": []})
+
+    def named(x: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+        v = pack(x) if len(x) else []
+        return pd.DataFrame({"c": np.array([_name(np.frombuffer(r, np.uint8)) for r in v], np.int64), "n": n, "v": v})
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, ids = unpack(raw_rows(pdf.v), dim), pdf.id.to_numpy()
-        c, who = kmeans(x, tight, 2)
-        order = np.argsort(who, kind="stable")
-        cut = np.searchsorted(who[order], np.arange(len(c) + 1))
-        names = [_name(ids[order[cut[k] : cut[k + 1]]]) for k in range(len(c))]
-        return pd.DataFrame({"c": np.array(names, np.int64), "n": np.diff(cut), "v": pack(c)})
-
-    def spread(cells_of: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]):
-        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            piv = told.value[1]
-            for pdf in it:
-                for b in _blocks(len(pdf), len(piv)):
-                    part = pdf.iloc[b]
-                    i, cell = cells_of(unpack(raw_rows(part.v), dim), piv)
-                    yield pd.DataFrame({"cell": cell, "c": part.c.to_numpy()[i], "n": part.n.to_numpy()[i], "v": part.v.to_numpy()[i]})
+        raw = raw_rows(pdf.v)
+        raw = raw[np.lexsort(raw[:, :12].T)]  # the same whatever the order of arrival
+        c, who = kmeans(decode(raw, dim), tight, 2)
+        return named(c, np.bincount(who[who >= 0], minlength=len(c))) if len(c) else none_c
+
+    def near(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            if len(pdf):
+                i, cell = told.value.nearest(vectors_of(pdf))
+                yield pdf.iloc[i].assign(cell=cell)[["cell", "c", "n", "v"]]
 
-        return run
+    def merging(pdf: pd.DataFrame) -> pd.DataFrame:
+        return named(*merged(vectors_of(pdf), pdf.n.to_numpy(), pdf.c.to_numpy(), tight))
 
     def lighter(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"c": pdf.c[outweighed(unpack(raw_rows(pdf.v), dim), pdf.n.to_numpy(), pdf.c.to_numpy(), tight)]})
+        return pd.DataFrame({"c": pdf.c[outweighed(vectors_of(pdf), pdf.n.to_numpy(), pdf.c.to_numpy(), tight)]})
 
-    placed, centre = "cell int, c bigint, n bigint, v binary", "c bigint, n bigint, v binary"
-    seeds = routed.mapInPandas(seeding, "cell int, id bigint, v binary").groupBy("cell").applyInPandas(inside, centre)
-    centres = s.cut(seeds.dropDuplicates(["c"]))  # the same rows may meet in two cells
-    # rows of one cluster lie in several cells: of the centroids found there the one of most rows stands for it
-    lesser = centres.mapInPandas(spread(nearest_cells), placed).groupBy("cell").applyInPandas(lighter, "c bigint").distinct()
-    centres = s.cut(centres.join(lesser, "c", "left_anti"))
+    placed = "cell int, c bigint, n bigint, v binary"
+    candidates = s.cut(celled.select("cell", "v").groupBy("cell").applyInPandas(inside, centre).filter("n > 0"))
+    # rows of one cluster lie in several cells: the candidates found there are merged, wherever three of their cells meet
+    means = s.cut(candidates.mapInPandas(near, placed).groupBy("cell").applyInPandas(merging, centre).dropDuplicates(["c"]))
+    lesser = means.mapInPandas(near, placed).groupBy("cell").applyInPandas(lighter, "c bigint").distinct()
+    centres = s.cut(means.join(lesser, "c", "left_anti").select("c", "v"))
 
-    # 3. centroids against the rows of all cells near them
+    # 4. candidates against the rows of the cells near them
     around = apart - AROUND
 
+    def visiting(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            if len(pdf):
+                i, cell = told.value.visited(vectors_of(pdf))
+                yield pdf.iloc[i].assign(cell=cell)[["cell", "c", "v"]]
+
     def gather(r: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"c": np.empty(0, np.int64), "id": np.empty(0, np.int64), "v": []})]
+        out = [pd.DataFrame({"c": np.empty(0, np.int64), "id": np.empty(0, np.int64)})]
         if len(r) and len(c):
-            x, m = unpack(raw_rows(r.v), dim), unpack(raw_rows(c.v), dim)
+            x, m = decode(raw_rows(r.v), dim), vectors_of(c)
             for b in _blocks(len(x), len(m)):
                 i, j = np.nonzero(x[b] @ m.T >= around)
-                out.append(pd.DataFrame({"c": c.c.to_numpy()[j], "id": r.id.to_numpy()[b.start + i], "v": r.v.to_numpy()[b.start + i]}))
-            out.append(pd.DataFrame({"c": c.c, "id": None, "v": c.v}).astype({"id": "Int64"}))  # the centroid itself
+                out.append(pd.DataFrame({"c": c.c.to_numpy()[j], "id": r.id.to_numpy()[b.start + i]}))
         return pd.concat(out)
 
     none = pd.DataFrame({k: np.empty(0, t) for k, t in (("cluster_id", "i8"), ("name", "i8"), ("size", "i8"), ("close", "f8"), ("id", "i8"), ("cos", "f4"))})
@@ -382,22 +481,23 @@ def similarity_clusters(
         out = []
         for member, cos in sound_sets(x, tight, apart, least, start) if len(x) >= least else []:
             own, cos = ids[member], np.round(cos[member], 4)
-            out.append(pd.DataFrame({"cluster_id": own.min(), "name": _name(own), "size": len(own), "close": round(float(cos.mean()), 6), "id": own, "cos": cos}))
+            out.append(pd.DataFrame({"cluster_id": own.min(), "name": _name(np.sort(own)), "size": len(own), "close": round(float(cos.mean()), 6), "id": own, "cos": cos}))
         return out
 
     def runs(pdf: pd.DataFrame) -> pd.DataFrame:
         c = pdf.c.to_numpy()
         cut = np.flatnonzero(np.r_[True, c[1:] != c[:-1], True])
-        x, centre, ids = unpack(raw_rows(pdf.v), dim), pdf.id.isna().to_numpy(), pdf.id.fillna(-1).to_numpy().astype(np.int64)
+        x, centre, ids = vectors_of(pdf), pdf.id.isna().to_numpy(), pdf.id.fillna(-1).to_numpy().astype(np.int64)
         out = [none]
         for a, b in zip(cut[:-1], cut[1:]):
             mine = a + np.flatnonzero(~centre[a:b])
+            mine = mine[np.argsort(ids[mine])]
             out += settled(ids[mine], x[mine], x[a + np.argmax(centre[a:b])])
         return pd.concat(out)
 
     def members(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tail = None
-        for pdf in it:  # sorted by centroid; the last one's rows may go on in the next batch
+        for pdf in it:  # sorted by candidate; the last one's rows may go on in the next batch
             pdf = pdf if tail is None else pd.concat([tail, pdf], ignore_index=True)
             last = int(np.searchsorted(pdf.c.to_numpy(), pdf.c.iloc[-1])) if len(pdf) else 0
             tail = pdf.iloc[last:]
@@ -406,14 +506,15 @@ def similarity_clusters(
         if tail is not None and len(tail):
             yield runs(tail)
 
-    around_centres = centres.mapInPandas(spread(cells_in_reach), placed).drop("n").groupBy("cell")
-    near = routed.groupBy("cell").cogroup(around_centres).applyInPandas(gather, "c bigint, id bigint, v binary")
-    near = near.repartition(2 * parallelism(spark), "c").sortWithinPartitions("c")
+    visits = centres.mapInPandas(visiting, "cell int, c bigint, v binary").groupBy("cell")
+    hits = celled.groupBy("cell").cogroup(visits).applyInPandas(gather, "c bigint, id bigint").distinct()  # a row may meet a candidate in every table
+    near_rows = hits.join(rest, "id").select("c", "id", "v").unionByName(centres.select("c", F.lit(None).cast("bigint").alias("id"), "v"))
+    near_rows = near_rows.repartition(2 * parallelism(spark), "c").sortWithinPartitions("c")
     # a cluster that no sample showed has few rows: a task may hold the rows around its centroid
-    sets = near.mapInPandas(members, "cluster_id bigint, name bigint, size bigint, close double, id bigint, cos float")
+    sets = near_rows.mapInPandas(members, "cluster_id bigint, name bigint, size bigint, close double, id bigint, cos float")
     sets = s.cut(sets.dropDuplicates(["name", "id"]))
     # several centroids may lead to one set or to sets that overlap: of these the closest stays, whole
-    best = sets.groupBy("id").agg(F.max_by("name", F.struct("close", -F.col("name"))).alias("name"))
+    best = sets.groupBy("id").agg(F.max_by("name", F.struct("size", "close", -F.col("name"))).alias("name"))
     small = sets.join(best, ["id", "name"])
     whole = small.groupBy("name", "size").count().filter("count = size").select("name")
     small = small.join(whole, "name").select("cluster_id", "id", "cos")

@@ -35,7 +35,7 @@ MOST_MARKS = 50_000
 #: Bits of the filter of words asked for: so many a key, at most 2 ** MOST_BITS in all (beyond, more pass and the join decides).
 BITS_A_KEY, MOST_BITS = 16, 29
 #: Characters that are tokenised, and counts that are held, at once.
-_CHARS, _COUNTS = 2_000_000, 3_000_000
+_CHARS, _COUNTS = 500_000, 1_000_000
 #: A final block counts as the feed's own when so many of the feed's texts, and so large a share, end in it.
 TAIL_TEXTS, TAIL_SHARE = 3, 0.005
 #: A length is a spike when so many texts have it and so many times the mean of the lengths around it.
