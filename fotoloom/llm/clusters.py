@@ -28,12 +28,15 @@ SAMPLE_ROWS = 40_000
 LARGE = 12
 #: Tables of cells, rows that a cell holds about, the most cells of a table, and rows from which on a cell is sliced.
 TABLES, CELL_ROWS, CELLS, SLICE_ROWS = 3, 8_192, 2_048, 65_536
+#: Tables in whose cells candidates are sought.
+SEED_TABLES = 3
 #: Rounds of seeding the cells; each draws twice as many rows as a table has cells, and no more than DRAWN.
 ROUNDS, DRAWN = 4, 1_024
-#: A candidate visits the cells whose wall towards its own lies at most at this cosine from it. A member has the
-#: cosine a to it and is a * candidate + sqrt(1 - a * a) * a rest that is as good as random, so few lie far behind a
-#: wall, and what one table misses another finds: see the README for the measured recall from 8 to 640 cells.
-WALL = 0.1
+#: A candidate visits the cells whose wall towards its own lies at most at this cosine from it, the farther the fewer
+#: rows it stands for. A member has the cosine a to it and is a * candidate + sqrt(1 - a * a) * a rest that is as good
+#: as random, so few lie far behind a wall, and what one table misses another finds: see the README for the measured
+#: recall.
+WALLS = ((6, 0.15), (1 << 62, 0.1))
 SEEDS_A_ROUND = 1024
 #: Rows this much less similar than ``apart`` are still looked at around a centroid; then a set whose mean has
 #: at least the cosine SETTLED to the centroid is seen whole.
@@ -160,18 +163,18 @@ def merged(c: np.ndarray, n: np.ndarray, names: np.ndarray, least_cos: float) ->
 
 
 def code(x: np.ndarray) -> list[bytes]:
-    """A float32 scale and 4-bit integers: of unit vectors of 128 entries the cosine is off by about 0.01; enough to seed by and to look around."""
-    scale = np.abs(x).max(axis=1).astype(np.float32)
-    q = (np.rint(x / np.where(scale > 0, scale, 1)[:, None] * 7) + 8).astype(np.uint8)
+    """The direction in 4-bit integers: of vectors of 128 entries the cosine is off by about 0.01; enough to seed by and to look around."""
+    most = np.abs(x).max(axis=1, keepdims=True)
+    q = (np.rint(x / np.where(most > 0, most, 1) * 7) + 8).astype(np.uint8)
     if q.shape[1] % 2:
         q = np.concatenate([q, np.full((len(q), 1), 8, np.uint8)], axis=1)
-    return [r.tobytes() for r in np.concatenate([scale.astype("<f4")[:, None].view(np.uint8), q[:, 0::2] | q[:, 1::2] << 4], axis=1)]
+    return [r.tobytes() for r in q[:, 0::2] | q[:, 1::2] << 4]
 
 
 def decode(raw: np.ndarray, dim: int) -> np.ndarray:
     """The unit vectors of ``code``."""
-    q = np.empty((len(raw), 2 * (raw.shape[1] - 4)), np.float32)
-    q[:, 0::2], q[:, 1::2] = raw[:, 4:] & 15, raw[:, 4:] >> 4
+    q = np.empty((len(raw), 2 * raw.shape[1]), np.float32)
+    q[:, 0::2], q[:, 1::2] = raw & 15, raw >> 4
     return _unit(q[:, :dim] - 8)
 
 
@@ -179,7 +182,7 @@ class Cells:
     """Tables of cells around centres. A cell of more than SLICE_ROWS rows by the weights is cut into slices by id."""
 
     def __init__(self, drawn: np.ndarray, weight: np.ndarray, n: int):
-        self.centres, self.slices, self.first, self.wall, at = [], [], [], WALL, 0
+        self.centres, self.slices, self.first, self.walls, at = [], [], [], WALLS, 0
         drawn, weight = drawn[weight > 0], weight[weight > 0].astype(np.float64)
         for t in range(TABLES):
             rng = np.random.default_rng(10 + t)
@@ -196,20 +199,21 @@ class Cells:
         self.count = at
         self.apart = [np.sqrt(np.maximum(2 - 2 * (c @ c.T), 1e-6)) for c in self.centres]
 
-    def own(self, x: np.ndarray, ids: np.ndarray) -> Iterator[np.ndarray]:
+    def own(self, x: np.ndarray, ids: np.ndarray, tables: int) -> Iterator[np.ndarray]:
         """Per table each row's slice of its nearest cell."""
         salt = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
-        for c, slices, first in zip(self.centres, self.slices, self.first):
+        for c, slices, first in list(zip(self.centres, self.slices, self.first))[:tables]:
             cell = _best(x, c)[0]
             yield first[cell] + salt % slices[cell]
 
-    def visited(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, slice) of all slices of the cells whose wall is at most WALL from the row, in every table."""
+    def visited(self, x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, slice) of all slices of the cells whose wall is as near to the row, which stands for n rows, as WALLS says, in every table."""
+        wall = np.array([w for _, w in self.walls], np.float32)[np.searchsorted([m for m, _ in self.walls], n, side="right")]
         row, to = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for c, slices, first, apart in zip(self.centres, self.slices, self.first, self.apart):
             for b in _blocks(len(x), len(c)):
                 s = x[b] @ c.T
-                i, k = np.nonzero(s.max(axis=1, keepdims=True) - s <= self.wall * apart[s.argmax(axis=1)])
+                i, k = np.nonzero(s.max(axis=1, keepdims=True) - s <= wall[b, None] * apart[s.argmax(axis=1)])
                 many = slices[k]
                 i, k = np.repeat(i, many), np.repeat(k, many)
                 row.append(b.start + i), to.append(first[k] + np.arange(len(k)) - np.repeat(np.cumsum(many) - many, many))
@@ -415,14 +419,15 @@ def similarity_clusters(
     n = min(CELLS, max(8, -(-(rest.count() if len(large) else total) // CELL_ROWS)))
     told = spark.sparkContext.broadcast(Cells(*seeded(rest, dim, n), n))
 
-    def in_cells(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            x, ids = vectors_of(pdf), pdf.id.to_numpy()
-            raw = code(x) if len(x) else []
-            for to in told.value.own(x, ids):
-                yield pd.DataFrame({"cell": to, "id": ids, "v": raw})
+    def in_cells(tables: int):
+        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in it:
+                x, ids = vectors_of(pdf), pdf.id.to_numpy()
+                raw = code(x) if len(x) else []
+                for to in told.value.own(x, ids, tables):
+                    yield pd.DataFrame({"cell": to, "id": ids, "v": raw})
 
-    celled = rest.mapInPandas(in_cells, "cell int, id bigint, v binary")
+        return rest.mapInPandas(run, "cell int, id bigint, v binary")
 
     # 3. k-means inside cells
     centre = "c bigint, n bigint, v binary"
@@ -434,28 +439,29 @@ def similarity_clusters(
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
         raw = raw_rows(pdf.v)
-        raw = raw[np.lexsort(raw[:, :12].T)]  # the same whatever the order of arrival
+        raw = raw[np.lexsort(raw[:, :8].T)]  # the same whatever the order of arrival
         c, who = kmeans(decode(raw, dim), tight, 2)
         return named(c, np.bincount(who[who >= 0], minlength=len(c))) if len(c) else none_c
 
     def near(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             if len(pdf):
-                i, cell = told.value.nearest(vectors_of(pdf))
-                yield pdf.iloc[i].assign(cell=cell)[["cell", "c", "n", "v"]]
+                x = vectors_of(pdf)
+                i, cell = told.value.nearest(x)
+                yield pdf.assign(v=code(x)).iloc[i].assign(cell=cell)[["cell", "c", "n", "v"]]
 
     def merging(pdf: pd.DataFrame) -> pd.DataFrame:
-        return named(*merged(vectors_of(pdf), pdf.n.to_numpy(), pdf.c.to_numpy(), tight))
+        return named(*merged(decode(raw_rows(pdf.v), dim), pdf.n.to_numpy(), pdf.c.to_numpy(), tight))
 
     def lighter(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"c": pdf.c[outweighed(vectors_of(pdf), pdf.n.to_numpy(), pdf.c.to_numpy(), tight)]})
+        return pd.DataFrame({"c": pdf.c[outweighed(decode(raw_rows(pdf.v), dim), pdf.n.to_numpy(), pdf.c.to_numpy(), tight)]})
 
     placed = "cell int, c bigint, n bigint, v binary"
-    candidates = s.cut(celled.select("cell", "v").groupBy("cell").applyInPandas(inside, centre).filter("n > 0"))
+    candidates = s.cut(in_cells(SEED_TABLES).select("cell", "v").groupBy("cell").applyInPandas(inside, centre).filter("n > 0"))
     # rows of one cluster lie in several cells: the candidates found there are merged, wherever three of their cells meet
     means = s.cut(candidates.mapInPandas(near, placed).groupBy("cell").applyInPandas(merging, centre).dropDuplicates(["c"]))
     lesser = means.mapInPandas(near, placed).groupBy("cell").applyInPandas(lighter, "c bigint").distinct()
-    centres = s.cut(means.join(lesser, "c", "left_anti").select("c", "v"))
+    centres = s.cut(means.join(lesser, "c", "left_anti").select("c", "n", "v"))
 
     # 4. candidates against the rows of the cells near them
     around = apart - AROUND
@@ -463,13 +469,14 @@ def similarity_clusters(
     def visiting(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             if len(pdf):
-                i, cell = told.value.visited(vectors_of(pdf))
-                yield pdf.iloc[i].assign(cell=cell)[["cell", "c", "v"]]
+                x = vectors_of(pdf)
+                i, cell = told.value.visited(x, pdf.n.to_numpy())
+                yield pdf.assign(v=code(x)).iloc[i].assign(cell=cell)[["cell", "c", "v"]]
 
     def gather(r: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"c": np.empty(0, np.int64), "id": np.empty(0, np.int64)})]
         if len(r) and len(c):
-            x, m = decode(raw_rows(r.v), dim), vectors_of(c)
+            x, m = decode(raw_rows(r.v), dim), decode(raw_rows(c.v), dim)
             for b in _blocks(len(x), len(m)):
                 i, j = np.nonzero(x[b] @ m.T >= around)
                 out.append(pd.DataFrame({"c": c.c.to_numpy()[j], "id": r.id.to_numpy()[b.start + i]}))
@@ -507,7 +514,7 @@ def similarity_clusters(
             yield runs(tail)
 
     visits = centres.mapInPandas(visiting, "cell int, c bigint, v binary").groupBy("cell")
-    hits = celled.groupBy("cell").cogroup(visits).applyInPandas(gather, "c bigint, id bigint").distinct()  # a row may meet a candidate in every table
+    hits = in_cells(TABLES).groupBy("cell").cogroup(visits).applyInPandas(gather, "c bigint, id bigint").distinct()  # a row may meet a candidate in every table
     near_rows = hits.join(rest, "id").select("c", "id", "v").unionByName(centres.select("c", F.lit(None).cast("bigint").alias("id"), "v"))
     near_rows = near_rows.repartition(2 * parallelism(spark), "c").sortWithinPartitions("c")
     # a cluster that no sample showed has few rows: a task may hold the rows around its centroid
