@@ -27,11 +27,11 @@ SAMPLE_ROWS = 40_000
 #: Rows of the sample from which on a cluster counts as large.
 LARGE = 12
 #: Tables of cells, rows that a cell holds about, the most cells of a table, and rows from which on a cell is sliced.
-TABLES, CELL_ROWS, CELLS, SLICE_ROWS = 3, 8_192, 2_048, 65_536
+TABLES, CELL_ROWS, CELLS, SLICE_ROWS = 3, 4_096, 2_048, 65_536
 #: Tables in whose cells candidates are sought.
 SEED_TABLES = 3
 #: Rounds of seeding the cells; each draws twice as many rows as a table has cells, and no more than DRAWN.
-ROUNDS, DRAWN = 4, 1_024
+ROUNDS, DRAWN = 3, 1_024
 #: A candidate visits the cells whose wall towards its own lies at most at this cosine from it, the farther the fewer
 #: rows it stands for. A member has the cosine a to it and is a * candidate + sqrt(1 - a * a) * a rest that is as good
 #: as random, so few lie far behind a wall, and what one table misses another finds: see the README for the measured
