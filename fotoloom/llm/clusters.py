@@ -31,7 +31,7 @@ TABLES, CELL_ROWS, CELLS, SLICE_ROWS = 3, 4_096, 2_048, 65_536
 #: Tables in whose cells candidates are sought.
 SEED_TABLES = 3
 #: Rounds of seeding the cells; each draws twice as many rows as a table has cells, and no more than DRAWN.
-ROUNDS, DRAWN = 3, 1_024
+ROUNDS, DRAWN = 4, 1_024
 #: A candidate visits the cells whose wall towards its own lies at most at this cosine from it, the farther the fewer
 #: rows it stands for. A member has the cosine a to it and is a * candidate + sqrt(1 - a * a) * a rest that is as good
 #: as random, so few lie far behind a wall, and what one table misses another finds: see the README for the measured
@@ -219,10 +219,10 @@ class Cells:
                 row.append(b.start + i), to.append(first[k] + np.arange(len(k)) - np.repeat(np.cumsum(many) - many, many))
         return np.concatenate(row), np.concatenate(to)
 
-    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, cell) for the three nearest cells of the first table."""
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, cell, whether it is the row's own) for the three nearest cells of the first table."""
         to = np.argsort(-(x @ self.centres[0].T), axis=1)[:, :3]
-        return np.repeat(np.arange(len(x)), to.shape[1]), to.ravel()
+        return np.repeat(np.arange(len(x)), to.shape[1]), to.ravel(), np.tile(np.arange(to.shape[1]) == 0, len(x))
 
 
 def sound_sets(x: np.ndarray, tight: float, apart: float, least: int, start: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -433,35 +433,39 @@ def similarity_clusters(
     centre = "c bigint, n bigint, v binary"
     none_c = pd.DataFrame({"c": np.empty(0, np.int64), "n": np.empty(0, np.int64), "v": []})
 
-    def named(x: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+    def named(x: np.ndarray, n: np.ndarray, cell: int) -> pd.DataFrame:
+        """Centres with a name each; one found in two cells has two."""
         v = pack(x) if len(x) else []
-        return pd.DataFrame({"c": np.array([_name(np.frombuffer(r, np.uint8)) for r in v], np.int64), "n": n, "v": v})
+        salt = np.frombuffer(np.int64(cell).tobytes(), np.uint8)
+        return pd.DataFrame({"c": np.array([_name(np.concatenate([salt, np.frombuffer(r, np.uint8)])) for r in v], np.int64), "n": n, "v": v})
 
-    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+    def inside(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         raw = raw_rows(pdf.v)
         raw = raw[np.lexsort(raw[:, :8].T)]  # the same whatever the order of arrival
         c, who = kmeans(decode(raw, dim), tight, 2)
-        return named(c, np.bincount(who[who >= 0], minlength=len(c))) if len(c) else none_c
+        return named(c, np.bincount(who[who >= 0], minlength=len(c)), key[0]) if len(c) else none_c
 
     def near(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             if len(pdf):
                 x = vectors_of(pdf)
-                i, cell = told.value.nearest(x)
-                yield pdf.assign(v=code(x)).iloc[i].assign(cell=cell)[["cell", "c", "n", "v"]]
+                i, cell, own = told.value.nearest(x)
+                yield pdf.assign(v=code(x)).iloc[i].assign(cell=cell, own=own)[["cell", "own", "c", "n", "v"]]
 
-    def merging(pdf: pd.DataFrame) -> pd.DataFrame:
-        return named(*merged(decode(raw_rows(pdf.v), dim), pdf.n.to_numpy(), pdf.c.to_numpy(), tight))
+    def merging(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return named(*merged(decode(raw_rows(pdf.v), dim), pdf.n.to_numpy(), pdf.c.to_numpy(), tight), key[0])
 
-    def lighter(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"c": pdf.c[outweighed(decode(raw_rows(pdf.v), dim), pdf.n.to_numpy(), pdf.c.to_numpy(), tight)]})
+    def heavier(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The centres that lie in this cell and are outweighed by none of those that lie in it or near it."""
+        x = decode(raw_rows(pdf.v), dim)
+        stays = ~outweighed(x, pdf.n.to_numpy(), pdf.c.to_numpy(), tight) & pdf.own.to_numpy()
+        return pdf.loc[stays, ["c", "n"]].assign(v=pack(x[stays])) if stays.any() else none_c
 
-    placed = "cell int, c bigint, n bigint, v binary"
+    placed = "cell int, own boolean, c bigint, n bigint, v binary"
     candidates = s.cut(in_cells(SEED_TABLES).select("cell", "v").groupBy("cell").applyInPandas(inside, centre).filter("n > 0"))
     # rows of one cluster lie in several cells: the candidates found there are merged, wherever three of their cells meet
-    means = s.cut(candidates.mapInPandas(near, placed).groupBy("cell").applyInPandas(merging, centre).dropDuplicates(["c"]))
-    lesser = means.mapInPandas(near, placed).groupBy("cell").applyInPandas(lighter, "c bigint").distinct()
-    centres = s.cut(means.join(lesser, "c", "left_anti").select("c", "n", "v"))
+    means = s.cut(candidates.mapInPandas(near, placed).groupBy("cell").applyInPandas(merging, centre))
+    centres = s.cut(means.mapInPandas(near, placed).groupBy("cell").applyInPandas(heavier, centre))
 
     # 4. candidates against the rows of the cells near them
     around = apart - AROUND
@@ -482,25 +486,24 @@ def similarity_clusters(
                 out.append(pd.DataFrame({"c": c.c.to_numpy()[j], "id": r.id.to_numpy()[b.start + i]}))
         return pd.concat(out)
 
-    none = pd.DataFrame({k: np.empty(0, t) for k, t in (("cluster_id", "i8"), ("name", "i8"), ("size", "i8"), ("close", "f8"), ("id", "i8"), ("cos", "f4"))})
-
-    def settled(ids: np.ndarray, x: np.ndarray, start: np.ndarray) -> list[pd.DataFrame]:
+    def settled(ids: np.ndarray, x: np.ndarray, start: np.ndarray) -> list[tuple]:
+        """A row per sound set: its name, size, mean cosine, and members with their cosines."""
         out = []
         for member, cos in sound_sets(x, tight, apart, least, start) if len(x) >= least else []:
-            own, cos = ids[member], np.round(cos[member], 4)
-            out.append(pd.DataFrame({"cluster_id": own.min(), "name": _name(np.sort(own)), "size": len(own), "close": round(float(cos.mean()), 6), "id": own, "cos": cos}))
+            own, cos = ids[member], np.round(cos[member], 4)  # ids are sorted
+            out.append((_name(own), len(own), round(float(cos.mean()), 6), own, cos))
         return out
 
     def runs(pdf: pd.DataFrame) -> pd.DataFrame:
         c = pdf.c.to_numpy()
         cut = np.flatnonzero(np.r_[True, c[1:] != c[:-1], True])
         x, centre, ids = vectors_of(pdf), pdf.id.isna().to_numpy(), pdf.id.fillna(-1).to_numpy().astype(np.int64)
-        out = [none]
+        out = []
         for a, b in zip(cut[:-1], cut[1:]):
             mine = a + np.flatnonzero(~centre[a:b])
             mine = mine[np.argsort(ids[mine])]
             out += settled(ids[mine], x[mine], x[a + np.argmax(centre[a:b])])
-        return pd.concat(out)
+        return pd.DataFrame(out, columns=["name", "size", "close", "ids", "cos"])
 
     def members(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tail = None
@@ -518,13 +521,14 @@ def similarity_clusters(
     near_rows = hits.join(rest, "id").select("c", "id", "v").unionByName(centres.select("c", F.lit(None).cast("bigint").alias("id"), "v"))
     near_rows = near_rows.repartition(2 * parallelism(spark), "c").sortWithinPartitions("c")
     # a cluster that no sample showed has few rows: a task may hold the rows around its centroid
-    sets = near_rows.mapInPandas(members, "cluster_id bigint, name bigint, size bigint, close double, id bigint, cos float")
-    sets = s.cut(sets.dropDuplicates(["name", "id"]))
-    # several centroids may lead to one set or to sets that overlap: of these the closest stays, whole
-    best = sets.groupBy("id").agg(F.max_by("name", F.struct("size", "close", -F.col("name"))).alias("name"))
-    small = sets.join(best, ["id", "name"])
-    whole = small.groupBy("name", "size").count().filter("count = size").select("name")
-    small = small.join(whole, "name").select("cluster_id", "id", "cos")
+    sets = near_rows.mapInPandas(members, "name bigint, size bigint, close double, ids array<bigint>, cos array<float>")
+    sets = s.cut(sets.dropDuplicates(["name"]))
+    # several centroids may lead to one set or to sets that overlap: of these the largest, then the closest, stays, whole
+    rank = F.struct("size", "close", (-F.col("name")).alias("m"))
+    claims = sets.select(F.explode("ids").alias("id"), rank.alias("rank")).groupBy("id").agg(F.max("rank").alias("most"), F.min("rank").alias("least"), F.collect_set("rank").alias("all"))
+    loses = claims.filter("most <> least").select(F.explode(F.filter("all", lambda r: r != F.col("most"))).alias("r")).select((-F.col("r.m")).alias("name")).distinct()
+    small = sets.join(loses, "name", "left_anti").select(F.array_min("ids").alias("cluster_id"), F.explode(F.arrays_zip("ids", "cos")).alias("x"))
+    small = small.select("cluster_id", F.col("x.ids").alias("id"), F.col("x.cos").alias("cos"))
     if not len(large):
         return small
     big = everywhere.filter("c is not null").select("c", "id", "cos")
