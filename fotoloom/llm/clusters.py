@@ -36,7 +36,7 @@ ROUNDS, DRAWN = 4, 1_024
 #: rows it stands for. A member has the cosine a to it and is a * candidate + sqrt(1 - a * a) * a rest that is as good
 #: as random, so few lie far behind a wall, and what one table misses another finds: see the README for the measured
 #: recall.
-WALLS = ((6, 0.15), (1 << 62, 0.1))
+WALLS = ((6, 0.12), (1 << 62, 0.1))
 SEEDS_A_ROUND = 1024
 #: Rows this much less similar than ``apart`` are still looked at around a centroid; then a set whose mean has
 #: at least the cosine SETTLED to the centroid is seen whole.
@@ -219,10 +219,10 @@ class Cells:
                 row.append(b.start + i), to.append(first[k] + np.arange(len(k)) - np.repeat(np.cumsum(many) - many, many))
         return np.concatenate(row), np.concatenate(to)
 
-    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, cell, whether it is the row's own) for the three nearest cells of the first table."""
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) for the three nearest cells of the first table."""
         to = np.argsort(-(x @ self.centres[0].T), axis=1)[:, :3]
-        return np.repeat(np.arange(len(x)), to.shape[1]), to.ravel(), np.tile(np.arange(to.shape[1]) == 0, len(x))
+        return np.repeat(np.arange(len(x)), to.shape[1]), to.ravel()
 
 
 def sound_sets(x: np.ndarray, tight: float, apart: float, least: int, start: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -449,23 +449,21 @@ def similarity_clusters(
         for pdf in it:
             if len(pdf):
                 x = vectors_of(pdf)
-                i, cell, own = told.value.nearest(x)
-                yield pdf.assign(v=code(x)).iloc[i].assign(cell=cell, own=own)[["cell", "own", "c", "n", "v"]]
+                i, cell = told.value.nearest(x)
+                yield pdf.assign(v=code(x)).iloc[i].assign(cell=cell)[["cell", "c", "n", "v"]]
 
     def merging(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return named(*merged(decode(raw_rows(pdf.v), dim), pdf.n.to_numpy(), pdf.c.to_numpy(), tight), key[0])
 
-    def heavier(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The centres that lie in this cell and are outweighed by none of those that lie in it or near it."""
-        x = decode(raw_rows(pdf.v), dim)
-        stays = ~outweighed(x, pdf.n.to_numpy(), pdf.c.to_numpy(), tight) & pdf.own.to_numpy()
-        return pdf.loc[stays, ["c", "n"]].assign(v=pack(x[stays])) if stays.any() else none_c
+    def lighter(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"c": pdf.c[outweighed(decode(raw_rows(pdf.v), dim), pdf.n.to_numpy(), pdf.c.to_numpy(), tight)]})
 
-    placed = "cell int, own boolean, c bigint, n bigint, v binary"
+    placed = "cell int, c bigint, n bigint, v binary"
     candidates = s.cut(in_cells(SEED_TABLES).select("cell", "v").groupBy("cell").applyInPandas(inside, centre).filter("n > 0"))
     # rows of one cluster lie in several cells: the candidates found there are merged, wherever three of their cells meet
     means = s.cut(candidates.mapInPandas(near, placed).groupBy("cell").applyInPandas(merging, centre))
-    centres = s.cut(means.mapInPandas(near, placed).groupBy("cell").applyInPandas(heavier, centre))
+    lesser = means.mapInPandas(near, placed).groupBy("cell").applyInPandas(lighter, "c bigint").distinct()
+    centres = s.cut(means.join(lesser, "c", "left_anti"))
 
     # 4. candidates against the rows of the cells near them
     around = apart - AROUND
