@@ -433,35 +433,37 @@ def similarity_clusters(
     centre = "c bigint, n bigint, v binary"
     none_c = pd.DataFrame({"c": np.empty(0, np.int64), "n": np.empty(0, np.int64), "v": []})
 
-    def named(x: np.ndarray, n: np.ndarray, cell: int) -> pd.DataFrame:
-        """Centres with a name each; one found in two cells has two."""
+    def named(x: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+        """Centres with a name each, the same wherever one is found."""
         v = pack(x) if len(x) else []
-        salt = np.frombuffer(np.int64(cell).tobytes(), np.uint8)
-        return pd.DataFrame({"c": np.array([_name(np.concatenate([salt, np.frombuffer(r, np.uint8)])) for r in v], np.int64), "n": n, "v": v})
+        return pd.DataFrame({"c": np.array([_name(np.frombuffer(r, np.uint8)) for r in v], np.int64), "n": n, "v": v})
 
-    def inside(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
         raw = raw_rows(pdf.v)
         raw = raw[np.lexsort(raw[:, :8].T)]  # the same whatever the order of arrival
         c, who = kmeans(decode(raw, dim), tight, 2)
-        return named(c, np.bincount(who[who >= 0], minlength=len(c)), key[0]) if len(c) else none_c
+        return named(c, np.bincount(who[who >= 0], minlength=len(c))) if len(c) else none_c
 
     def near(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             if len(pdf):
                 x = vectors_of(pdf)
                 i, cell = told.value.nearest(x)
-                yield pdf.assign(v=code(x)).iloc[i].assign(cell=cell)[["cell", "c", "n", "v"]]
+                yield pdf.assign(v=code(x)).iloc[i].assign(cell=cell)
 
-    def merging(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return named(*merged(decode(raw_rows(pdf.v), dim), pdf.n.to_numpy(), pdf.c.to_numpy(), tight), key[0])
+    def merging(pdf: pd.DataFrame) -> pd.DataFrame:
+        raw, n = raw_rows(pdf.v), pdf.n.to_numpy()
+        order = np.lexsort([*raw[:, :8].T, n])  # the same whatever the order of arrival
+        return named(*merged(decode(raw[order], dim), n[order], np.arange(len(n)), tight))
 
     def lighter(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"c": pdf.c[outweighed(decode(raw_rows(pdf.v), dim), pdf.n.to_numpy(), pdf.c.to_numpy(), tight)]})
 
-    placed = "cell int, c bigint, n bigint, v binary"
+    placed = "c bigint, n bigint, v binary, cell int"
     candidates = s.cut(in_cells(SEED_TABLES).select("cell", "v").groupBy("cell").applyInPandas(inside, centre).filter("n > 0"))
     # rows of one cluster lie in several cells: the candidates found there are merged, wherever three of their cells meet
-    means = s.cut(candidates.mapInPandas(near, placed).groupBy("cell").applyInPandas(merging, centre))
+    means = candidates.drop("c").mapInPandas(near, "n bigint, v binary, cell int").groupBy("cell").applyInPandas(merging, centre)
+    means = s.cut(means.dropDuplicates(["c"]))
     lesser = means.mapInPandas(near, placed).groupBy("cell").applyInPandas(lighter, "c bigint").distinct()
     centres = s.cut(means.join(lesser, "c", "left_anti"))
 
@@ -515,7 +517,9 @@ def similarity_clusters(
             yield runs(tail)
 
     visits = centres.mapInPandas(visiting, "cell int, c bigint, v binary").groupBy("cell")
-    hits = in_cells(TABLES).groupBy("cell").cogroup(visits).applyInPandas(gather, "c bigint, id bigint").distinct()  # a row may meet a candidate in every table
+    hits = in_cells(TABLES).groupBy("cell").cogroup(visits).applyInPandas(gather, "c bigint, id bigint")
+    # a row may meet a candidate in every table; a candidate with fewer rows around it than a cluster has is none
+    hits = hits.groupBy("c").agg(F.collect_set("id").alias("ids")).filter(F.size("ids") >= least).select("c", F.explode("ids").alias("id"))
     near_rows = hits.join(rest, "id").select("c", "id", "v").unionByName(centres.select("c", F.lit(None).cast("bigint").alias("id"), "v"))
     near_rows = near_rows.repartition(2 * parallelism(spark), "c").sortWithinPartitions("c")
     # a cluster that no sample showed has few rows: a task may hold the rows around its centroid
