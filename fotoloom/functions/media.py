@@ -158,3 +158,22 @@ def mapped_path(path: Column, host: str, inside: str) -> Column:
     p, h = F.regexp_replace(path, r"\\", "/"), host.replace("\\", "/").rstrip("/")
     hit = F.lower(p).startswith(h.lower() + "/")
     return F.when(hit, F.concat(F.lit(inside.rstrip("/")), F.substring(p, len(h) + 1, 1 << 30))).otherwise(p)
+
+
+def relative_path(path: Column, root: str) -> Column:
+    """The path below ``root``; paths elsewhere unchanged."""
+    r = root.rstrip("/") + "/"
+    return F.when(path.startswith(r), F.substring(path, len(r) + 1, 1 << 30)).otherwise(path)
+
+
+#: What EXIF readers put before a tag's name, and the names that hold no data; fixed values.
+EXIF_PREFIXES = ["EXIF ", "Image ", "GPS ", "Thumbnail "]
+EXIF_SKIPPED = ["Thumbnail", "EXIF MakerNote"]
+
+
+def clean_exif(tags: Column) -> Column:
+    """A map of EXIF names and values without reader's prefixes, thumbnails and maker notes, values cleaned; long and empty ones are dropped."""
+    skip = lambda k: F.reduce(F.array(*[F.lit(p) for p in EXIF_SKIPPED]), F.lit(False), lambda a, p: a | k.startswith(p))
+    kept = F.map_filter(tags, lambda k, v: ~skip(k) & (F.length(F.trim(v)).between(1, 256)))
+    bare = F.transform_keys(kept, lambda k, v: F.regexp_replace(k, "^(" + "|".join(EXIF_PREFIXES) + ")", ""))
+    return F.transform_values(bare, lambda k, v: F.trim(F.regexp_replace(v, r"\p{Cntrl}", "")))

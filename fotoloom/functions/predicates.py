@@ -104,6 +104,13 @@ def having_all(photos: DataFrame, edges: DataFrame, key: str, ids: Sequence[int]
     return photos.join(full, on, "left_semi")
 
 
+def having_each(photos: DataFrame, edges: DataFrame, key: str, ids: Sequence[int], on: str = "image_id") -> DataFrame:
+    """Photos linked to every one of the ids, asked one by one; an id given twice counts once."""
+    for i in dict.fromkeys(ids):
+        photos = photos.join(edges.filter(F.col(key) == i).select(on), on, "left_semi")
+    return photos
+
+
 def having_none(photos: DataFrame, edges: DataFrame, key: str, ids: Sequence[int], on: str = "image_id") -> DataFrame:
     return photos.join(edges.filter(F.col(key).isin(list(ids))).select(on), on, "left_anti") if ids else photos
 

@@ -4,48 +4,77 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from fotoloom.functions.hashing import HASH_DIGITS, clean_hash, hamming, lanes
+from fotoloom.functions.hashing import clean_hash, hamming, lanes
 from fotoloom.functions.media import extension, format_group
 from fotoloom.functions.predicates import has_gps
+from fotoloom.operators.hash_links import near_hash_links
+from fotoloom.operators.ranking import numbered
 from fotoloom.session import Scratch
 
-#: Pairs a report lists, taken in order of the ids.
-PAIR_LIMIT = 50_000
 
+def hash_rows(photos: DataFrame, same_format: bool = True, id_col: str = "image_id", hash_col: str = "phash", part: Column | None = None) -> DataFrame:
+    """(id, h, g) of the photos with a readable hash; g is the part they meet in: the one given, the format group, or one for all."""
+    g = part if part is not None else format_group(extension("file_path")) if same_format else F.lit("")
+    rows = photos.select(F.col(id_col).cast("bigint").alias("id"), clean_hash(hash_col).alias("h"), F.coalesce(g, F.lit("")).alias("g"))
+    return rows.filter("id is not null and h is not null")
 
-def _bands(most: int) -> list[tuple[int, int]]:
-    """Start and width of most + 1 pieces of the hash; two hashes within ``most`` bits agree on one of them."""
-    width = -(-HASH_DIGITS // (most + 1))
-    return [(at + 1, width) for at in range(0, HASH_DIGITS, width)]
 
+def hash_classes(rows: DataFrame) -> DataFrame:
+    """(h, g, rep, n): each distinct hash and group with its smallest id and number of photos, combined before the shuffle."""
+    return rows.groupBy("h", "g").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("n"))
 
-def hash_pairs(photos: DataFrame, most: int, same_format: bool = True, id_col: str = "image_id", hash_col: str = "phash") -> DataFrame:
-    """(id1, id2, distance), id1 < id2, of all photos within ``most`` bits; same format group unless told otherwise.
 
-    Unreadable hashes take no part. An equi-join per band finds the candidates, so no pair is compared
-    that does not share a band; a pair counts in the first band it shares, which leaves nothing to sort out.
+def class_pairs(classes: DataFrame, most: int) -> DataFrame:
+    """(id1, id2, distance), id1 < id2: all pairs of classes of one group whose hashes differ in 1 to ``most`` bits, by their smallest ids."""
+    return near_hash_links(classes, "rep", "h", most, F.col("g"), forest=False).toDF("id1", "id2", "distance")
+
+
+def hash_pairs(photos: DataFrame, most: int, same_format: bool = True, id_col: str = "image_id", hash_col: str = "phash", expand: bool = True) -> DataFrame:
+    """(id1, id2, distance), id1 < id2, of photos within ``most`` bits; same format group unless told otherwise.
+
+    Photos of equal hash and group are one class. ``expand`` writes out all pairs of photos, k (k - 1) / 2
+    of k copies: only for inputs known to have few; without it there are the pairs of classes, by their
+    smallest ids, and each copy paired with the smallest id of its class at distance 0. Unreadable hashes
+    take no part.
     """
-    rows = photos.select(F.col(id_col).alias("id"), clean_hash(hash_col).alias("h"), format_group(extension("file_path")).alias("g")).filter("h is not null")
-    rows = rows.withColumn("l", lanes("h"))
-    bands = _bands(most)
-    key = F.explode(F.array(*[F.struct(F.lit(i).alias("b"), F.substring("h", a, n).alias("k")) for i, (a, n) in enumerate(bands)]))
-    a = rows.select("*", key.alias("x")).select("id", "h", "g", "l", "x.b", "x.k")
-    b = a.select(*[F.col(c).alias(c + "2") for c in ("id", "h", "g", "l", "b", "k")])
-    match = (F.col("b") == F.col("b2")) & (F.col("k") == F.col("k2")) & (F.col("id") < F.col("id2"))
-    if same_format:
-        match = match & (F.col("g") == F.col("g2"))
-    both = a.join(b, match).withColumn("distance", hamming(F.col("l"), F.col("l2"))).filter(F.col("distance") <= most)
-    earlier = F.lit(False)
-    for i, (at, n) in enumerate(bands):
-        earlier = earlier | ((F.col("b") > i) & (F.substring("h", at, n) == F.substring("h2", at, n)))
-    return both.filter(~earlier).select(F.col("id").alias("id1"), F.col("id2"), "distance")
+    s = Scratch(photos.sparkSession)
+    rows = s.cut(hash_rows(photos, same_format, id_col, hash_col).distinct())
+    classes = s.cut(hash_classes(rows))
+    pairs = class_pairs(classes, most)
+    of_class = rows.join(classes.filter("n > 1").select("h", "g", "rep"), ["h", "g"])
+    if not expand:
+        copies = of_class.filter("id <> rep").select(F.col("rep").alias("id1"), F.col("id").alias("id2"), F.lit(0).alias("distance"))
+        return pairs.unionByName(copies)
+    member = rows.join(classes.select("h", "g", "rep"), ["h", "g"]).select("rep", "id")
+    a, b = (member.select(F.col("rep").alias(f"id{i}"), F.col("id").alias(x)) for i, x in ((1, "a"), (2, "b")))
+    wide = pairs.join(a, "id1").join(b, "id2").select(F.least("a", "b").alias("id1"), F.greatest("a", "b").alias("id2"), "distance")
+    two = of_class.select("rep", F.col("id").alias("id1")).join(of_class.select("rep", F.col("id").alias("id2")), "rep").filter("id1 < id2")
+    return wide.unionByName(two.select("id1", "id2", F.lit(0).alias("distance")))
+
+
+def hash_groups(
+    photos: DataFrame, most: int, same_format: bool = True, id_col: str = "image_id", hash_col: str = "phash", part: Column | None = None
+) -> DataFrame:
+    """(id, group_id) of the photos within ``most`` bits of another, closed over chains; group_id is the smallest id.
+
+    Classes are linked by spanning forests, never by all pairs, and closed by ``components``; the members of
+    a class follow its smallest id.
+    """
+    s = Scratch(photos.sparkSession)
+    rows = s.cut(hash_rows(photos, same_format, id_col, hash_col, part).distinct())
+    classes = s.cut(hash_classes(rows))
+    groups = components(near_hash_links(classes, "rep", "h", most, F.col("g")), "a", "b")
+    of_class = classes.join(groups, classes.rep == groups.id, "left").select("h", "g", F.coalesce("group_id", F.when(F.col("n") > 1, F.col("rep"))).alias("group_id"))
+    return rows.join(of_class.dropna(), ["h", "g"]).select("id", "group_id")
 
 
 def components(pairs: DataFrame, a: str = "id1", b: str = "id2") -> DataFrame:
     """(id, group_id): the smallest id linked directly or through others.
 
     Alternates large-star (link each vertex's larger neighbours to its smallest) and small-star (the
-    smaller ones and itself) until nothing changes; each round is written, so lineage stays short.
+    smaller ones and itself) until nothing changes; each round is written, so lineage stays short. A hub's
+    links are combined to their minimum before they are shuffled; the join that follows has one row per
+    vertex on its other side, so AQE broadcasts that side or splits the hub's links over several tasks.
     """
     s = Scratch(pairs.sparkSession)
     e = s.cut(pairs.select(F.col(a).alias("u"), F.col(b).alias("v")).dropna().distinct())
@@ -88,8 +117,7 @@ def ranked_groups(members: DataFrame, photos: DataFrame, order: str = "phash") -
         "size": [],
     }
     rows = members.join(photos.select(F.col("image_id").alias("id"), "file_path", "file_size"), "id")
-    w = Window.partitionBy("group_id").orderBy(*by[order], F.asc("id"))
-    rows = rows.withColumn("rank", F.row_number().over(w))
+    rows = numbered(rows, ["group_id"], [*by[order], F.asc("id")])
     return rows.withColumn("action", F.when(F.col("rank") == 1, "KEEP").otherwise("DELETE"))
 
 
@@ -133,15 +161,21 @@ def transfer_positions(photos: DataFrame, most: int = 6) -> DataFrame:
 
     Same format group, at most ``most`` bits, ties to the smaller donor id.
     """
-    zero = (F.col("latitude") == 0) & (F.col("longitude") == 0)
-    zero = F.coalesce(zero, F.lit(False))
+    s = Scratch(photos.sparkSession)
+    zero = F.coalesce((F.col("latitude") == 0) & (F.col("longitude") == 0), F.lit(False))
     placed = has_gps() & ~zero
-    pairs = hash_pairs(photos.filter(zero | placed), most)
-    both = pairs.select(F.col("id1").alias("t"), F.col("id2").alias("d"), "distance").union(pairs.select(F.col("id2").alias("t"), F.col("id1").alias("d"), "distance"))
-    target = photos.filter(zero).select(F.col("image_id").alias("t"))
-    donor = photos.filter(placed).select(F.col("image_id").alias("d"), "latitude", "longitude")
-    best = both.join(target, "t").join(donor, "d").groupBy("t").agg(F.min(F.struct("distance", "d", "latitude", "longitude")).alias("m"))
-    return best.select(F.col("t").alias("image_id"), F.col("m.d").alias("donor_id"), "m.latitude", "m.longitude", "m.distance")
+    at = photos.filter(zero | placed).select("image_id", zero.alias("zero"), "latitude", "longitude").withColumnRenamed("image_id", "id")
+    rows = s.cut(hash_rows(photos).distinct().join(at, "id"))
+    donor = F.min(F.when(~F.col("zero"), F.struct("id", "latitude", "longitude"))).alias("donor")
+    classes = s.cut(rows.groupBy("h", "g").agg(F.min("id").alias("rep"), F.bool_or("zero").alias("asks"), donor))
+    pairs = class_pairs(classes, most)
+    both = pairs.unionByName(pairs.select(F.col("id2").alias("id1"), F.col("id1").alias("id2"), "distance"))
+    both = both.unionByName(classes.select(F.col("rep").alias("id1"), F.col("rep").alias("id2"), F.lit(0).alias("distance")))
+    donors = classes.filter("donor is not null").select(F.col("rep").alias("id2"), "donor")
+    asking = classes.filter("asks").select(F.col("rep").alias("id1"), "h", "g")
+    best = both.join(asking, "id1").join(donors, "id2").groupBy("h", "g").agg(F.min(F.struct("distance", F.col("donor.id").alias("d"), "donor.latitude", "donor.longitude")).alias("m"))
+    targets = rows.filter("zero").join(best, ["h", "g"])
+    return targets.select(F.col("id").alias("image_id"), F.col("m.d").alias("donor_id"), F.col("m.latitude").alias("latitude"), F.col("m.longitude").alias("longitude"), F.col("m.distance").alias("distance"))
 
 
 def verify_report(rows: DataFrame, photos: DataFrame, most: int) -> DataFrame:
@@ -196,3 +230,37 @@ def copy_plan(report: DataFrame, selector: str, target: str, group: str = "group
     name = F.element_at(F.split("file_path", "/"), -1)
     dst = F.concat(F.lit(target.rstrip("/") + "/"), F.col(group).cast("string"), F.lit("/"), F.format_string("%02d_%s_", "n", "action"), name)
     return rows.select(group, F.col("file_path").alias("src"), dst.alias("dst"))
+
+
+def size_hash_groups(photos: DataFrame, most: int = 6, same_format: bool = True) -> DataFrame:
+    """(id, group_id) of photos that agree in size (and format group) and lie within ``most`` bits of another such photo, closed over chains.
+
+    The size is part of every bucket, so only photos of one size meet; group_id, the smallest id, is the one to keep.
+    """
+    sized = photos.filter("file_size is not null").withColumn("__part", F.concat_ws("/", F.col("file_size").cast("string"), format_group(extension("file_path")) if same_format else F.lit("")))
+    return hash_groups(sized, most, part=F.col("__part"))
+
+
+def by_size(groups: DataFrame) -> DataFrame:
+    """(group_id, n, place): the groups, largest first, ties by their smallest id."""
+    n = groups.groupBy("group_id").agg(F.count("*").alias("n"))
+    return numbered(n, [], [F.desc("n"), F.asc("group_id")], "place")
+
+
+def enriched(groups: DataFrame, photos: DataFrame) -> DataFrame:
+    """Groups with each photo's name, format group, size and whether it has a position."""
+    p = photos.select(F.col("image_id").alias("id"), "file_name", format_group(extension("file_path")).alias("kind"), "file_size", F.coalesce(has_gps(), F.lit(False)).alias("has_gps"))
+    return groups.join(p, "id")
+
+
+def report_deletion(report: DataFrame, photos: DataFrame, on_disk: DataFrame) -> DataFrame:
+    """A dry run: how many paths a report deletes, how many of them are there, and how many photos would go."""
+    paths = report.filter("action = 'DELETE'").select("file_path")
+    there = on_disk.select("file_path").distinct().withColumn("__t", F.lit(True))
+    total = paths.join(there, "file_path", "left").agg(F.count("*").alias("total"), F.count("__t").alias("existing"))
+    return total.crossJoin(photos.join(paths, "file_path", "left_semi").agg(F.count("*").alias("photos")))
+
+
+def without_reported(report: DataFrame, photos: DataFrame) -> DataFrame:
+    """Photos after a report's DELETE lines were carried out."""
+    return photos.join(report.filter("action = 'DELETE'").select("file_path"), "file_path", "left_anti")

@@ -97,3 +97,23 @@ def hierarchy(links: DataFrame, parent: str, child: str) -> DataFrame:
             F.coalesce("in_cycle", F.lit(False)).alias("in_cycle"),
         )
     )
+
+
+def roots(links: DataFrame, parent: str, child: str, nodes: DataFrame | None = None) -> DataFrame:
+    """(node_id, root_id, depth, path): every node under each of its roots, with the shortest way (of ties the smallest) joined by '/'.
+
+    A root is a node without parent and its own root at depth 0; ids of ``nodes`` (one column) that no link
+    names are roots too. Nodes above which there are only cycles have no row; null ids take no part.
+    """
+    s = Scratch(links.sparkSession)
+    pairs = s.cut(closure(links, parent, child, with_path=True))
+    ones = pairs.filter("steps = 1")
+    every = ones.select("node_id").union(ones.select("ancestor_id"))
+    if nodes is not None:
+        every = every.union(nodes.select(F.col(nodes.columns[0]).cast("bigint"))).dropna()
+    tops = every.distinct().join(ones.select("node_id").distinct(), "node_id", "left_anti")
+    text = F.array_join(F.transform("path", lambda x: x.cast("string")), "/")
+    below = pairs.join(tops.withColumnRenamed("node_id", "ancestor_id"), "ancestor_id", "left_semi")
+    below = below.select("node_id", F.col("ancestor_id").alias("root_id"), F.col("steps").alias("depth"), text.alias("path"))
+    own = tops.select("node_id", F.col("node_id").alias("root_id"), F.lit(0).cast("bigint").alias("depth"), F.col("node_id").cast("string").alias("path"))
+    return own.unionByName(below)

@@ -94,3 +94,38 @@ def live_sessions(session: DataFrame, users: DataFrame, now: str, idle: str = "3
     """Sessions whose last activity is not older than ``idle``, with their user."""
     at = F.lit(now).cast("timestamp_ntz") - F.expr(f"interval {idle}")
     return session.filter(F.col("last_active_at") >= at).join(users.select("user_id", "display_name", "is_admin"), "user_id")
+
+
+def albums_of(image_id: int, album: DataFrame, album_photo: DataFrame) -> DataFrame:
+    """The albums that hold a photo, by title."""
+    held = album_photo.filter(F.col("image_id") == image_id).select("album_id")
+    return album.join(held, "album_id", "left_semi").select("album_id", "title", "is_public").orderBy("title", "album_id")
+
+
+def removed(requests: DataFrame, album_photo: DataFrame, covers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links and (album_id, cover_image_id) after photos were taken out of albums, (album_id, image_id) each.
+
+    A cover that was asked to be removed gives way to the photo added last of those that stay (ties: the
+    larger id), or to none; other covers stay.
+    """
+    asked = requests.select("album_id", "image_id").distinct()
+    left = album_photo.join(asked, ["album_id", "image_id"], "left_anti")
+    lost = covers.join(asked.withColumnRenamed("image_id", "cover_image_id"), ["album_id", "cover_image_id"], "left_semi").select("album_id")
+    latest = left.join(lost, "album_id", "left_semi").groupBy("album_id").agg(F.max_by("image_id", F.struct("added_at", "image_id")).alias("__new"))
+    flagged = covers.join(lost.withColumn("__lost", F.lit(True)), "album_id", "left").join(latest, "album_id", "left")
+    return left, flagged.select("album_id", F.when(F.col("__lost"), F.col("__new")).otherwise(F.col("cover_image_id")).alias("cover_image_id"))
+
+
+def with_cover(album_id: int, image_id: int, album_photo: DataFrame, covers: DataFrame) -> DataFrame:
+    """Covers after one was set, which only a photo of the album can be."""
+    ok = album_photo.filter((F.col("album_id") == album_id) & (F.col("image_id") == image_id)).select("album_id").limit(1).withColumn("__ok", F.lit(True))
+    return covers.join(ok, "album_id", "left").select("album_id", F.when(F.col("__ok"), F.lit(image_id)).otherwise(F.col("cover_image_id")).alias("cover_image_id"))
+
+
+def checked_tags(tag: DataFrame, requested: Sequence[int], is_admin: bool) -> DataFrame:
+    """(tag_id, name, verdict) of the requested tags that exist: 'denied' for a system tag unless an admin asks, else 'ok'.
+
+    Unknown ids are ignored; an empty result means that none exists, and one 'denied' refuses the request.
+    """
+    denied = F.col("is_system") & F.lit(not is_admin)
+    return tag.filter(F.col("tag_id").isin(list(requested))).select("tag_id", "name", F.when(denied, "denied").otherwise("ok").alias("verdict"))

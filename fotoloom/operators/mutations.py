@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fotoloom.functions import media, predicates as pr
+from fotoloom.operators.ranking import numbered
 
 
 def _flag(keys: DataFrame, key: str, flag: str = "__hit") -> DataFrame:
@@ -153,3 +154,58 @@ def raise_marks(users: DataFrame, uploads: DataFrame, key: str = "user_id", mark
     """Users with a mark that follows their latest upload and never goes back."""
     latest = uploads.groupBy(key).agg(F.max(at).alias("__latest"))
     return users.join(latest, key, "left").select(*[F.greatest(F.col(mark), F.col("__latest").cast("timestamp_ntz")).alias(mark) if c == mark else F.col(c) for c in users.columns])
+
+
+def assign_face(person: DataFrame, faces: DataFrame, face_id: int, person_id: int) -> tuple[DataFrame, DataFrame]:
+    """Persons and faces after one face went to a person; unchanged if either does not exist.
+
+    If the face was its old person's cover, their best other face takes its place, or none. The new
+    person's cover becomes the face if there was none, if the cover's face is gone or if the face scores higher.
+    """
+    face = faces.filter(F.col("face_id") == face_id).select(F.col("person_id").alias("__old"), F.col("det_score").alias("__score")).limit(1)
+    face = face.crossJoin(F.broadcast(person.filter(F.col("person_id") == person_id).select(F.lit(True).alias("__ok")).limit(1)))  # one row or none
+    better = F.max_by("face_id", F.struct(F.coalesce("det_score", F.lit(-1.0)), -F.col("face_id")))
+    owner = faces.join(F.broadcast(face), F.col("person_id") == F.col("__old")).filter(F.col("face_id") != face_id).agg(better.alias("__next"))
+    target = person.filter(F.col("person_id") == person_id).select(F.col("cover_face_id").alias("face_id"))
+    cover = faces.join(F.broadcast(target), "face_id").agg(F.count("*").alias("__there"), F.max("det_score").alias("__cover_score"))
+    one = face.crossJoin(F.broadcast(owner)).crossJoin(F.broadcast(cover))
+    p = person.join(F.broadcast(one), F.lit(True), "left")
+    this = F.lit(face_id).cast("bigint")
+    leaves = F.col("__ok") & (F.col("person_id") == F.col("__old")) & (F.col("__old") != person_id) & (F.col("cover_face_id") == face_id)
+    higher = (F.col("__score") > 0) & (F.col("__cover_score").isNull() | (F.col("__score") > F.col("__cover_score")))
+    gains = F.col("__ok") & (F.col("person_id") == person_id) & (F.col("cover_face_id").isNull() | (F.col("__there") == 0) | higher)
+    new = F.when(leaves, F.col("__next")).when(gains, this).otherwise(F.col("cover_face_id")).alias("cover_face_id")
+    out = p.select(*[new if c == "cover_face_id" else F.col(c) for c in person.columns])
+    moved = faces.join(F.broadcast(face.select("__ok")), F.lit(True), "left")
+    to = F.when(F.col("__ok") & (F.col("face_id") == face_id), F.lit(person_id).cast("bigint")).otherwise(F.col("person_id")).alias("person_id")
+    return out, moved.select(*[to if c == "person_id" else F.col(c) for c in faces.columns])
+
+
+def reindex_faces(faces: DataFrame, image_id: int, detected: DataFrame) -> DataFrame:
+    """Faces after one photo's were replaced by newly detected ones, without person; assign them with ``people.assign_by_nearest``."""
+    new = detected.select(*[F.lit(image_id).cast("bigint").alias(c) if c == "image_id" else F.lit(None).cast(faces.schema[c].dataType).alias(c) if c == "person_id" or c not in detected.columns else F.col(c) for c in faces.columns])
+    return faces.filter(~F.col("image_id").eqNullSafe(F.lit(image_id))).unionByName(new)
+
+
+#: Kinds of relation that may be added, fixed values.
+RELATION_TYPES = ["parent", "spouse"]
+
+
+def add_relations(relations: DataFrame, person: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Relations with the wanted (person_id_from, person_id_to, relation_type) of known persons and kinds that are not there yet, numbered on from the last."""
+    key = ["person_id_from", "person_id_to", "relation_type"]
+    new = wanted.select(*key).filter(F.col("relation_type").isin(RELATION_TYPES)).distinct().join(relations.select(*key), key, "left_anti")
+    for end in key[:2]:
+        new = new.join(person.select(F.col("person_id").alias(end)), end, "left_semi")
+    last = relations.agg(F.coalesce(F.max("relation_id"), F.lit(0)).alias("__last"))
+    new = numbered(new, [], [F.col(c).asc() for c in key], "__n").crossJoin(F.broadcast(last)).withColumn("relation_id", F.col("__last") + F.col("__n"))
+    return relations.unionByName(new.select("relation_id", *key), allowMissingColumns=True)
+
+
+def edit_photo(photos: DataFrame, image_id: int, changes: dict[str, object]) -> DataFrame:
+    """A photo's date or position changed; a position with a null part is cleared whole."""
+    changes = dict(changes)
+    if {"latitude", "longitude"} & set(changes) and (changes.get("latitude") is None or changes.get("longitude") is None):
+        changes |= {"latitude": None, "longitude": None}
+    this = F.col("image_id") == image_id
+    return photos.withColumns({c: F.when(this, F.lit(v).cast(photos.schema[c].dataType)).otherwise(F.col(c)) for c, v in changes.items()})

@@ -111,3 +111,23 @@ def assign_by_nearest(faces: DataFrame, image_id: int, threshold: float = 0.6) -
     near = known.join(F.broadcast(free), cosine(F.col("face_embedding"), F.col("qv")) >= threshold)
     best = F.max_by("person_id", F.struct(cosine(F.col("face_embedding"), F.col("qv")).alias("s"), (-F.col("face_id")).alias("i")))
     return near.groupBy("q").agg(best.alias("person_id")).withColumnRenamed("q", "face_id")
+
+
+def faces_of(person_id: int, faces: DataFrame, photos: DataFrame, limit: int | None = None) -> DataFrame:
+    """A person's faces with the day of their photo, latest first, then by score; faces of unknown photos are left out."""
+    rows = faces.filter(F.col("person_id") == person_id).select("face_id", "image_id", "det_score").join(photos.select("image_id", "photo_date"), "image_id")
+    rows = rows.orderBy(F.desc_nulls_last("photo_date"), F.desc_nulls_first("det_score"), "face_id")
+    return rows if limit is None else rows.limit(limit)
+
+
+def best_detection(detections: DataFrame, vector: str = "face_embedding") -> list[float] | None:
+    """The vector of the face detected best in one picture (ties: smaller id); None without a face."""
+    row = detections.filter(F.size(vector) > 0).agg(F.max_by(vector, F.struct(F.coalesce("det_score", F.lit(-1.0)), -F.col("face_id"))).alias("v")).first()
+    return None if row.v is None else list(row.v)
+
+
+def reset_covers(person: DataFrame, faces: DataFrame) -> DataFrame:
+    """(person_id, old_cover, new_cover) of every cover that is not the person's best face; without faces the new one is null."""
+    best = faces.filter("person_id is not null").groupBy("person_id").agg(F.max_by("face_id", F.struct(F.coalesce("det_score", F.lit(-1.0)), -F.col("face_id"))).alias("new_cover"))
+    both = person.select("person_id", F.col("cover_face_id").alias("old_cover")).join(best, "person_id", "left")
+    return both.filter(~F.col("old_cover").eqNullSafe(F.col("new_cover")))

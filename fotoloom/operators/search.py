@@ -145,3 +145,9 @@ def in_rank_order(photos: DataFrame, ranked: DataFrame, id_col: str = "image_id"
     total = ranked.agg(F.count("*").alias("total"))
     shown = F.when(F.col("total") <= 1, 1.0).otherwise(1.0 - (F.col("rank") - 1) / (2.0 * F.col("total")))
     return photos.join(ranked.select(id_col, "rank"), id_col).crossJoin(F.broadcast(total)).withColumn("similarity", F.round(shown, 4)).drop("total").orderBy("rank", id_col)
+
+
+def search_in_box(photos: DataFrame, vector: str, query: Sequence[float], spec: Spec, faces: DataFrame, photo_tag: DataFrame, tag: DataFrame, threshold: float) -> DataFrame:
+    """The ``spec.top_k`` photos of a map's box most similar to a vector, without hidden ones unless an admin asks."""
+    here = restrict(photos.select("image_id", vector, "file_format", "photo_date", "latitude", "longitude"), spec, faces, photo_tag, tag)
+    return top_k(here, "image_id", vector, query, spec.top_k, threshold)

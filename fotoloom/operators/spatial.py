@@ -85,9 +85,18 @@ class Quadtree:
     def leaf(self, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.start, self.code(lat, lon), side="right") - 1
 
-    def touched(self, box: np.ndarray) -> np.ndarray:
-        b = self.box
-        return np.flatnonzero((b[:, 0] <= box[2]) & (b[:, 2] >= box[0]) & (b[:, 1] <= box[3]) & (b[:, 3] >= box[1]))
+    def touched(self, boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Indexes of (box, leaf) that meet. A box whose corners lie inside one leaf meets that one alone; only the others are held against all leaves."""
+        corner = [self.leaf(np.clip(boxes[:, y], -90, 90), np.clip(boxes[:, x], -180, 180)) for x in (0, 2) for y in (1, 3)]
+        own, b = corner[0], self.box
+        at = b[own]
+        inside = np.all([c == own for c in corner], axis=0) & (at[:, 0] < boxes[:, 0]) & (at[:, 1] < boxes[:, 1]) & (at[:, 2] > boxes[:, 2]) & (at[:, 3] > boxes[:, 3])
+        row, leaf = [np.flatnonzero(inside)], [own[inside]]
+        for i in np.flatnonzero(~inside).tolist():
+            x0, y0, x1, y1 = boxes[i]
+            hit = np.flatnonzero((b[:, 0] <= x1) & (b[:, 2] >= x0) & (b[:, 1] <= y1) & (b[:, 3] >= y0))
+            row.append(np.full(len(hit), i)), leaf.append(hit)
+        return np.concatenate(row), np.concatenate(leaf)
 
 
 class RTree:
@@ -197,13 +206,21 @@ def regions(places: DataFrame, region_id: str = "place_id", kind: str = "place_k
     return circle.unionByName(outline).withColumn("margin_m", F.lit(float(margin_m)))
 
 
-def points_in_regions(points: DataFrame, point_id: str, region_rows: DataFrame, lat: str = "latitude", lon: str = "longitude", metres: bool = False) -> DataFrame:
+def _mixed(ids: pd.Series) -> np.ndarray:
+    """A number from 0 that spreads ids evenly."""
+    return (ids.to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(34)).astype(np.int64)
+
+
+def points_in_regions(
+    points: DataFrame, point_id: str, region_rows: DataFrame, lat: str = "latitude", lon: str = "longitude", metres: bool = False, unique_points: bool = False
+) -> DataFrame:
     """Every (region_id, point_id) where the point lies in the region (see ``regions``), each once.
 
     With ``metres`` also the distance to a circle's centre or an outline's nearest edge (0 inside).
 
     Points without a position (``has_position``) and null ids take no part; a repeated point id gives
-    one row; empty inputs give an empty result; further columns of ``points`` are not read.
+    one row (``unique_points`` says that there is none, which saves a shuffle of the result); empty
+    inputs give an empty result; further columns of ``points`` are not read.
     """
     spark = points.sparkSession
     pts = points.filter(has_position(lat, lon) & F.col(point_id).isNotNull()).select(
@@ -215,39 +232,40 @@ def points_in_regions(points: DataFrame, point_id: str, region_rows: DataFrame,
     tree = Quadtree(sample.y.to_numpy(), sample.x.to_numpy(), 1 / share, LEAF_ROWS)
     shared = spark.sparkContext.broadcast(tree)
 
-    @F.pandas_udf("int")
-    def leaf_of(y: pd.Series, x: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.leaf(y.to_numpy(), x.to_numpy()).astype(np.int32))
+    def leaves(it):
+        for r in it:
+            i, leaf = shared.value.touched(r[["x0", "y0", "x1", "y1"]].to_numpy(np.float64))
+            yield r.iloc[i].assign(leaf=leaf.astype(np.int32))
 
-    @F.pandas_udf("array<int>")
-    def leaves_of(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.touched(np.array(b)).astype(np.int32) for b in zip(x0, y0, x1, y1)], dtype=object)
-
-    boxes = region_rows.withColumn("leaf", F.explode(leaves_of("x0", "y0", "x1", "y1")))
-    held = {r[0]: r[1] for r in boxes.groupBy("leaf").count().collect()}  # a row per leaf at most
-    cuts = spark.sparkContext.broadcast(
-        (tree.slices, np.array([max(1, -(-held.get(i, 0) // REGION_ROWS)) for i in range(len(tree.start))], dtype=np.int32))
-    )
+    boxes = region_rows.mapInPandas(leaves, T.StructType([*region_rows.schema.fields, T.StructField("leaf", T.IntegerType())]))
+    held = {r[0]: r[1] for r in boxes.select("leaf").groupBy("leaf").count().collect()}  # a row per leaf at most
+    parts = np.array([-(-held.get(i, 0) // REGION_ROWS) for i in range(len(tree.start))], dtype=np.int64)
+    cuts = spark.sparkContext.broadcast((tree.slices.astype(np.int64), parts))
 
     # A task is (leaf, slice of its points, slice of its regions): either side is copied only as often
-    # as the other is sliced, and both slices are bounded.
-    @F.pandas_udf("array<int>")
-    def point_tasks(leaf: pd.Series, h: pd.Series) -> pd.Series:
+    # as the other is sliced, and both slices are bounded. Leaves without any region need no task.
+    def copies(leaf: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        i = np.repeat(np.arange(len(leaf)), many)
+        return i, np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
+
+    def point_tasks(it):
         slices, parts = cuts.value
-        n, m = slices[leaf], parts[leaf]
-        return pd.Series([(hh % a) * b + np.arange(b, dtype=np.int32) for hh, a, b in zip(h, n, m)], dtype=object)
+        for p in it:
+            leaf = shared.value.leaf(p.y.to_numpy(), p.x.to_numpy())
+            i, k = copies(leaf, parts[leaf])
+            own = (_mixed(p.point_id) % slices[leaf] * parts[leaf])[i]
+            yield p.iloc[i].assign(leaf=leaf[i].astype(np.int32), task=(own + k).astype(np.int32))
 
-    @F.pandas_udf("array<int>")
-    def region_tasks(leaf: pd.Series, h: pd.Series) -> pd.Series:
+    def region_tasks(it):
         slices, parts = cuts.value
-        n, m = slices[leaf], parts[leaf]
-        return pd.Series([np.arange(a, dtype=np.int32) * b + hh % b for hh, a, b in zip(h, n, m)], dtype=object)
+        for r in it:
+            leaf = r.leaf.to_numpy()
+            i, k = copies(leaf, slices[leaf])
+            own = (_mixed(r.region_id) % np.maximum(1, parts[leaf]))[i]
+            yield r.iloc[i].assign(task=(k * parts[leaf][i] + own).astype(np.int32))
 
-    mix = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 30))
-    wanted = [k for k in held]  # leaves without any region need no task
-    pts = pts.withColumn("leaf", leaf_of("y", "x")).filter(F.col("leaf").isin(wanted) if len(wanted) < 2000 else F.lit(True))
-    pts = pts.withColumn("task", F.explode(point_tasks("leaf", mix("point_id"))))
-    boxes = boxes.withColumn("task", F.explode(region_tasks("leaf", mix("region_id"))))
+    pts = pts.mapInPandas(point_tasks, "point_id bigint, y double, x double, leaf int, task int")
+    boxes = boxes.mapInPandas(region_tasks, T.StructType([*boxes.schema.fields, T.StructField("task", T.IntegerType())]))
 
     def probe(p: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"region_id": np.empty(0, np.int64), "point_id": np.empty(0, np.int64), "metres": np.empty(0)})
@@ -278,19 +296,40 @@ def points_in_regions(points: DataFrame, point_id: str, region_rows: DataFrame,
 
     out = T.StructType([T.StructField("region_id", T.LongType()), T.StructField("point_id", T.LongType()), T.StructField("metres", T.DoubleType())])
     found = pts.groupBy("leaf", "task").cogroup(boxes.groupBy("leaf", "task")).applyInPandas(probe, out)
-    return found.dropDuplicates(["region_id", "point_id"]) if metres else found.select("region_id", "point_id").distinct()
+    found = found if metres else found.select("region_id", "point_id")
+    return found if unique_points else found.dropDuplicates(["region_id", "point_id"])
 
 
 def near_points(points: DataFrame, point_id: str, queries: DataFrame, query_id: str, radius_m: float) -> DataFrame:
-    """Every (query_id, point_id) not farther apart than radius_m; a query never meets itself.
+    """Every (query_id, point_id) not farther apart than radius_m, for inputs whose positions hold few points each; a query never meets itself.
 
     ``queries`` is a stated set of locations with latitude and longitude; all points are searched.
     """
-    circles = regions(
-        queries.filter(has_position()).select(
-            F.col(query_id).alias("place_id"), F.lit("circle").alias("place_kind"), "latitude", "longitude",
-            F.lit(float(radius_m)).alias("radius_m"), F.lit(None).cast("array<struct<latitude:double,longitude:double>>").alias("outline"),
-        )
-    )
-    found = points_in_regions(points, point_id, circles.filter("radius_m is not null"))
+    found = points_in_regions(points, point_id, _circles(queries, query_id, radius_m))
     return found.select(F.col("region_id").alias("query_id"), "point_id").filter("query_id <> point_id")
+
+
+def _circles(queries: DataFrame, query_id: str, radius_m: float) -> DataFrame:
+    asked = queries.filter(has_position() & F.col(query_id).isNotNull()).select(
+        F.col(query_id).cast("bigint").alias("place_id"), F.lit("circle").alias("place_kind"), "latitude", "longitude",
+        F.lit(float(radius_m)).alias("radius_m"), F.lit(None).cast("array<struct<latitude:double,longitude:double>>").alias("outline"),
+    )
+    return regions(asked.distinct()).filter("radius_m is not null")
+
+
+def near_positions(points: DataFrame, point_id: str, queries: DataFrame, query_id: str, radius_m: float) -> DataFrame:
+    """(query_id, near_id, n): for every query the positions not farther away than radius_m.
+
+    ``queries`` is a stated set of locations with latitude and longitude; all points are searched. Points
+    at one and the same position are one class, named by its smallest id and with its number of points,
+    so that a spot with a third of all points is one row; a query itself is not counted. Rows without
+    position or id take no part, of rows of one id and position one counts.
+    """
+    spots = points.filter(has_position() & F.col(point_id).isNotNull()).select(F.col(point_id).cast("bigint").alias("id"), "latitude", "longitude")
+    spots = spots.groupBy("latitude", "longitude").agg(F.min("id").alias("near_id"), F.count_distinct("id").alias("n"))
+    asked = queries.filter(has_position() & F.col(query_id).isNotNull()).select(F.col(query_id).cast("bigint").alias("q"), "latitude", "longitude").distinct()
+    found = points_in_regions(spots.select("near_id", "latitude", "longitude"), "near_id", _circles(queries, query_id, radius_m), unique_points=True)
+    own = asked.join(spots, ["latitude", "longitude"]).select(F.col("q").alias("region_id"), F.col("near_id").alias("point_id"), F.lit(1).alias("__own"))
+    found = found.join(spots.select(F.col("near_id").alias("point_id"), "n"), "point_id").join(own, ["region_id", "point_id"], "left")
+    n = F.col("n") - F.coalesce("__own", F.lit(0))
+    return found.select(F.col("region_id").alias("query_id"), F.col("point_id").alias("near_id"), n.alias("n")).filter("n > 0")

@@ -118,3 +118,22 @@ def folder_counts(photos: DataFrame, formats: list[str] | None = None) -> DataFr
 def timeline(photos: DataFrame) -> DataFrame:
     """(month, photos) of dated photos."""
     return photos.filter("photo_date is not null").groupBy(F.date_format("photo_date", "yyyy-MM").alias("month")).agg(F.count("*").alias("photos"))
+
+
+def summary(photos: DataFrame, faces: DataFrame, tag: DataFrame, photo_tag: DataFrame, models: dict[str, str]) -> DataFrame:
+    """(what, n): photos, those with a vector per model and of any, pending, faces, hashes, failures, and links per system tag (0 included)."""
+    any_ = F.lit(False)
+    for c in models.values():
+        any_ = any_ | F.col(c).isNotNull()
+    counts = {"photos": F.count("*"), "indexed": F.count_if(any_), "pending": F.count_if(~any_), "hashes": F.count_if(F.length("phash") > 0), "failed": F.count_if("index_failed")}
+    counts |= {f"model {m}": F.count(c) for m, c in models.items()}
+    row = photos.agg(*[n.alias(k) for k, n in counts.items()])
+    long = row.select(F.explode(F.array(*[F.struct(F.lit(k).alias("what"), F.col(f"`{k}`").alias("n")) for k in counts])).alias("x")).select("x.*")
+    links = photo_tag.groupBy("tag_id").agg(F.count("image_id").alias("n"))
+    tags = tag.filter("is_system").join(links, "tag_id", "left").select(F.concat(F.lit("tag "), "name").alias("what"), F.coalesce("n", F.lit(0)).alias("n"))
+    return long.unionByName(faces.agg(F.count("*").alias("n")).select(F.lit("faces").alias("what"), "n")).unionByName(tags)
+
+
+def scan_total(scan: DataFrame, size: str = "file_size") -> DataFrame:
+    """Files of a scan and their bytes, as one row."""
+    return scan.agg(F.count("*").alias("files"), F.coalesce(F.sum(size), F.lit(0)).cast("bigint").alias("bytes"))

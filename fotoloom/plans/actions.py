@@ -10,7 +10,9 @@ from pyspark.sql import Column, functions as F
 from fotoloom.operators.search import Spec
 
 #: Actions that a request may hold, fixed values.
-ALLOWED = ["text_search", "set_persons", "set_bounds", "set_date_range", "set_formats", "set_tags", "exclude_tags", "clear_filters"]
+ALLOWED = ["set_bounds", "set_persons", "set_date_range", "set_formats", "clear_filters", "text_search"]
+#: Actions of our own, for callers that allow them.
+TAG_ACTIONS = ["set_tags", "exclude_tags"]
 _TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|"(?:[^"\\]|\\.)*\\?\Z|[{}\[\]]', re.S)
 
 

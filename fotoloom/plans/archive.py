@@ -238,21 +238,22 @@ def person_centroids(t: Tables) -> DataFrame:
     return c.select("person_id", F.posexplode("centroid").alias("i", "x")).select("person_id", (F.col("i") + 1).cast("bigint").alias("place"), F.floor(F.col("x") * 1e6 + 0.5).alias("mean_millionths"))
 
 
-@query(f"""WITH {_FV}, e AS (SELECT person_id, unnest(range(1, 129)) AS i, unnest(face_embedding::DOUBLE[]) AS x FROM faces WHERE person_id IN (2, 7, 183) AND len(face_embedding) = 128),
- a AS (SELECT person_id, i, avg(x) AS x FROM e GROUP BY person_id, i), c AS (SELECT person_id AS p, list(x ORDER BY i) AS c FROM a GROUP BY person_id)
- SELECT face_id, min(p) AS person_id FROM fv, c WHERE person_id IS NULL AND list_cosine_similarity(fv.v, c.c) >= 0.5 GROUP BY face_id""")
-def centroid_assign(t: Tables) -> DataFrame:
-    return people.assign_by_centroid(t.faces, [2, 7, 183])
-
-
 @query(f"""WITH {_FV}, e AS (SELECT person_id, unnest(range(1, 129)) AS i, unnest(face_embedding::DOUBLE[]) AS x FROM faces WHERE person_id IS NOT NULL AND len(face_embedding) = 128),
  a AS (SELECT person_id, i, avg(x) AS x FROM e GROUP BY person_id, i), c AS (SELECT person_id AS p, list(x ORDER BY i) AS c FROM a GROUP BY person_id HAVING max(abs(x)) > 0)
  SELECT face_id, min(p) AS person_id FROM fv, c WHERE person_id IS NULL AND list_cosine_similarity(fv.v, c.c) >= 0.5 GROUP BY face_id""")
-def centroid_assign_all(t: Tables) -> DataFrame:
-    """As ``centroid_assign``, with every person."""
+def centroid_assign(t: Tables) -> DataFrame:
+    """All persons in turn."""
     return people.assign_by_centroid(t.faces)
 
 
+@query(f"""WITH {_FV}, e AS (SELECT unnest(range(1, 129)) AS i, unnest(face_embedding::DOUBLE[]) AS x FROM faces WHERE person_id = 7 AND len(face_embedding) = 128),
+ c AS (SELECT list(x ORDER BY i) AS c FROM (SELECT i, avg(x) AS x FROM e GROUP BY i))
+ SELECT face_id, 7::BIGINT AS person_id FROM fv, c WHERE person_id IS NULL AND list_cosine_similarity(fv.v, c.c) >= 0.5""")
+def centroid_assign_person(t: Tables) -> DataFrame:
+    """The faces one person gains."""
+    return people.assign_by_centroid(t.faces, [7])
+
+
 # --- joins and memberships ------------------------------------------------------------------------
 
 
@@ -300,28 +301,6 @@ def album_append(t: Tables) -> DataFrame:
     return got.select(F.col("album_id").cast("int").alias("album_id"), "image_id", F.col("sort_order").cast("bigint").alias("sort_order"))
 
 
-@query(f"""{ctes("album_whole", "album_photo_whole")} SELECT album_id, title, count(DISTINCT image_id) AS photo_count FROM album_whole LEFT JOIN album_photo_whole USING (album_id)
- WHERE user_id = 5 OR is_public GROUP BY album_id, title""")
-def album_list_all(t: Tables) -> DataFrame:
-    """As ``album_list``, over the albums of all orders; so are the next two."""
-    return mb.album_list(t.album_whole, t.album_photo_whole, 5).select("album_id", "title", "photo_count")
-
-
-@query(f"""{ctes("album_photo_whole")} SELECT image_id, sort_order, file_name FROM album_photo_whole JOIN photo_index USING (image_id) WHERE album_id = 3 AND {_HIDDEN}""")
-def album_photos_all(t: Tables) -> DataFrame:
-    rows = pr.visible(mb.album_photos(3, t.album_photo_whole, t.photo_index), t.photo_tag, t.tag)
-    return rows.select("image_id", "sort_order", "file_name")
-
-
-@query(f"""{ctes("album_photo_whole")}, h AS (SELECT image_id FROM album_photo_whole WHERE album_id = 3)
- SELECT 3 AS album_id, image_id, (SELECT coalesce(max(sort_order), 0) FROM album_photo_whole WHERE album_id = 3) + row_number() OVER (ORDER BY image_id) AS sort_order
- FROM (SELECT DISTINCT image_id FROM faces WHERE person_id = 2) WHERE image_id NOT IN (SELECT image_id FROM h)""")
-def album_append_all(t: Tables) -> DataFrame:
-    want = t.faces.filter("person_id = 2").select("image_id", F.col("image_id").alias("position"))
-    got = mb.appended(3, want, t.album_photo_whole)
-    return got.select(F.col("album_id").cast("int").alias("album_id"), "image_id", F.col("sort_order").cast("bigint").alias("sort_order"))
-
-
 @query("SELECT tag_id, name, is_system, count(DISTINCT image_id) AS photos FROM tag LEFT JOIN photo_tag USING (tag_id) GROUP BY ALL")
 def tag_counts(t: Tables) -> DataFrame:
     return mb.tag_counts(t.tag, t.photo_tag)
@@ -518,14 +497,26 @@ _HASH = rf"""h AS (SELECT image_id, rpad(x, 64, '0') AS h, {_KIND} AS g FROM (SE
   WHERE list_sum([bit_count(xor(a.v[i], b.v[i])) FOR i IN [1, 2, 3, 4]]) <= 6)"""
 
 
-@query(f"WITH {_HASH} SELECT id1, id2 FROM pairs WHERE distance = 0")
+_COPIES = "SELECT min(id1) AS id1, id2 FROM pairs WHERE distance = 0 GROUP BY id2"
+
+
+@query(f"WITH {_HASH} {_COPIES}")
 def phash_exact_pairs(t: Tables) -> DataFrame:
-    return dedup.hash_pairs(t.photo_index, 0).select("id1", "id2")
+    """Each photo of the same hash as one of a smaller id, with the smallest of them."""
+    return dedup.hash_pairs(t.photo_index, 0, expand=False).select("id1", "id2")
 
 
-@query(f"WITH {_HASH} SELECT * FROM pairs ORDER BY id1, id2 LIMIT 50000")
+@query(f"""WITH {_HASH}, c AS ({_COPIES}) SELECT id1, id2, distance FROM pairs WHERE id1 NOT IN (SELECT id2 FROM c) AND id2 NOT IN (SELECT id2 FROM c)
+ UNION ALL SELECT id1, id2, 0 FROM c""")
 def phash_near_pairs(t: Tables) -> DataFrame:
-    return dedup.hash_pairs(t.photo_index, 6).orderBy("id1", "id2").limit(dedup.PAIR_LIMIT)
+    """All pairs of different hashes by their smallest photos, and each copy with the smallest photo of its hash."""
+    return dedup.hash_pairs(t.photo_index, 6, expand=False)
+
+
+@query(f"""WITH {_HASH.replace("AND a.g = b.g", "")}, c AS ({_COPIES}) SELECT id1, id2, distance FROM pairs WHERE id1 NOT IN (SELECT id2 FROM c) AND id2 NOT IN (SELECT id2 FROM c)
+ UNION ALL SELECT id1, id2, 0 FROM c""")
+def phash_near_pairs_all_types(t: Tables) -> DataFrame:
+    return dedup.hash_pairs(t.photo_index, 6, same_format=False, expand=False)
 
 
 _GROUPS = f"""WITH RECURSIVE {_HASH}, e AS (SELECT id1 AS a, id2 AS b FROM pairs UNION ALL SELECT id2, id1 FROM pairs),
@@ -534,11 +525,11 @@ _GROUPS = f"""WITH RECURSIVE {_HASH}, e AS (SELECT id1 AS a, id2 AS b FROM pairs
 
 @query(f"{_GROUPS} SELECT id, group_id FROM m")
 def duplicate_groups(t: Tables) -> DataFrame:
-    return dedup.components(dedup.hash_pairs(t.photo_index, 6))
+    return dedup.hash_groups(t.photo_index, 6)
 
 
 def _ranked(t: Tables) -> DataFrame:
-    return dedup.ranked_groups(dedup.components(dedup.hash_pairs(t.photo_index, 6)), t.photo_index)
+    return dedup.ranked_groups(dedup.hash_groups(t.photo_index, 6), t.photo_index)
 
 
 _RANKED = f"""{_GROUPS}, k AS (SELECT group_id, id, file_path, file_size, row_number() OVER (PARTITION BY group_id ORDER BY file_size DESC NULLS LAST, file_path, id) AS rank
@@ -602,7 +593,7 @@ def report_check(t: Tables) -> DataFrame:
  CASE WHEN count(DISTINCT group_id) + count(DISTINCT CASE WHEN group_id IS NULL THEN x.id END) = 1 THEN 'kept' ELSE 'split' END AS verdict FROM x LEFT JOIN m ON m.id = x.id GROUP BY g""")
 def group_comparison(t: Tables) -> DataFrame:
     old = t.dup_report.select(F.col("group_no").alias("group_id"), F.col("image_id").alias("id")).dropna().distinct()
-    return dedup.compare_groupings(old, dedup.components(dedup.hash_pairs(t.photo_index, 6)))
+    return dedup.compare_groupings(old, dedup.hash_groups(t.photo_index, 6))
 
 
 _AT = f"""x AS (SELECT DISTINCT group_no AS g, image_id, latitude, longitude, {_GPS} AND NOT (latitude = 0 AND longitude = 0) AS ok FROM dup_report JOIN photo_index USING (image_id) WHERE group_no IS NOT NULL)"""

@@ -12,13 +12,10 @@ from fotoloom.session import load
 GIVEN = ["photo_index", "faces", "person", "person_relation", "tag", "photo_tag", "app_user", "orders", "lineitem", "events", "documents"]
 SQL = {
     "album": """SELECT o_orderkey AS album_id, 1 + o_custkey % 200 AS user_id, concat('Album ', CAST(o_orderkey AS STRING)) AS title,
- o_orderstatus = 'F' AS is_public, o_orderdate AS updated_at FROM orders WHERE o_orderkey < 500""",
-    "album_photo": """SELECT l_orderkey AS album_id, 1 + l_partkey AS image_id, min(l_linenumber) AS sort_order
- FROM lineitem WHERE l_orderkey < 450 GROUP BY l_orderkey, 1 + l_partkey""",
-    "album_whole": """SELECT o_orderkey AS album_id, 1 + o_custkey % 200 AS user_id, concat('Album ', CAST(o_orderkey AS STRING)) AS title,
  o_orderstatus = 'F' AS is_public, o_orderdate AS updated_at FROM orders""",
-    "album_photo_whole": """SELECT l_orderkey AS album_id, 1 + l_partkey AS image_id, min(l_linenumber) AS sort_order
+    "album_photo": """SELECT l_orderkey AS album_id, 1 + l_partkey AS image_id, min(l_linenumber) AS sort_order, max(l_shipdate) AS added_at
  FROM lineitem GROUP BY l_orderkey, 1 + l_partkey""",
+    "album_cover": "SELECT l_orderkey AS album_id, min(1 + l_partkey) AS cover_image_id FROM lineitem GROUP BY l_orderkey",
     "scan_old": "SELECT file_path, file_size AS size FROM photo_index WHERE image_id % 10 <> 0",
     "scan_new": "SELECT file_path, CASE WHEN image_id % 8 = 0 THEN file_size + 1 ELSE file_size END AS size FROM photo_index WHERE image_id % 10 <> 1",
     "change_log": """SELECT user_id AS file_key, event_id AS usn,

@@ -30,6 +30,20 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def register_catalog(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = ("faces", "person", "photo_index")) -> None:
+    """Temporary views of the tables, the view ``person_with_stats`` and the function ``person_face_count(id)`` for SQL users."""
+    for name in names:
+        load(spark, sf_dir, name).createOrReplaceTempView(name)
+    spark.sql(
+        """CREATE OR REPLACE TEMPORARY VIEW person_with_stats AS
+        SELECT p.person_id, p.name, p.description, p.cover_face_id, p.created_at, p.updated_at,
+          coalesce(f.face_count, 0) AS face_count, coalesce(f.photo_count, 0) AS photo_count
+        FROM person p LEFT JOIN (SELECT person_id, count(*) AS face_count, count(DISTINCT image_id) AS photo_count FROM faces GROUP BY person_id) f
+        ON p.person_id = f.person_id"""
+    )
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION person_face_count(id BIGINT) RETURNS BIGINT RETURN SELECT count(*) FROM faces WHERE person_id = id")
+
+
 _own_dir: str | None = None
 
 

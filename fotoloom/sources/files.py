@@ -104,3 +104,13 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
     p = r"^(KEEP|DELETE)\s+\[\s*([0-9.]+) MB\]\s(.*)$"
     get = lambda n: F.regexp_extract("line", p, n)
     return lines.filter(F.col("line").rlike(p)).select("group_no", "line_no", get(1).alias("action"), get(2).cast("double").alias("mb"), get(3).alias("file_path"))
+
+
+def page_after(df: DataFrame, key: str, after: int | None, limit: int) -> DataFrame:
+    """The next rows by key after the last one seen."""
+    return (df if after is None else df.filter(F.col(key) > after)).orderBy(key).limit(limit)
+
+
+def changed_or_unindexed(changed: DataFrame, on_disk: DataFrame, photos: DataFrame) -> DataFrame:
+    """(file_path), each once: what a journal reports as added or modified, and what is on disk but not indexed."""
+    return changed.filter("change <> 'deleted'").select("file_path").union(to_index(on_disk, photos)).distinct()

@@ -90,3 +90,17 @@ def index_batches(stream: DataFrame, work: Callable[[DataFrame], DataFrame], don
         work(todo).write.mode("append").parquet(done_path)
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
+
+
+def changes_since(log: DataFrame, after: int, old: DataFrame, new: DataFrame, key: str = "file_key", order: str = "usn") -> tuple[DataFrame, int | None]:
+    """((key, change), next position) after a journal position.
+
+    If the journal no longer holds the records right after it (it has wrapped over), the changes come from
+    comparing an old and a new scan of (key, size) instead, and the position stays as it is: None.
+    """
+    from fotoloom.sources.files import snapshot_diff
+
+    first, last = log.agg(F.min(order), F.max(order)).first()
+    if first is not None and first > after + 1:
+        return snapshot_diff(old, new, key, ["size"]), None
+    return fold_changes(log, key, order, after=after).select(key, "change"), after if last is None else max(after, last)

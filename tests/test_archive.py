@@ -9,9 +9,9 @@ import pytest
 
 import __spark_entry__ as entry
 from fotoloom.operators import dedup, people, search
-from fotoloom.plans import archive, problems
+from fotoloom.plans import archive, problems, workflows
 
-NAMES = [n for m in (archive, problems) for n in m.queries()]
+NAMES = [n for m in (archive, workflows, problems) for n in m.queries()]
 
 
 @pytest.fixture(scope="session")
@@ -100,7 +100,7 @@ def test_plan_pushes_filters_down(spark, data):
 
 
 def test_registered_queries_have_sql():
-    missing = set(archive.queries()) - set(archive.oracle_sql())
+    missing = {*archive.queries(), *workflows.queries()} - {*archive.oracle_sql(), *workflows.oracle_sql()}
     assert not missing
 
 
@@ -116,4 +116,4 @@ def test_centroids_of_all_persons(spark, monkeypatch):
 
 def test_albums_of_all_orders(spark, data):
     free = spark.read.parquet(f"{data}/orders.parquet").filter("1 + o_custkey % 200 = 5 or o_orderstatus = 'F'")
-    assert entry.queries()["album_list_all"](spark, data).count() == free.count()
+    assert entry.queries()["album_list"](spark, data).count() == free.count()
