@@ -45,20 +45,31 @@ SETTLED = 0.8
 
 
 def hashed_features(items: Column, weights: Column, dim: int) -> Column:
-    """Weighted features as a vector of ``dim`` numbers: each item adds its weight, signed by one hash, at the place another hash gives.
+    """Weighted features as a vector of ``dim`` numbers: each item adds its weight, signed by one bit of its hash, at the place the hash gives.
 
-    Items and weights are arrays of one length; null items and weights add nothing. An embedding is
-    already such a vector, its entries being the features, and is used as it is.
+    Items and weights are arrays of one length; null items and weights add nothing; null for a null array.
+    An embedding is already such a vector, its entries being the features, and is used as it is. Items are
+    hashed in the JVM and added up over Arrow batches.
     """
-    pairs = F.filter(F.arrays_zip(items.alias("i"), weights.alias("w")), lambda p: p["i"].isNotNull() & p["w"].isNotNull())
-    zero = F.array_repeat(F.lit(0.0), dim)
 
-    def add(acc: Column, p: Column) -> Column:
-        at = F.pmod(F.xxhash64(p["i"]), F.lit(dim))
-        signed = F.when(F.pmod(F.xxhash64(p["i"], F.lit(1)), F.lit(2)) == 0, p["w"]).otherwise(-p["w"])
-        return F.transform(acc, lambda x, i: F.when(i == at, x + signed).otherwise(x))
-
-    return F.aggregate(pairs, zero, add)
+    @F.pandas_udf("array<double>")
+    def add(hashes: pd.Series, weights: pd.Series) -> pd.Series:
+        out = np.zeros((len(hashes), dim))
+        given = [i for i, (h, w) in enumerate(zip(hashes, weights)) if h is not None and w is not None]
+        if given:
+            size = [min(len(hashes.iloc[i]), len(weights.iloc[i])) for i in given]
+            h = np.concatenate([np.asarray(hashes.iloc[i][:n], np.int64) for i, n in zip(given, size)])
+            w = np.concatenate([np.asarray(weights.iloc[i][:n], np.float64) for i, n in zip(given, size)])
+            row = np.repeat(given, size)
+            ok = ~np.isnan(w)
+            h, w, row = h[ok].view(np.uint64), w[ok], row[ok]
+            sign = 1.0 - 2.0 * (h >> np.uint64(63)).astype(np.float64)
+            np.add.at(out, (row, (h % np.uint64(dim)).astype(np.int64)), w * sign)
+        return pd.Series([v if h is not None and w is not None else None for v, h, w in zip(out, hashes, weights)])
+
+    hashes = F.transform(items, lambda x: F.xxhash64(x))
+    bare = F.transform(F.arrays_zip(items.alias("i"), weights.cast("array<double>").alias("w")), lambda p: F.when(p["i"].isNotNull(), F.coalesce(p["w"], F.lit(float("nan")))).otherwise(float("nan")))
+    return add(hashes, F.when(items.isNotNull() & weights.isNotNull(), bare))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -254,12 +265,10 @@ def sound_sets(x: np.ndarray, tight: float, apart: float, least: int, start: np.
 _SUMS = "c bigint, n bigint, s binary"
 
 
-def _sum_rows(x: np.ndarray, who: np.ndarray, names: np.ndarray) -> pd.DataFrame:
-    """Per cluster the number and sum of its rows (as bytes of float64)."""
-    k, n = np.unique(who, return_counts=True)
-    sums = np.zeros((len(k), x.shape[1]))
-    np.add.at(sums, np.searchsorted(k, who), x)
-    return pd.DataFrame({"c": names[k], "n": n, "s": [r.tobytes() for r in sums]})
+def _sums(x: np.ndarray, who: np.ndarray, n: np.ndarray, sums: np.ndarray) -> None:
+    """Add rows to the number and sum of their clusters' rows."""
+    np.add.at(n, who, 1)
+    np.add.at(sums, who, x)
 
 
 def _add_sums(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -371,11 +380,14 @@ def similarity_clusters(
     told = spark.sparkContext.broadcast(large)
 
     def large_sums(it: Iterator[pd.DataFrame], told=told) -> Iterator[pd.DataFrame]:
+        n, sums = np.zeros(len(told.value), np.int64), np.zeros((len(told.value), dim))
         for pdf in it:
             x = vectors_of(pdf)
             who, cos = _best(x, told.value)
             hit = cos >= apart
-            yield _sum_rows(x[hit], who[hit], np.arange(len(told.value)))
+            _sums(x[hit], who[hit], n, sums)
+        got = np.flatnonzero(n)
+        yield pd.DataFrame({"c": got, "n": n[got], "s": [r.tobytes() for r in sums[got]]})
 
     if len(large):  # the sample's means are near those of all rows, so one step over all rows is enough
         got = packed.select("v").mapInPandas(large_sums, _SUMS).groupBy("c").applyInPandas(_add_sums, _SUMS).toPandas()
@@ -436,7 +448,7 @@ def similarity_clusters(
     def named(x: np.ndarray, n: np.ndarray) -> pd.DataFrame:
         """Centres with a name each, the same wherever one is found."""
         v = pack(x) if len(x) else []
-        return pd.DataFrame({"c": np.array([_name(np.frombuffer(r, np.uint8)) for r in v], np.int64), "n": n, "v": v})
+        return pd.DataFrame({"c": np.array([_name(np.frombuffer(r, np.uint8)) for r in v], np.int64), "n": n, "v": v}).drop_duplicates("c")
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
         raw = raw_rows(pdf.v)
@@ -451,10 +463,13 @@ def similarity_clusters(
                 i, cell = told.value.nearest(x)
                 yield pdf.assign(v=code(x)).iloc[i].assign(cell=cell)
 
-    def merging(pdf: pd.DataFrame) -> pd.DataFrame:
+    def merging(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """The means that lie in this cell: those that lie in another come out there."""
         raw, n = raw_rows(pdf.v), pdf.n.to_numpy()
         order = np.lexsort([*raw[:, :8].T, n])  # the same whatever the order of arrival
-        return named(*merged(decode(raw[order], dim), n[order], np.arange(len(n)), tight))
+        x, n = merged(decode(raw[order], dim), n[order], np.arange(len(n)), tight)
+        here = _best(x, told.value.centres[0])[0] == key[0]
+        return named(x[here], n[here]) if here.any() else none_c
 
     def lighter(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"c": pdf.c[outweighed(decode(raw_rows(pdf.v), dim), pdf.n.to_numpy(), pdf.c.to_numpy(), tight)]})
@@ -462,8 +477,7 @@ def similarity_clusters(
     placed = "c bigint, n bigint, v binary, cell int"
     candidates = s.cut(in_cells(SEED_TABLES).select("cell", "v").groupBy("cell").applyInPandas(inside, centre).filter("n > 0"))
     # rows of one cluster lie in several cells: the candidates found there are merged, wherever three of their cells meet
-    means = candidates.drop("c").mapInPandas(near, "n bigint, v binary, cell int").groupBy("cell").applyInPandas(merging, centre)
-    means = s.cut(means.dropDuplicates(["c"]))
+    means = s.cut(candidates.drop("c").mapInPandas(near, "n bigint, v binary, cell int").groupBy("cell").applyInPandas(merging, centre))
     lesser = means.mapInPandas(near, placed).groupBy("cell").applyInPandas(lighter, "c bigint").distinct()
     centres = s.cut(means.join(lesser, "c", "left_anti"))
 
