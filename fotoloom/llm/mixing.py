@@ -7,6 +7,8 @@ of the mix holds the target shares up to one text per source.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fotoloom.session import Scratch
@@ -46,7 +48,7 @@ def _running(rows: DataFrame) -> DataFrame:
     return rows.withColumn("within", F.sum("size").over(inside)).join(offsets, key).withColumn("upto", F.col("offset") + F.col("within")).drop("offset", "within")
 
 
-def mix_sources(texts: DataFrame, targets: DataFrame, seed: int = 17, slack: float = 0.001, rounds: int = 6) -> DataFrame:
+def mix_sources(texts: DataFrame, targets: DataFrame, seed: int = 17, slack: float = 0.001, rounds: int | None = 6) -> DataFrame:
     """(finish, id, source, use, size) in the order of the mix: the largest one that keeps all shares and caps.
 
     ``texts`` has one row per text (id, source, size), ``targets`` source, target_share and max_repeats.
@@ -54,7 +56,9 @@ def mix_sources(texts: DataFrame, targets: DataFrame, seed: int = 17, slack: flo
     their share; sources without text are left out and the others' shares scaled up. A source hands out
     all its texts, shuffled, before it hands out any again, and stops at its share of the budget. A text
     that would pass it is passed over, and up to ``rounds`` times what is left open is filled with the
-    texts after it that still fit, until each source is within ``slack`` of its share. Rows of null, zero
+    texts after it that still fit, until each source is within ``slack`` of its share (None: until nothing
+    more fits); ``mix_report`` shows what stays open. To stop each source at its share of the budget is to
+    cut the sorted mix at the finish time that equals the budget. Rows of null, zero
     or negative share or cap are no targets; without texts the result is empty.
     """
     s = Scratch(texts.sparkSession)
@@ -76,7 +80,7 @@ def mix_sources(texts: DataFrame, targets: DataFrame, seed: int = 17, slack: flo
     order = F.struct("use", "h", "id")
     gap = plan.select("source", F.lit(0).cast("bigint").alias("done"), F.col("need").alias("open"), F.lit(None).cast("struct<use:int,h:bigint,id:bigint>").alias("last"))
     taken = None
-    for _ in range(1 + rounds):
+    for _ in count() if rounds is None else range(1 + rounds):
         rest = used.join(gap, "source").filter((F.col("size") <= F.col("open")) & (F.col("last").isNull() | (order > F.col("last"))))
         new = s.cut(_running(rest.drop("last")).filter("upto <= open").select("id", "source", "use", "size", "h", (F.col("done") + F.col("upto")).alias("upto")))
         taken = new if taken is None else taken.unionByName(new)

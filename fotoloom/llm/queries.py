@@ -46,7 +46,7 @@ def p4_golden(spark: SparkSession, d: str) -> DataFrame:
     """A built record per duplicate group: each field's value with most trust-and-recency votes."""
     raw = sv.format_rank("file_format")
     side = lambda c: F.when(F.col(c).between(16, 30_000), F.col(c))
-    degree = lambda c, most: F.when((F.abs(c) <= most) & ~((F.col("latitude") == 0) & (F.col("longitude") == 0)), F.round(c, 4))
+    degree = lambda c, most: F.when((F.abs(c) <= most) & ~((F.col("latitude") == 0) & (F.col("longitude") == 0)), F.round(c, 4).cast("decimal(9,4)"))
     exif = sv.json_entries("exif_data")
     entry = lambda k: (lambda t: F.when(sv.says_something(t), F.trim(t)))(F.try_variant_get(F.try_element_at(exif, F.lit(k)), "$", "string"))
     return sv.fuse(
@@ -76,6 +76,62 @@ def p6_profiles(spark: SparkSession, d: str) -> DataFrame:
     return clusters.cluster_profiles(Scratch(spark).cut(_face_clusters(spark, d)))
 
 
+def p6_like_records(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of photos with like records - format, size, camera, folder - by hashed weighted features, with size and most typical photos."""
+    exif = sv.json_entries("exif_data")
+    entry = lambda k: F.lower(F.trim(F.try_variant_get(F.try_element_at(exif, F.lit(k)), "$", "string")))
+    parts = {
+        "format": (sv.bare_format("file_format"), 1.0), "size": (F.concat_ws("x", F.greatest("width", "height"), F.least("width", "height")), 1.5),
+        "make": (entry("Make"), 2.0), "model": (entry("Model"), 3.0), "folder": (F.regexp_replace("file_path", r"[^/\\]*$", ""), 2.0),
+    }
+    items = F.array(*[F.when(v != "", F.concat(F.lit(k + "="), v)) for k, (v, _) in parts.items()])
+    photos = load(spark, d, "photo_index").select("image_id", clusters.hashed_features(items, F.array(*[F.lit(w) for _, w in parts.values()]), 128).alias("v"))
+    return clusters.cluster_profiles(Scratch(spark).cut(clusters.similarity_clusters(photos, "image_id", "v")))
+
+
+def p6_sound(spark: SparkSession, d: str) -> DataFrame:
+    """What must not be: clusters of fewer than 5, members far from their mean, faces in two clusters, clusters not named after their smallest face."""
+    found = Scratch(spark).cut(_face_clusters(spark, d))
+    faces = load(spark, d, "faces").select(F.col("face_id").alias("id"), similar.unit_vector("face_embedding", 128).alias("u"))
+    at = found.join(faces, "id").select("cluster_id", "id", F.posexplode("u").alias("i", "x"))
+    mean = at.groupBy("cluster_id", "i").agg(F.sum("x").alias("m"))
+    length = mean.groupBy("cluster_id").agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("n"))
+    cos = at.join(mean, ["cluster_id", "i"]).groupBy("cluster_id", "id").agg(F.sum(F.col("x") * F.col("m")).alias("dot")).join(length, "cluster_id")
+    far = cos.agg(F.count_if(F.col("dot") / F.col("n") < 0.749).alias("far_members"))  # vectors travel rounded
+    sets = found.groupBy("cluster_id").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    small = sets.agg(F.count_if(F.expr("n < 5")).alias("small_clusters"), F.count_if(F.expr("least <> cluster_id")).alias("misnamed"))
+    twice = found.groupBy("id").count().agg(F.count_if(F.expr("count > 1")).alias("faces_twice"))
+    return far.crossJoin(small).crossJoin(twice)
+
+
+def p7_sound(spark: SparkSession, d: str) -> DataFrame:
+    """Per plan the documents placed, and what must not be: containers above the capacity, texts split without need, pieces that leave a gap."""
+    out = None
+    for plan, (capacity, rows) in _packed(spark, d).items():
+        rows = Scratch(spark).cut(rows)
+        full = rows.groupBy("container").agg(F.sum("size").alias("n")).agg(F.count_if(F.col("n") > capacity).alias("overfull"))
+        docs = rows.groupBy("id").agg(F.count("*").alias("pieces"), F.sum("size").alias("size"), F.max(F.col("start") + F.col("size")).alias("end"))
+        docs = docs.agg(F.count("*").alias("documents"), F.count_if((F.col("pieces") > 1) & (F.col("size") <= capacity)).alias("split_small"), F.count_if(F.expr("end <> size")).alias("gaps"))
+        row = docs.crossJoin(full).select(F.lit(plan).alias("plan_id"), "documents", "overfull", "split_small", "gaps")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def p8_sound(spark: SparkSession, d: str) -> DataFrame:
+    """Per target: whether its share is within 0.005, and whether a text is used more often than allowed."""
+    mix, targets = Scratch(spark).cut(p8_mix(spark, d)), _targets(spark, d)
+    report = mixing.mix_report(mix, targets).select("source", (F.abs(F.col("actual_share") - F.col("target_share")) <= 0.005).alias("share_met"), "most_uses")
+    return report.join(targets.select("source", "max_repeats"), "source").select("source", "share_met", (F.col("most_uses") > F.col("max_repeats")).alias("used_too_often"))
+
+
+def p9_sound(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose text says anything, and whether the sources' rates add up to the documents found."""
+    found = Scratch(spark).cut(_truncated(spark, d))
+    rates = truncation.truncation_rates(found).agg(F.sum("texts").alias("t"), F.sum("truncated").alias("n"), F.bool_and(F.abs(F.col("rate") * F.col("texts") - F.col("truncated")) <= 1).alias("ok"))
+    one = found.agg(F.count("*").alias("documents"), F.count("cut").alias("cut"), F.count_distinct("id").alias("ids"))
+    return one.crossJoin(rates).select("documents", ((F.col("t") == F.col("documents")) & (F.col("n") == F.col("cut")) & (F.col("ids") == F.col("documents")) & F.col("ok")).alias("rates_add_up"))
+
+
 def _packed(spark: SparkSession, d: str) -> dict[int, tuple[int, DataFrame]]:
     sizes = tokens.count_tokens(load(spark, d, "documents").select("doc_id", "text"), "text")
     sizes = Scratch(spark).cut(sizes)
@@ -135,7 +191,8 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict:
     return {"p2_found": p2_found, "p4_found": p4_found, "p4_golden": p4_golden, "p5_found": p5_found, "p6_found": p6_found, "p6_profiles": p6_profiles,
             "p7_pack": p7_pack, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_report": p8_report,
-            "p9_found": p9_found, "p9_rates": p9_rates}
+            "p9_found": p9_found, "p9_rates": p9_rates, "p6_like_records": p6_like_records,
+            "p6_sound": p6_sound, "p7_sound": p7_sound, "p8_sound": p8_sound, "p9_sound": p9_sound}
 
 
 _HASH = r"""h AS (SELECT image_id, rpad(x, 64, '0') AS h FROM (
@@ -145,6 +202,11 @@ _FILLERS = ", ".join(f"'{x}'" for x in sv.FILLERS)
 _JSON = """CASE WHEN json_valid(exif_data) THEN CASE WHEN json_type(exif_data) = 'VARCHAR' THEN json_extract_string(exif_data, '$') ELSE exif_data END END"""
 
 
+def _entry_sql(key: str) -> str:
+    v = f"json_extract_string(o, '$.{key}')"
+    return rf"CASE WHEN lower(regexp_replace({v}, '^[\s[:cntrl:]]+|[\s[:cntrl:]]+$', '', 'g')) NOT IN ({_FILLERS}) THEN trim({v}) END"
+
+
 def oracle_sql() -> dict[str, str]:
     kinds = " ".join(f"WHEN fmt IN ({', '.join(map(repr, g))}) THEN {4 - i}" for i, (_, g) in enumerate(sv.FORMAT_KINDS))
     return {
@@ -157,6 +219,24 @@ def oracle_sql() -> dict[str, str]:
    CASE WHEN width BETWEEN 16 AND 30000 AND height BETWEEN 16 AND 30000 THEN width::BIGINT * height ELSE 0 END DESC,
    CASE {kinds} ELSE 0 END DESC, entries DESC,
    CASE WHEN file_size BETWEEN 1024 AND 500000000 THEN file_size ELSE 0 END DESC, image_id) AS r FROM n) WHERE r = 1""",
+        "p4_golden": rf"""WITH d AS (SELECT DISTINCT group_no, image_id FROM dup_report),
+ p AS (SELECT d.group_no, p.*, regexp_replace(lower(file_format), '^\s*\.?|\s+$', '', 'g') AS fmt, {_JSON} AS j FROM d JOIN photo_index p USING (image_id) WHERE group_no IS NOT NULL),
+ v AS (SELECT *, CASE WHEN json_valid(j) AND json_type(j) = 'OBJECT' THEN j END AS o, round(1e6 * coalesce((1 + CASE {kinds} ELSE 0 END) / 5.0::DOUBLE, 0)
+   * pow(2.0::DOUBLE, -greatest(0.0, coalesce(date_diff('day', modified_at::DATE, DATE '{AS_OF}'), 0)::DOUBLE) / {HALF_LIFE_DAYS}))::BIGINT AS vote,
+   CASE WHEN latitude = 0 AND longitude = 0 THEN true ELSE false END AS zero FROM p),
+ l AS (SELECT group_no, vote, unnest(['width', 'height', 'file_format', 'latitude', 'longitude', 'photo_date', 'make', 'model']) AS field, unnest([
+   CASE WHEN width BETWEEN 16 AND 30000 THEN width::VARCHAR END, CASE WHEN height BETWEEN 16 AND 30000 THEN height::VARCHAR END, nullif(fmt, ''),
+   CASE WHEN abs(latitude) <= 90 AND NOT (zero AND latitude IS NOT NULL) AND (longitude IS NOT NULL OR latitude <> 0) THEN round(latitude, 4)::DECIMAL(9,4)::VARCHAR END,
+   CASE WHEN abs(longitude) <= 180 AND NOT zero AND (latitude IS NOT NULL OR longitude <> 0) THEN round(longitude, 4)::DECIMAL(9,4)::VARCHAR END,
+   strftime(photo_date, '%Y-%m-%d %H:%M:%S'), {_entry_sql("Make")}, {_entry_sql("Model")}]) AS value FROM v),
+ s AS (SELECT group_no, field, value, sum(vote) AS votes FROM l WHERE value IS NOT NULL GROUP BY ALL),
+ w AS (SELECT group_no, field, value FROM s QUALIFY row_number() OVER (PARTITION BY group_no, field ORDER BY votes DESC, value) = 1)
+ SELECT g.group_no, {", ".join(f"max(value) FILTER (field = '{f}') AS {f}" for f in ("width", "height", "file_format", "latitude", "longitude", "photo_date", "make", "model"))}
+ FROM (SELECT DISTINCT group_no FROM p) g LEFT JOIN w USING (group_no) GROUP BY g.group_no""",
+        "p6_sound": "SELECT 0 AS far_members, 0 AS small_clusters, 0 AS misnamed, 0 AS faces_twice",
+        "p7_sound": "SELECT plan_id, (SELECT count(*) FROM documents WHERE text <> '') AS documents, 0 AS overfull, 0 AS split_small, 0 AS gaps FROM pack_plan",
+        "p8_sound": "SELECT replace(lower(trim(source)), '-', '_') AS source, true AS share_met, false AS used_too_often FROM mix_target",
+        "p9_sound": r"""SELECT count(*) AS documents, true AS rates_add_up FROM documents WHERE regexp_matches(text, '\S')""",
         "p2_found": " UNION ALL ".join(
             f"""SELECT '{t}' AS vec_table, * FROM (
  WITH v AS (SELECT {i} AS id, {v}::DOUBLE[128] AS v FROM {t} WHERE len({v}) = 128 AND list_max(list_transform({v}, lambda x: abs(x))) > 0),

@@ -266,7 +266,7 @@ def usable(vector: str, dim: int) -> Column:
     return (F.size(vector) == dim) & F.exists(vector, lambda x: x != 0) & F.coalesce(F.forall(vector, lambda x: F.abs(x) < 3.4e38), F.lit(False))
 
 
-def most_similar(vectors: DataFrame, id_col: str, vector_col: str, k: int, min_cos: float, dim: int = 128, relax: float = 8.0) -> DataFrame:
+def most_similar(vectors: DataFrame, id_col: str, vector_col: str, k: int, min_cos: float, dim: int = 128, relax: float = 6.0) -> DataFrame:
     """(q, p, cos): for every vector q its up to k most similar others p with a cosine of at least min_cos.
 
     Rows whose vector is null, all zero, not ``dim`` long or not all finite numbers, or whose id is null,
@@ -329,7 +329,7 @@ def most_similar(vectors: DataFrame, id_col: str, vector_col: str, k: int, min_c
     return found if copies is None else found.unionByName(copies)
 
 
-def similar_pairs(vectors: DataFrame, id_col: str, vector_col: str, k: int, min_cos: float, dim: int = 128, relax: float = 8.0) -> DataFrame:
+def similar_pairs(vectors: DataFrame, id_col: str, vector_col: str, k: int, min_cos: float, dim: int = 128, relax: float = 6.0) -> DataFrame:
     """(id_lo, id_hi) where either is among the other's k most similar; each pair once."""
     found = most_similar(vectors, id_col, vector_col, k, min_cos, dim, relax)
     return found.select(F.least("q", "p").alias("id_lo"), F.greatest("q", "p").alias("id_hi")).distinct()

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 
 #: Where the tokenizer files lie; the path is a parameter and may be set in the environment.
 TOKENIZER = os.environ.get("FOTOLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
-#: Characters up to which a text is encoded at once; longer texts go piece by piece, whole.
-PIECE = 1 << 20
+#: Characters that are encoded at once, or one text if it is longer.
+BATCH_CHARS = 1 << 20
 
 
 @lru_cache(maxsize=4)
@@ -28,29 +28,29 @@ def _tokenizer(path: str):
 def count_tokens(df: DataFrame, text: str, path: str = TOKENIZER, out: str = "n_tokens") -> DataFrame:
     """The rows without ``text`` but with its token count; null and empty texts have 0 tokens.
 
-    A column of the name ``out`` that is there already is replaced.
-    Texts above PIECE characters are encoded in pieces cut at line ends or blanks where there are any.
+    A column of the name ``out`` that is there already is replaced. Every text is encoded whole.
     """
     keep = [f for f in df.schema.fields if f.name not in (text, out)]
 
-    def pieces(t: str) -> list[str]:
-        done = []
-        while len(t) > PIECE:
-            at = max(t.rfind("\n", 1, PIECE), t.rfind(" ", 1, PIECE))
-            at = at if at > 0 else PIECE
-            done.append(t[:at])
-            t = t[at:]
-        return [*done, t]
+    def batches(texts: list[str | None]) -> Iterator[list[int]]:
+        part, chars = [], 0
+        for i, t in enumerate(texts):
+            if t:
+                if part and (chars + len(t) > BATCH_CHARS or len(part) == 256):
+                    yield part
+                    part, chars = [], 0
+                part.append(i)
+                chars += len(t)
+        if part:
+            yield part
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tok = _tokenizer(path)
         for pdf in it:
-            n = [0] * len(pdf)
-            todo = [(i, p) for i, t in enumerate(pdf[text]) if t for p in pieces(t)]
-            for at in range(0, len(todo), 256):
-                part = todo[at : at + 256]
-                for (i, _), e in zip(part, tok.encode_batch_fast([p for _, p in part], add_special_tokens=False)):
-                    n[i] += len(e.ids)
+            n, texts = [0] * len(pdf), pdf[text].to_list()
+            for part in batches(texts):
+                for i, e in zip(part, tok.encode_batch_fast([texts[i] for i in part], add_special_tokens=False)):
+                    n[i] = len(e.ids)
             res = pdf[[f.name for f in keep]].copy()
             res[out] = pd.array(n, dtype="int64")
             yield res

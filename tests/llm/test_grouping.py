@@ -72,12 +72,3 @@ def test_copies_are_one_class(spark):
     assert {r.id: r.group_id for r in got} == {i: 50 for i in range(50, 90)}
     none = spark.createDataFrame([], "image_id bigint, phash string")
     assert grouping.near_hash_groups(none, "image_id", "phash", 6).count() == 0
-
-
-def test_a_hash_is_no_match_of_its_own():
-    """The same id twice under one key gives no link."""
-    import numpy as np
-
-    lane = np.zeros((3, 4), np.int64)
-    got = grouping._links(np.array([5, 5, 9]), lane, np.array([1, 1, 1]), 6)
-    assert {tuple(r) for r in got.to_numpy().tolist()} == {(5, 9)}
