@@ -54,6 +54,13 @@ def cosine_to(a: Column | str, query: Sequence[float]) -> Column:
     return run(a)
 
 
+def unit_rows(vectors: pd.Series) -> np.ndarray:
+    """Vectors of one length as rows of length 1; NaN, which reaches no threshold, for zero vectors and those that are not all numbers."""
+    x = np.stack(vectors.to_list()).astype(np.float64)
+    n = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x / np.where(n > 0, n, np.nan)
+
+
 def normalized_similarity(sim: Column, model: Column) -> Column:
     """Similarity scaled to 0..1 by the model's range and clamped."""
     lo = hi = None

@@ -47,3 +47,13 @@ def family_context(relations: DataFrame) -> DataFrame:
         F.struct(b.alias("person_id"), F.when(kind == "parent", "parent").when(kind == "spouse", "spouse").alias("role"), a.alias("other_id")),
     )).alias("x"))
     return out.select("x.*").filter("role is not null").distinct()
+
+
+def tree_persons(person: DataFrame, faces: DataFrame, relations: DataFrame) -> DataFrame:
+    """(person_id, face_count, children, parents) of all persons, each counted before the join."""
+    r = clean_relations(relations).filter("relation_type = 'parent'")
+    count = lambda df, key, name: df.groupBy(F.col(key).alias("person_id")).agg(F.count("*").alias(name))
+    out = person.select("person_id")
+    for part, name in ((count(faces, "person_id", "face_count"), "face_count"), (count(r, "person_id_from", "children"), "children"), (count(r, "person_id_to", "parents"), "parents")):
+        out = out.join(part, "person_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return out

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from fotoloom.operators.ranking import numbered
 
 
 def album_list(album: DataFrame, album_photo: DataFrame, user_id: int | None = None, include_public: bool = True, search: str | None = None) -> DataFrame:
@@ -33,8 +35,8 @@ def appended(album_id: int, image_ids: DataFrame, album_photo: DataFrame) -> Dat
     here = album_photo.filter(F.col("album_id") == album_id)
     last = here.agg(F.coalesce(F.max("sort_order"), F.lit(0)).alias("last"))
     new = image_ids.groupBy("image_id").agg(F.min("position").alias("position")).join(here.select("image_id"), "image_id", "left_anti")
-    n = F.row_number().over(Window.orderBy("position", "image_id"))  # one album's request
-    return new.crossJoin(F.broadcast(last)).select(F.lit(album_id).alias("album_id"), "image_id", (F.col("last") + n).cast("int").alias("sort_order"))
+    new = numbered(new, [], [F.asc("position"), F.asc("image_id")], "n")
+    return new.crossJoin(F.broadcast(last)).select(F.lit(album_id).alias("album_id"), "image_id", (F.col("last") + F.col("n")).cast("int").alias("sort_order"))
 
 
 def tag_counts(tag: DataFrame, photo_tag: DataFrame, system_only: bool = False) -> DataFrame:
@@ -55,7 +57,7 @@ def tags_of(image_id: int, photo_tag: DataFrame, tag: DataFrame, viewer_is_admin
 def default_grants(users: DataFrame, section: DataFrame, function: DataFrame) -> DataFrame:
     """(user_id, function_code): functions of sections that are neither public nor for admins, for every user who is no admin."""
     open_ = section.filter("not is_public and not admin_only").select("section_code")
-    return users.filter("not is_admin").select("user_id").crossJoin(F.broadcast(function.join(open_, "section_code").select("function_code"))).distinct()
+    return users.filter("not is_admin").select("user_id").crossJoin(function.join(open_, "section_code").select("function_code")).distinct()
 
 
 def missing_grants(users: DataFrame, grants: DataFrame, function_code: str) -> DataFrame:

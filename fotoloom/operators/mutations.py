@@ -56,7 +56,7 @@ def set_values(df: DataFrame, keys: DataFrame, key: str, values: dict[str, Colum
 
 def add_tags(photo_tag: DataFrame, images: DataFrame, tags: DataFrame) -> DataFrame:
     """(image_id, tag_id) links to add: every image with every tag, without those that exist."""
-    want = images.select("image_id").distinct().crossJoin(F.broadcast(tags.select("tag_id").distinct()))
+    want = images.select("image_id").distinct().crossJoin(tags.select("tag_id").distinct())
     return want.join(photo_tag.select("image_id", "tag_id"), ["image_id", "tag_id"], "left_anti")
 
 
@@ -113,7 +113,7 @@ def rotate_photo(photos: DataFrame, faces: DataFrame, image_id: int, degrees: in
     exif = F.coalesce("exif_data", F.lit("{}"))
     turned = F.to_json(F.map_concat(F.map_filter(F.from_json(exif, "map<string,string>"), lambda k, v: k != "UserRotation"), F.create_map(F.lit("UserRotation"), media.rotate(media.rotation(exif), F.lit(degrees)).cast("string"))))
     swap = this & F.lit(degrees % 180 == 90)
-    size = photos.filter(this).select("image_id", F.col("width").alias("__w"), F.col("height").alias("__h"))
+    size = photos.filter(this).select("image_id", F.col("width").alias("__w"), F.col("height").alias("__h")).limit(1)
     out = photos.select(*[
         F.when(this, turned).otherwise(F.col(c)).alias(c) if c == "exif_data"
         else F.when(swap, F.col({"width": "height", "height": "width"}[c])).otherwise(F.col(c)).alias(c) if c in ("width", "height") else F.col(c)

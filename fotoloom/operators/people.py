@@ -6,8 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from fotoloom.functions.vectors import centroids, cosine
-from fotoloom.operators.search import top_k
+from fotoloom.functions.vectors import centroids, unit_rows
+from fotoloom.operators.search import similar_to_each, top_k
 from fotoloom.session import parallelism
 
 #: Centroids, and about as many unassigned faces, that a task multiplies.
@@ -71,7 +71,7 @@ def assign_by_centroid(faces: DataFrame, person_ids: list[int] | None = None, th
         out = [pd.DataFrame({"face_id": np.empty(0, np.int64), "p": np.empty(0, np.int64)})]
         if len(f) and len(c):
             c = c.sort_values("p")
-            x, m = (_units(v) for v in (f["face_embedding"], c["centroid"]))
+            x, m = (unit_rows(v) for v in (f["face_embedding"], c["centroid"]))
             x32, m32 = x.astype(np.float32), m.astype(np.float32)
             step = max(64, 4_000_000 // len(m))
             for at in range(0, len(x), step):
@@ -87,13 +87,6 @@ def assign_by_centroid(faces: DataFrame, person_ids: list[int] | None = None, th
     return near.groupBy("face_id").agg(F.min("p").alias("person_id"))
 
 
-def _units(vectors: pd.Series) -> np.ndarray:
-    """Unit vectors as rows; NaN, which reaches no threshold, for zero vectors and those that are not all numbers."""
-    x = np.stack(vectors.to_list()).astype(np.float64)
-    n = np.sqrt((x * x).sum(axis=1, keepdims=True))
-    return x / np.where(n > 0, n, np.nan)
-
-
 def reassigned_covers(person: DataFrame, faces: DataFrame) -> DataFrame:
     """(person_id, old_cover, new_cover) where the best face differs from the cover; none without faces."""
     stats = person_stats(person, faces).select("person_id", F.col("best_face_id").alias("new_cover"))
@@ -101,16 +94,17 @@ def reassigned_covers(person: DataFrame, faces: DataFrame) -> DataFrame:
     return both.filter(~F.col("old_cover").eqNullSafe(F.col("new_cover")))
 
 
-def assign_by_nearest(faces: DataFrame, image_id: int, threshold: float = 0.6) -> DataFrame:
+def assign_by_nearest(faces: DataFrame, image_id: int, threshold: float = 0.6, dim: int = 128) -> DataFrame:
     """(face_id, person_id): each unassigned face of one photo goes to the person of its nearest assigned face, from the threshold on.
 
-    The photo's few faces are the query set; all assigned faces are searched once. Ties: the smaller face id.
+    The photo's faces are the query set, in blocks; all assigned faces are searched. Ties: the smaller face id.
     """
-    free = faces.filter((F.col("image_id") == image_id) & F.col("person_id").isNull()).select(F.col("face_id").alias("q"), F.col("face_embedding").alias("qv"))
-    known = faces.filter("person_id is not null").select("face_id", "person_id", "face_embedding")
-    near = known.join(F.broadcast(free), cosine(F.col("face_embedding"), F.col("qv")) >= threshold)
-    best = F.max_by("person_id", F.struct(cosine(F.col("face_embedding"), F.col("qv")).alias("s"), (-F.col("face_id")).alias("i")))
-    return near.groupBy("q").agg(best.alias("person_id")).withColumnRenamed("q", "face_id")
+    usable = (F.size("face_embedding") == dim) & F.col("face_id").isNotNull()
+    free = faces.filter(usable & (F.col("image_id") == image_id) & F.col("person_id").isNull()).select("face_id", "face_embedding")
+    known = faces.filter(usable & F.col("person_id").isNotNull()).select("face_id", "face_embedding", "person_id")
+    near = similar_to_each(known, "face_id", "face_embedding", free, 1, threshold, dim)
+    best = near.select(F.col("query_id").alias("face_id"), F.col("id").alias("__k"))
+    return best.join(known.select(F.col("face_id").alias("__k"), "person_id"), "__k").select("face_id", "person_id")
 
 
 def faces_of(person_id: int, faces: DataFrame, photos: DataFrame, limit: int | None = None) -> DataFrame:

@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fotoloom.functions import media, predicates as pr
-from fotoloom.functions.vectors import DEFAULT_RANGE, MODEL_LEAST, MODEL_RANGES, cosine, cosine_to
+from fotoloom.functions.vectors import MODEL_LEAST, cosine_to, normalized_similarity, unit_rows
+from fotoloom.session import parallelism
 
+#: Queries, and about as many rows, that a task multiplies.
+QUERY_ROWS, SLICE_ROWS = 2_000, 20_000
 #: Columns of a search result.
 RESULT = ["image_id", "file_path", "file_name", "file_format", "width", "height", "file_size", "photo_date"]
 
@@ -94,13 +99,46 @@ def similar_to(df: DataFrame, id_col: str, vector: str, this: int, k: int, thres
     drop_self before: the row itself never counts; after: the k best are taken first, so at most k - 1 remain.
     A row that is not there, or has no vector, gives an empty result. The reference is one row by key.
     """
-    ref = df.filter(F.col(id_col) == this).select(F.col(vector).alias("__ref")).limit(1)
+    ref = df.filter((F.col(id_col) == this) & F.col(vector).isNotNull()).select(vector).first()
     rows = df.select(id_col, vector) if drop_self == "after" else df.select(id_col, vector).filter(F.col(id_col) != this)
-    found = rows.crossJoin(F.broadcast(ref)).select(id_col, cosine(F.col(vector), F.col("__ref")).alias("similarity"))
+    similarity = F.lit(None).cast("double") if ref is None else cosine_to(vector, list(ref[0]))
+    found = rows.select(id_col, similarity.alias("similarity"))
     found = found.filter(F.col("similarity") >= threshold).orderBy(F.desc("similarity"), F.asc(id_col)).limit(k)
     return found.filter(F.col(id_col) != this).withColumn("similarity", F.round("similarity", 4))
 
 
+def similar_to_each(df: DataFrame, id_col: str, vector: str, queries: DataFrame, k: int, threshold: float = 0.01, dim: int = 128) -> DataFrame:
+    """(query_id, id, similarity) of the k rows most similar to each of a stated set of rows, themselves left out; ties to the smaller id.
+
+    ``queries`` has the same two columns. A task multiplies a block of queries with a slice of the rows and
+    keeps the k best of each; the best of all slices follow. Vectors that are null, zero, not ``dim`` long
+    or not all numbers, and null ids, take no part; empty inputs give an empty result.
+    """
+    fit = lambda d: d.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).alias("v")).filter(F.col("id").isNotNull() & (F.size("v") == dim))
+    rows, asked = fit(df), fit(queries)
+    blocks = max(1, -(-asked.count() // QUERY_ROWS))
+    slices = max(parallelism(df.sparkSession), -(-rows.count() // SLICE_ROWS))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = rows.select("id", "v", part(slices).alias("slice"), every(blocks).alias("block"))
+    asked = asked.select("id", "v", every(slices).alias("slice"), part(blocks).alias("block"))
+
+    def best(r: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": np.empty(0, np.int64), "id": np.empty(0, np.int64), "similarity": np.empty(0)})]
+        if len(r) and len(q):
+            r = r.sort_values("id")
+            ids, x, m = r["id"].to_numpy(), unit_rows(r["v"]), unit_rows(q["v"])
+            for i, (this, row) in enumerate(zip(q["id"], m @ x.T)):
+                at = np.flatnonzero((row >= threshold) & (ids != this))
+                at = at[np.argsort(-row[at], kind="stable")[:k]]
+                out.append(pd.DataFrame({"query_id": this, "id": ids[at], "similarity": row[at]}))
+        return pd.concat(out)
+
+    found = rows.groupBy("slice", "block").cogroup(asked.groupBy("slice", "block")).applyInPandas(best, "query_id bigint, id bigint, similarity double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+    return found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).drop("r")
+
+
 def fuse_ranks(
     scored: DataFrame, id_col: str = "image_id", top: int = 500, threshold: float = 0.01, relative_cutoff: float = 0.65,
     rrf_cutoff: float = 0.35, cap: int | None = 300, k: int = 60, within_candidates: bool = False,
@@ -113,19 +151,15 @@ def fuse_ranks(
     """
     w = Window.partitionBy("model").orderBy(F.desc("similarity"), F.asc(id_col))
     best = scored.filter(F.col("similarity") >= threshold).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= top)
-    least = hi = lo = None
-    for m in MODEL_RANGES:
-        here = F.col("model") == m
-        least = F.when(here, MODEL_LEAST[m]) if least is None else least.when(here, MODEL_LEAST[m])
-        lo = F.when(here, MODEL_RANGES[m][0]) if lo is None else lo.when(here, MODEL_RANGES[m][0])
-        hi = F.when(here, MODEL_RANGES[m][1]) if hi is None else hi.when(here, MODEL_RANGES[m][1])
-    best = best.filter(F.col("similarity") >= least.otherwise(0.10))
+    least = F.lit(0.10)
+    for m, low in MODEL_LEAST.items():
+        least = F.when(F.col("model") == m, low).otherwise(least)
+    best = best.filter(F.col("similarity") >= least)
     cut = F.lit(0.80 if within_candidates else relative_cutoff)
     model = Window.partitionBy("model")  # at most ``top`` rows a model
     best = best.withColumn("top", F.max("similarity").over(model)).filter(F.col("similarity") >= F.col("top") * cut)
     best = best.withColumn("r", F.row_number().over(w))
-    lo, hi = lo.otherwise(DEFAULT_RANGE[0]), hi.otherwise(DEFAULT_RANGE[1])
-    scaled = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("similarity") - lo) / (hi - lo)))
+    scaled = normalized_similarity(F.col("similarity"), F.col("model"))
     fused = best.groupBy(id_col).agg(F.sum(1.0 / (k + F.col("r"))).alias("rrf"), F.count("*").alias("votes"), F.max(scaled).alias("best"))
     share = 0.65 if within_candidates else rrf_cutoff
     fused = fused.withColumn("top", F.max("rrf").over(Window.partitionBy()))  # at most ``top`` rows a model

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fotoloom.functions import media, predicates as pr
 from fotoloom.functions.hashing import clean_hash
-from fotoloom.operators import dedup, membership as mb, mutations as mu, people, search, stats
-from fotoloom.plans.archive import _FV, _GROUPS, _HASH, _HIDDEN, _KIND, _PV, _RANKED, _V, first_vector
+from fotoloom.operators import dedup, family, membership as mb, mutations as mu, people, search, stats
+from fotoloom.plans.archive import _FV, _GROUPS, _HASH, _HIDDEN, _KIND, _PV, _RANKED, _SCORED, _V, _scored as scored, first_vector
 from fotoloom.plans.fixtures import Tables, ctes
 from fotoloom.session import register_catalog
 from fotoloom.sources import files
@@ -236,6 +236,68 @@ def pending_page(t: Tables) -> DataFrame:
     return files.page_after(t.photo_index.filter("phash is null").select("image_id"), "image_id", 500, 100)
 
 
+def _each(vectors: str, i: str) -> str:
+    return f"""WITH {vectors} SELECT query_id, {i}, round(s, 4) AS similarity FROM (SELECT q.{i} AS query_id, r.{i}, list_cosine_similarity(q.v, r.v) AS s,
+  row_number() OVER (PARTITION BY q.{i} ORDER BY list_cosine_similarity(q.v, r.v) DESC, r.{i}) AS n FROM {vectors[:2]} q JOIN {vectors[:2]} r ON q.{i} <> r.{i}
+  WHERE q.{i} % 20 = 0 AND list_cosine_similarity(q.v, r.v) >= 0.01) WHERE n <= 10"""
+
+
+@query(_each(_PV, "image_id"))
+def similar_by_id_each(t: Tables) -> DataFrame:
+    """The 10 photos most similar to every photo whose id is divisible by 20."""
+    got = search.similar_to_each(t.photo_index, "image_id", _V, t.photo_index.filter("image_id % 20 = 0"), 10)
+    return got.select("query_id", F.col("id").alias("image_id"), F.round("similarity", 4).alias("similarity"))
+
+
+@query(_each(_FV, "face_id"))
+def face_topk_each(t: Tables) -> DataFrame:
+    """The 10 faces most similar to every face whose id is divisible by 20."""
+    got = search.similar_to_each(t.faces, "face_id", "face_embedding", t.faces.filter("face_id % 20 = 0"), 10)
+    return got.select("query_id", F.col("id").alias("face_id"), F.round("similarity", 4).alias("similarity"))
+
+
+@query(f"""WITH g AS (SELECT image_id, floor(latitude / 0.5)::BIGINT AS y, floor(longitude / 0.5)::BIGINT AS x FROM photo_index WHERE latitude IS NOT NULL AND longitude IS NOT NULL AND NOT isnan(latitude) AND NOT isnan(longitude))
+ SELECT y AS cell_y, x AS cell_x, count(*) AS photos, array_to_string(list(image_id ORDER BY image_id)[:4], ',') AS previews FROM g GROUP BY y, x""")
+def grid_previews(t: Tables) -> DataFrame:
+    """Map cells of a near zoom with up to four photos each."""
+    got = stats.grid_clusters(t.photo_index, 7, preview_k=4)
+    return got.select("cell_y", "cell_x", "photos", F.array_join(F.transform("preview_ids", lambda x: x.cast("string")), ",").alias("previews"))
+
+
+@query(f"""WITH {_FV}, q AS (SELECT face_id AS i, v FROM fv ORDER BY face_id LIMIT 1), k AS (SELECT face_id, i, list_cosine_similarity(fv.v, q.v) AS s FROM fv, q WHERE list_cosine_similarity(fv.v, q.v) >= 0.2 ORDER BY s DESC, face_id LIMIT 10)
+ SELECT face_id, round(s, 4) AS similarity FROM k WHERE face_id <> i""")
+def similar_face_by_id(t: Tables) -> DataFrame:
+    """A stored face is searched for; it takes one of the ten places and is then left out."""
+    this = t.faces.filter((F.size("face_embedding") == 128) & F.exists("face_embedding", lambda x: x != 0)).agg(F.min("face_id")).first()[0]
+    return search.similar_to(t.faces, "face_id", "face_embedding", this, 10, 0.2, drop_self="after")
+
+
+@query(f"""WITH {_SCORED},
+ k AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY s DESC, image_id) AS r FROM s WHERE s >= 0.2 QUALIFY r <= 500),
+ m AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY s DESC, image_id) AS n FROM k WHERE s >= CASE model WHEN 'SigLIP' THEN 0.06 ELSE 0.18 END)
+ SELECT DISTINCT image_id, 12 AS tag_id FROM m WHERE image_id NOT IN (SELECT image_id FROM photo_tag)""")
+def models_to_tags(t: Tables) -> DataFrame:
+    """Links to add when the best photos of several models, from a given similarity on and as far as untagged, get a tag."""
+    fused = search.fuse_ranks(scored(t), threshold=0.2, relative_cutoff=0.0, rrf_cutoff=0.0, cap=None)
+    return mu.add_tags(t.photo_tag, pr.untagged(fused, t.photo_tag), t.tag.filter("tag_id = 12"))
+
+
+@query(f"""{ctes("grants")} SELECT u.user_id, p.name AS person_name, coalesce((SELECT string_agg(DISTINCT function_code, ',' ORDER BY function_code) FROM grants g WHERE g.user_id = u.user_id), '') AS functions
+ FROM app_user u LEFT JOIN person p ON p.person_id = u.user_id""")
+def users_with_persons(t: Tables) -> DataFrame:
+    """Users with the person they are, here the one of the same id, and their functions."""
+    got = mb.users_with_grants(t.app_user, t.grants).join(t.person.select(F.col("person_id").alias("user_id"), F.col("name").alias("person_name")), "user_id", "left")
+    return got.select("user_id", "person_name", F.array_join("functions", ",").alias("functions"))
+
+
+@query("""WITH e AS (SELECT DISTINCT person_id_from AS a, person_id_to AS b, lower(trim(relation_type)) AS k FROM person_relation WHERE person_id_from <> person_id_to AND relation_type IS NOT NULL)
+ SELECT p.person_id, (SELECT count(*) FROM faces f WHERE f.person_id = p.person_id) AS face_count, (SELECT count(*) FROM e WHERE a = p.person_id AND k = 'parent') AS children,
+ (SELECT count(*) FROM e WHERE b = p.person_id AND k = 'parent') AS parents FROM person p""")
+def family_tree_persons(t: Tables) -> DataFrame:
+    """The persons of the tree dump: their faces, children and parents; ``family_tree`` holds its links."""
+    return family.tree_persons(t.person, t.faces, t.person_relation)
+
+
 # --- duplicates -----------------------------------------------------------------------------------
 
 
@@ -283,6 +345,19 @@ def without_reported(t: Tables) -> DataFrame:
     return dedup.without_reported(_report(t), t.photo_index).select("image_id")
 
 
+@query(f"""WITH p AS (SELECT image_id, file_path, width, height FROM photo_index WHERE width IS NOT NULL AND height IS NOT NULL),
+ c AS (SELECT person_id, face_id, file_path, width, height, bbox_x1::DOUBLE AS a, bbox_y1::DOUBLE AS b, bbox_x2::DOUBLE AS c, bbox_y2::DOUBLE AS d FROM faces JOIN p USING (image_id) WHERE person_id = 7)
+ SELECT person_id, face_id, file_path, greatest(0, trunc(a - (c - a) * 0.2::DOUBLE)::INT) AS l, greatest(0, trunc(b - (d - b) * 0.2::DOUBLE)::INT) AS t, least(width, trunc(c + (c - a) * 0.2::DOUBLE)::INT) AS r, least(height, trunc(d + (d - b) * 0.2::DOUBLE)::INT) AS b FROM c""")
+def person_crops(t: Tables) -> DataFrame:
+    return files.person_crops(t.faces, t.photo_index, 7)
+
+
+@query(f"""{ctes("scan_new")}, p AS (SELECT file_path AS src, concat('/trash/', CASE WHEN starts_with(file_path, '/photos/') THEN file_path[9:] ELSE file_path END) AS dst FROM photo_index WHERE index_failed)
+ SELECT src, CASE WHEN src IN (SELECT file_path FROM scan_new) THEN concat('MOVED ', src, ' -> ', dst) ELSE concat('MISSING ', src) END AS line FROM p""")
+def trash_report(t: Tables) -> DataFrame:
+    return files.trash_report(files.trash_plan(t.photo_index.filter("index_failed"), "/photos", "/trash"), t.scan_new)
+
+
 # --- indexing -------------------------------------------------------------------------------------
 
 
@@ -366,13 +441,13 @@ def path_forms(t: Tables) -> DataFrame:
     )
 
 
-@query("""SELECT image_id, CASE WHEN abs(round(latitude, 4)) <= 90 AND abs(round(longitude, 4)) <= 180 THEN round(latitude, 4) END AS lat,
- CASE WHEN abs(round(latitude, 4)) <= 90 AND abs(round(longitude, 4)) <= 180 THEN round(longitude, 4) END AS lon FROM photo_index
- WHERE NOT isnan(latitude) AND NOT isnan(longitude) AND abs(latitude) < 999 AND abs(longitude) < 999""")
+@query("""WITH p AS (SELECT image_id, round(floor(latitude * 1e4::DOUBLE) / 1e4::DOUBLE, 4) AS a, round(floor(longitude * 1e4::DOUBLE) / 1e4::DOUBLE, 4) AS o FROM photo_index
+  WHERE NOT isnan(latitude) AND NOT isnan(longitude) AND abs(latitude) < 999 AND abs(longitude) < 999)
+ SELECT image_id, CASE WHEN abs(a) <= 90 AND abs(o) <= 180 THEN a END AS lat, CASE WHEN abs(a) <= 90 AND abs(o) <= 180 THEN o END AS lon FROM p""")
 def positions_read(t: Tables) -> DataFrame:
-    """Positions written as a pair, or as a map link for every other photo, and read again."""
+    """Positions to the ten-thousandth below, written as a pair, or as a map link for every other photo, and read again."""
     p = t.photo_index.filter("not isnan(latitude) and not isnan(longitude) and abs(latitude) < 999 and abs(longitude) < 999")
-    a, o = (F.format_string("%.4f", F.round(c, 4)) for c in ("latitude", "longitude"))
+    a, o = (F.format_string("%.4f", F.floor(F.col(c) * 1e4) / 1e4) for c in ("latitude", "longitude"))
     text = F.when(F.col("image_id") % 2 == 0, F.concat(a, F.lit(", "), o)).otherwise(F.concat(F.lit("https://maps.example/@"), a, F.lit(","), o, F.lit(",15z")))
     at = media.parse_position(text)
     return p.select("image_id", F.round(at["latitude"], 4).alias("lat"), F.round(at["longitude"], 4).alias("lon"))

@@ -68,7 +68,7 @@ def drop(spark: SparkSession, path: str) -> None:
 
 class Scratch:
     """Tables that cut lineage: each is written once to the shared folder and read back from there,
-    so a lost executor costs a re-read and the planner knows real sizes.
+    so a lost executor costs a re-read. What the planner sees of their size is compressed.
 
     ``free()`` removes the tables no longer needed; what a returned DataFrame still reads stays until
     the session ends.

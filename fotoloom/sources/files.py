@@ -114,3 +114,20 @@ def page_after(df: DataFrame, key: str, after: int | None, limit: int) -> DataFr
 def changed_or_unindexed(changed: DataFrame, on_disk: DataFrame, photos: DataFrame) -> DataFrame:
     """(file_path), each once: what a journal reports as added or modified, and what is on disk but not indexed."""
     return changed.filter("change <> 'deleted'").select("file_path").union(to_index(on_disk, photos)).distinct()
+
+
+def trash_report(plan: DataFrame, on_disk: DataFrame) -> DataFrame:
+    """(src, line) of a move to the trash: where each file goes, or that it is not there."""
+    there = on_disk.select(F.col("file_path").alias("src")).distinct().withColumn("__t", F.lit(True))
+    line = F.when(F.col("__t"), F.concat(F.lit("MOVED "), "src", F.lit(" -> "), "dst")).otherwise(F.concat(F.lit("MISSING "), "src"))
+    return plan.join(there, "src", "left").select("src", line.alias("line"))
+
+
+def person_crops(faces: DataFrame, photos: DataFrame, person_id: int | None = None, pad: float = 0.2) -> DataFrame:
+    """(person_id, face_id, file_path, l, t, r, b): what to cut out of which file for an export by person; ``write_by_person`` writes the cut pictures."""
+    from fotoloom.functions.media import crop_box
+
+    rows = faces.filter("person_id is not null" if person_id is None else F.col("person_id") == person_id)
+    rows = rows.join(photos.filter("width is not null and height is not null").select("image_id", "file_path", "width", "height"), "image_id")
+    box = crop_box(*[F.col(f"bbox_{x}").cast("double") for x in ("x1", "y1", "x2", "y2")], F.col("width"), F.col("height"), pad)
+    return rows.select("person_id", "face_id", "file_path", box.alias("x")).select("person_id", "face_id", "file_path", F.col("x.left").alias("l"), F.col("x.top").alias("t"), F.col("x.right").alias("r"), F.col("x.bottom").alias("b"))

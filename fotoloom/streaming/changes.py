@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from fotoloom.session import Scratch
+
 #: Reasons of a journal record; renames carry no reason of their own.
 DELETE, CREATE, MODIFY = "DELETE", "CREATE", "MODIFY"
 
@@ -104,3 +106,20 @@ def changes_since(log: DataFrame, after: int, old: DataFrame, new: DataFrame, ke
     if first is not None and first > after + 1:
         return snapshot_diff(old, new, key, ["size"]), None
     return fold_changes(log, key, order, after=after).select(key, "change"), after if last is None else max(after, last)
+
+
+def index_all(spark: SparkSession, scan: DataFrame, steps: dict[str, Callable[[DataFrame], DataFrame]]) -> dict[str, int]:
+    """Rows that each step made of one scan of the files, in the order given; the scan is done once and written.
+
+    A step that fails stops the queue; the steps before it have been counted in the error's ``done``.
+    """
+    s, done = Scratch(spark), {}
+    files = s.cut(scan)
+    for name, step in steps.items():
+        try:
+            done[name] = step(files).count()
+        except Exception as e:
+            e.done = done
+            raise
+    s.free(files)
+    return done

@@ -24,3 +24,17 @@ def test_journal_that_wrapped_over(spark):
 def test_pages(spark):
     df = spark.range(10)
     assert [r.id for r in files.page_after(df, "id", 3, 2).collect()] == [4, 5] and [r.id for r in files.page_after(df, "id", None, 1).collect()] == [0]
+
+
+def test_plugins(spark):
+    from fotoloom.sources import plugins
+
+    df = spark.createDataFrame([(1, "48.5, 9.25"), (2, "Rome"), (3, "nowhere"), (4, None)], "id bigint, t string")
+    got = {r.id: (r.latitude, r.longitude) for r in plugins.located(df, "id", "t", lambda name: (41.9, 12.5) if name == "Rome" else None).collect()}
+    assert got == {1: (48.5, 9.25), 2: (41.9, 12.5), 3: (None, None), 4: (None, None)}
+    assert {r.id: r.t for r in plugins.translated(df, "id", "t", lambda texts: [x.upper() for x in texts]).collect()} == {1: "48.5, 9.25", 2: "ROME", 3: "NOWHERE", 4: None}
+
+
+def test_task_queue(spark):
+    seen = changes.index_all(spark, spark.range(5), {"vectors": lambda df: df, "hashes": lambda df: df.filter("id > 2")})
+    assert seen == {"vectors": 5, "hashes": 2}

@@ -87,3 +87,12 @@ def test_errors_of_a_subpackage_come_out(monkeypatch):
     if importlib.util.find_spec("fotoloom.llm"):
         with pytest.raises(ImportError):
             entry.queries()
+
+
+def test_a_hash_is_no_match_of_its_own():
+    """The same id twice under one key gives no link."""
+    import numpy as np
+
+    rows = np.zeros((3, 5), np.int64)
+    got = hash_links._links(np.array([5, 5, 9]), rows, np.array([1, 1, 1]), 6, True)
+    assert {tuple(r) for r in got.to_numpy().tolist()} == {(5, 9)}
