@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from fotoloom.functions.vectors import centroids, cosine
 from fotoloom.llm import clusters, grouping, mixing, packing, similar, survivorship as sv, tokens, truncation
 from fotoloom.session import Scratch, load
 
@@ -93,11 +94,9 @@ def p6_sound(spark: SparkSession, d: str) -> DataFrame:
     """What must not be: clusters of fewer than 5, members far from their mean, faces in two clusters, clusters not named after their smallest face."""
     found = Scratch(spark).cut(_face_clusters(spark, d))
     faces = load(spark, d, "faces").select(F.col("face_id").alias("id"), similar.unit_vector("face_embedding", 128).alias("u"))
-    at = found.join(faces, "id").select("cluster_id", "id", F.posexplode("u").alias("i", "x"))
-    mean = at.groupBy("cluster_id", "i").agg(F.sum("x").alias("m"))
-    length = mean.groupBy("cluster_id").agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("n"))
-    cos = at.join(mean, ["cluster_id", "i"]).groupBy("cluster_id", "id").agg(F.sum(F.col("x") * F.col("m")).alias("dot")).join(length, "cluster_id")
-    far = cos.agg(F.count_if(F.col("dot") / F.col("n") < 0.749).alias("far_members"))  # vectors travel rounded
+    at = found.join(faces, "id").select("cluster_id", "u")
+    mean = centroids(at, "cluster_id", "u", 128).select("cluster_id", "centroid")
+    far = at.join(mean, "cluster_id").agg(F.count_if(cosine(F.col("u"), F.col("centroid")) < 0.749).alias("far_members"))  # vectors travel rounded
     sets = found.groupBy("cluster_id").agg(F.count("*").alias("n"), F.min("id").alias("least"))
     small = sets.agg(F.count_if(F.expr("n < 5")).alias("small_clusters"), F.count_if(F.expr("least <> cluster_id")).alias("misnamed"))
     twice = found.groupBy("id").count().agg(F.count_if(F.expr("count > 1")).alias("faces_twice"))
