@@ -64,6 +64,13 @@ def parse_position(text: Column) -> Column:
     return F.coalesce(plain(pair), degrees, plain(link))
 
 
+def exif_object(exif: Column | str) -> Column:
+    """The JSON text of an EXIF object, read through one level of JSON string; null for what is no object."""
+    v = F.try_parse_json(exif)
+    text = F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(F.col(exif) if isinstance(exif, str) else exif)
+    return F.when(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), text)
+
+
 #: EXIF tags that hold a date, the most telling first, and the ways they are written; fixed values.
 DATE_TAGS = ["DateTimeOriginal", "DateTimeDigitized", "DateTime", "CreateDate", "ModifyDate"]
 DATE_FORMATS = ["yyyy:MM:dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "yyyy:MM:dd"]

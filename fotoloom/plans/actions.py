@@ -7,6 +7,7 @@ import re
 
 from pyspark.sql import Column, functions as F
 
+from fotoloom.functions.predicates import has_gps
 from fotoloom.operators.search import Spec
 
 #: Actions that a request may hold, fixed values.
@@ -74,7 +75,7 @@ def recentred(box: tuple[float, float, float, float], lat: float, lon: float) ->
 def photo_lines(persons: Column, tags: Column) -> Column:
     """What is known of a photo as lines of text; unknown parts have no line."""
     line = lambda label, c: F.when(c.isNotNull() & (c != ""), F.concat(F.lit(label + ": "), c))
-    position = F.when(F.col("latitude").isNotNull() & F.col("longitude").isNotNull(), F.format_string("%.5f, %.5f", "latitude", "longitude"))
+    position = F.when(has_gps(), F.format_string("%.6f, %.6f", "latitude", "longitude"))
     return F.concat_ws(
         "\n", line("File", F.col("file_name")), line("Taken", F.date_format("photo_date", "yyyy-MM-dd HH:mm")), line("Position", position),
         line("Size", F.concat_ws(" x ", F.col("width").cast("string"), F.col("height").cast("string"))), line("Persons", persons), line("Tags", tags),

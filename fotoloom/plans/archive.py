@@ -39,6 +39,9 @@ def oracle_sql() -> dict[str, str]:
 
 
 _V = "clip_embedding_siglip"
+#: EXIF as a JSON object's text, read through one level of JSON string, in the alias j of a first step e.
+_EXIF = """e AS (SELECT *, CASE WHEN json_valid(exif_data) THEN CASE WHEN json_type(exif_data) = 'VARCHAR' THEN json_extract_string(exif_data, '$') ELSE exif_data END END AS text FROM photo_index),
+ o AS (SELECT *, CASE WHEN json_valid(text) AND json_type(text) = 'OBJECT' THEN text END AS j FROM e)"""
 _OK = "len({v}) = 128 AND list_max(list_transform({v}, lambda x: abs(x))) > 0"
 _PV = f"pv AS (SELECT image_id, {_V}::DOUBLE[] AS v FROM photo_index WHERE {_OK.format(v=_V)})"
 _FV = f"fv AS (SELECT face_id, image_id, person_id, face_embedding::DOUBLE[] AS v FROM faces WHERE {_OK.format(v='face_embedding')})"
@@ -468,14 +471,12 @@ def file_facts(t: Tables) -> DataFrame:
     )
 
 
-@query("""WITH j AS (SELECT image_id, width, height, CASE WHEN json_valid(exif_data) AND json_type(exif_data) = 'OBJECT' THEN exif_data END AS j,
- regexp_replace(lower(trim(file_format)), '^\\.', '') AS f FROM photo_index WHERE width IS NOT NULL AND height IS NOT NULL),
+@query(rf"""WITH {_EXIF}, j AS (SELECT image_id, width, height, j, regexp_replace(lower(trim(file_format)), '^\.', '') AS f FROM o WHERE width IS NOT NULL AND height IS NOT NULL),
  s AS (SELECT *, (coalesce(TRY_CAST(json_extract_string(j, '$.Orientation') AS INT) BETWEEN 5 AND 8, false) AND coalesce(f, '') NOT IN ('nef', 'cr2', 'arw', 'dng', 'raf', 'orf', 'rw2'))
   <> (coalesce(TRY_CAST(json_extract_string(j, '$.UserRotation') AS INT), 0) IN (90, 270)) AS swap FROM j)
  SELECT image_id, height AS width, width AS height FROM s WHERE swap AND width <> height""")
 def fixed_sizes(t: Tables) -> DataFrame:
-    readable = F.when(F.schema_of_variant(F.try_parse_json("exif_data")).startswith("OBJECT"), F.col("exif_data"))
-    return mu.fixed_sizes(t.photo_index.withColumn("exif_data", readable))
+    return mu.fixed_sizes(t.photo_index.withColumn("exif_data", media.exif_object("exif_data")))
 
 
 @query("""SELECT face_id, greatest(0, trunc(x1 - dx)::INT) AS l, greatest(0, trunc(y1 - dy)::INT) AS t, least(width, trunc(x2 + dx)::INT) AS r, least(height, trunc(y2 + dy)::INT) AS b
@@ -621,13 +622,14 @@ def nearest_assign(t: Tables) -> DataFrame:
 
 @query("""WITH n AS (SELECT image_id, string_agg(DISTINCT name, ', ' ORDER BY name) AS persons FROM faces JOIN person USING (person_id) GROUP BY image_id),
  g AS (SELECT image_id, string_agg(DISTINCT name, ', ' ORDER BY name) AS tags FROM photo_tag JOIN tag USING (tag_id) GROUP BY image_id)
- SELECT image_id, concat_ws(chr(10), 'File: ' || file_name, 'Taken: ' || strftime(photo_date, '%Y-%m-%d %H:%M'), 'Size: ' || concat_ws(' x ', width::VARCHAR, height::VARCHAR), 'Persons: ' || persons, 'Tags: ' || tags) AS lines
+ SELECT image_id, concat_ws(chr(10), 'File: ' || file_name, 'Taken: ' || strftime(photo_date, '%Y-%m-%d %H:%M'),
+ CASE WHEN NOT isnan(latitude) AND NOT isnan(longitude) THEN printf('Position: %.6f, %.6f', latitude, longitude) END, 'Size: ' || concat_ws(' x ', width::VARCHAR, height::VARCHAR), 'Persons: ' || persons, 'Tags: ' || tags) AS lines
  FROM photo_index LEFT JOIN n USING (image_id) LEFT JOIN g USING (image_id) WHERE width IS NOT NULL AND file_name <> ''""")
 def photo_context(t: Tables) -> DataFrame:
     names = lambda df, key: df.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("x"))
     persons = names(t.faces.join(t.person.select("person_id", "name"), "person_id"), "image_id").withColumnRenamed("x", "persons")
     tags = names(t.photo_tag.join(t.tag.select("tag_id", "name"), "tag_id"), "image_id").withColumnRenamed("x", "tags")
-    rows = t.photo_index.filter("width is not null and file_name <> ''").withColumns({"latitude": F.lit(None).cast("double"), "longitude": F.lit(None).cast("double")})
+    rows = t.photo_index.filter("width is not null and file_name <> ''")
     rows = rows.join(persons, "image_id", "left").join(tags, "image_id", "left")
     return rows.select("image_id", photo_lines(F.col("persons"), F.col("tags")).alias("lines"))
 
@@ -699,11 +701,10 @@ def live_sessions(t: Tables) -> DataFrame:
     return mb.live_sessions(s, t.app_user, "2023-06-01 12:00:00", "100 days").select("user_id", "username")
 
 
-@query("""WITH j AS (SELECT image_id, CASE WHEN json_valid(exif_data) AND json_type(exif_data) = 'OBJECT' THEN trim(json_extract_string(exif_data, '$.DateTimeOriginal')) END AS d FROM photo_index)
+@query(f"""WITH {_EXIF}, j AS (SELECT image_id, trim(json_extract_string(j, '$.DateTimeOriginal')) AS d FROM o)
  SELECT image_id, try_strptime(d, '%Y:%m:%d %H:%M:%S')::DATE AS taken FROM j WHERE try_strptime(d, '%Y:%m:%d %H:%M:%S') IS NOT NULL""")
 def exif_dates(t: Tables) -> DataFrame:
-    readable = t.photo_index.filter(F.schema_of_variant(F.try_parse_json("exif_data")).startswith("OBJECT"))
-    return readable.select("image_id", media.exif_date(F.col("exif_data")).cast("date").alias("taken")).filter("taken is not null")
+    return t.photo_index.select("image_id", media.exif_date(media.exif_object("exif_data")).cast("date").alias("taken")).filter("taken is not null")
 
 
 @query(f"""WITH {_REL} SELECT a AS parent_id, b AS child_id, p.name AS parent_name, c.name AS child_name FROM par LEFT JOIN person p ON p.person_id = a LEFT JOIN person c ON c.person_id = b""")
@@ -745,12 +746,12 @@ def new_persons(t: Tables) -> DataFrame:
     return mu.new_persons(t.person, t.app_user.select(F.col("display_name").alias("name")))
 
 
-@query("""SELECT image_id, round(coalesce(CASE WHEN hit THEN 48.5 ELSE latitude END, -999), 6) AS lat FROM (SELECT image_id, latitude,
+@query("""SELECT image_id, CASE WHEN hit THEN 48.5 WHEN latitude IS NULL THEN -999 WHEN isnan(latitude) THEN -998 ELSE round(latitude, 6) END AS lat FROM (SELECT image_id, latitude,
  starts_with(file_path, '/photos/2020/Fenselton/') AND NOT contains(file_path[length('/photos/2020/Fenselton/') + 1:], '/')
- AND (latitude IS NULL OR longitude IS NULL OR isnan(latitude) OR isnan(longitude) OR latitude = 0 OR longitude = 0) AS hit FROM photo_index WHERE latitude IS NULL OR NOT isnan(latitude))""")
+ AND (latitude IS NULL OR longitude IS NULL OR isnan(latitude) OR isnan(longitude) OR latitude = 0 OR longitude = 0) AS hit FROM photo_index)""")
 def placed_folder(t: Tables) -> DataFrame:
-    rows = mu.place_photos(t.photo_index.filter("latitude is null or not isnan(latitude)"), 48.5, 9.2, folder="/photos/2020/Fenselton")
-    return rows.select("image_id", F.round(F.coalesce("latitude", F.lit(-999.0)), 6).alias("lat"))
+    rows = mu.place_photos(t.photo_index, 48.5, 9.2, folder="/photos/2020/Fenselton")
+    return rows.select("image_id", F.when(F.isnan("latitude"), F.lit(-998.0)).otherwise(F.round(F.coalesce("latitude", F.lit(-999.0)), 6)).alias("lat"))
 
 
 @query("SELECT image_id, CASE WHEN image_id IN (SELECT image_id FROM faces) THEN 1 ELSE faces_indexed END AS faces_indexed FROM photo_index")

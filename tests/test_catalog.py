@@ -38,3 +38,19 @@ def test_plugins(spark):
 def test_task_queue(spark):
     seen = changes.index_all(spark, spark.range(5), {"vectors": lambda df: df, "hashes": lambda df: df.filter("id > 2")})
     assert seen == {"vectors": 5, "hashes": 2}
+
+
+def test_exif_object(spark):
+    rows = [('{"A": 1}',), ('"{\\"A\\": 1}"',), ('[1]',), ('"text"',), ("",), (None,), ('{"A": ',)]
+    got = [r.x for r in spark.createDataFrame(rows, "e string").select(media.exif_object("e").alias("x")).collect()]
+    assert got == ['{"A": 1}', '{"A": 1}', None, None, None, None, None]
+
+
+def test_similar_to_each(spark):
+    from fotoloom.operators import search
+
+    rows = [(1, [1.0, 0.0], "x"), (2, [2.0, 0.0], "x"), (3, [1.0, 1.0], "x"), (3, [1.0, 1.0], "x"), (4, [0.0, 0.0], "x"), (5, None, "x"), (6, [1.0], "x"), (None, [1.0, 0.0], "x"), (7, [float("nan"), 1.0], "x"), (8, [4.0, 0.0], "x")]
+    df = spark.createDataFrame(rows, "i bigint, v array<double>, slice string")
+    got = search.similar_to_each(df, "i", "v", df.filter("i in (1, 4, 7)"), 2, 0.1, dim=2)
+    assert sorted((r.query_id, r.id) for r in got.collect()) == [(1, 2), (1, 8)]  # ties go to the smaller id
+    assert search.similar_to_each(df, "i", "v", df.limit(0), 2, dim=2).count() == 0
