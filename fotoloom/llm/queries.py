@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import pandas as pd
+import regex
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fotoloom.functions.vectors import centroids, cosine
@@ -9,6 +12,7 @@ from fotoloom.llm import clusters, grouping, mixing, packing, similar, survivors
 from fotoloom.session import Scratch, load
 
 
+_WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 VECTORS = [("photo_index", "image_id", "clip_embedding_siglip"), ("faces", "face_id", "face_embedding")]
 
 
@@ -77,17 +81,24 @@ def p6_profiles(spark: SparkSession, d: str) -> DataFrame:
     return clusters.cluster_profiles(Scratch(spark).cut(_face_clusters(spark, d)))
 
 
-def p6_like_records(spark: SparkSession, d: str) -> DataFrame:
-    """Clusters of photos with like records - format, size, camera, folder - by hashed weighted features, with size and most typical photos."""
-    exif = sv.json_entries("exif_data")
-    entry = lambda k: F.lower(F.trim(F.try_variant_get(F.try_element_at(exif, F.lit(k)), "$", "string")))
-    parts = {
-        "format": (sv.bare_format("file_format"), 1.0), "size": (F.concat_ws("x", F.greatest("width", "height"), F.least("width", "height")), 1.5),
-        "make": (entry("Make"), 2.0), "model": (entry("Model"), 3.0), "folder": (F.regexp_replace("file_path", r"[^/\\]*$", ""), 2.0),
-    }
-    items = F.array(*[F.when(v != "", F.concat(F.lit(k + "="), v)) for k, (v, _) in parts.items()])
-    photos = load(spark, d, "photo_index").select("image_id", clusters.hashed_features(items, F.array(*[F.lit(w) for _, w in parts.values()]), 128).alias("v"))
-    return clusters.cluster_profiles(Scratch(spark).cut(clusters.similarity_clusters(photos, "image_id", "v")))
+def p6_like_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of documents of like wording, by hashed features, with size and most typical documents.
+
+    The features are a text's runs of five words, or all its words if it has fewer, each weighted by how
+    often it occurs; texts without a word take no part.
+    """
+
+    def runs(it):
+        for pdf in it:
+            out = []
+            for text in pdf.text:
+                w = _WORD.findall((text or "").lower())
+                out.append([xxhash.xxh3_64_intdigest(" ".join(w[i : i + 5])) - (1 << 63) for i in range(max(1, len(w) - 4))] if w else [])
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "r": out})
+
+    docs = load(spark, d, "documents").select("doc_id", "text").mapInPandas(runs, "doc_id bigint, r array<bigint>").filter(F.size("r") > 0)
+    docs = docs.select("doc_id", clusters.hashed_features(F.col("r"), F.transform("r", lambda x: F.lit(1.0)), 128).alias("v"))
+    return clusters.cluster_profiles(Scratch(spark).cut(clusters.similarity_clusters(docs, "doc_id", "v")))
 
 
 def p6_sound(spark: SparkSession, d: str) -> DataFrame:
@@ -190,7 +201,7 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict:
     return {"p2_found": p2_found, "p4_found": p4_found, "p4_golden": p4_golden, "p5_found": p5_found, "p6_found": p6_found, "p6_profiles": p6_profiles,
             "p7_pack": p7_pack, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_report": p8_report,
-            "p9_found": p9_found, "p9_rates": p9_rates, "p6_like_records": p6_like_records,
+            "p9_found": p9_found, "p9_rates": p9_rates, "p6_like_texts": p6_like_texts,
             "p6_sound": p6_sound, "p7_sound": p7_sound, "p8_sound": p8_sound, "p9_sound": p9_sound}
 
 
