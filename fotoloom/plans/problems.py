@@ -46,9 +46,10 @@ def p3_near(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """For every photo whose id is divisible by 20 the positions of other photos within NEIGHBOUR_M, by their smallest photo, with their number."""
+    """For every photo whose id is divisible by 20 how many other photos lie within NEIGHBOUR_M, and at how many positions; none without any."""
     photos = load(spark, d, "photo_index")
-    return near_positions(photos, "image_id", photos.filter("image_id % 20 = 0"), "image_id", NEIGHBOUR_M).withColumnRenamed("query_id", "image_id")
+    near = near_positions(photos, "image_id", photos.filter("image_id % 20 = 0"), "image_id", NEIGHBOUR_M)
+    return near.groupBy(F.col("query_id").alias("image_id")).agg(F.count("*").alias("positions"), F.sum("n").alias("photos"))
 
 
 def p1_roots(spark: SparkSession, d: str) -> DataFrame:
@@ -93,7 +94,7 @@ def oracle_sql() -> dict[str, str]:
  UNION ALL SELECT b, a, n, array_to_string(path, '/') FROM k WHERE a IN (SELECT x FROM o)""",
         "p3_neighbours": f"""WITH {_PHOTOS}, c AS (SELECT latitude, longitude, min(image_id) AS near_id, count(*) AS n FROM p GROUP BY latitude, longitude),
  j AS (SELECT p.image_id, c.near_id, c.n - CASE WHEN p.latitude = c.latitude AND p.longitude = c.longitude THEN 1 ELSE 0 END AS n FROM p, c WHERE p.image_id % 20 = 0 AND {_M} <= {NEIGHBOUR_M})
- SELECT * FROM j WHERE n > 0""",
+ SELECT image_id, count(*) AS positions, sum(n)::BIGINT AS photos FROM j WHERE n > 0 GROUP BY image_id""",
         "p3_found": f"""WITH {_PHOTOS},
  edge AS (SELECT place_id, unnest(outline) AS v, unnest(list_append(outline[2:], outline[1])) AS w FROM place WHERE place_kind = 'outline')
  SELECT c.place_id, p.image_id FROM p, place c WHERE c.place_kind = 'circle' AND {_M} <= c.radius_m
